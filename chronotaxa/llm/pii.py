@@ -79,6 +79,11 @@ def with_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.drop(f"{out}_t", *(f"{out}_{p}_{k}" for p in "mg" for k in KINDS))
 
 
+def _ratio():
+    """PMI(t;e) over IC(e); null where every document holds the entity."""
+    return F.log2(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.nullif(F.log2(F.col("n_all") / F.col("n_e")), F.lit(0.0))
+
+
 def disclosures(docs: DataFrame, stage: Stage, window: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
     """doc_id, general, removed: patterns of the words that give away an entity of that document (may be empty)."""
     found = with_spans(docs.select("doc_id", "text"), "text", "spans").where("size(spans) > 0")
@@ -94,9 +99,10 @@ def disclosures(docs: DataFrame, stage: Stage, window: int, min_contexts: int, g
     clean = F.concat_ws(" | ", *(F.regexp_replace(F.regexp_replace(F.lower(F.col(f"x.{side}")), r"\S*[@0-9]\S*", " "), r"\s+", " ") for side in ("before", "after")))
     near = stage.write(near.select("doc_id", F.col("x.entity").alias("entity"), clean.alias("context")), "contexts")
     entity = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    beside = near.select("doc_id", "entity", F.xxhash64("context").alias("context_id"), F.explode(F.expr(f"array_distinct(regexp_extract_all(context, {_sql_text(_WORD)}, 0))")).alias("term"))
+    total = F.broadcast(docs.agg(F.count("*").alias("n_all")))
     pairs = (
-        near.select("doc_id", "entity", F.xxhash64("context").alias("context_id"), F.explode(F.expr(f"array_distinct(regexp_extract_all(context, {_sql_text(_WORD)}, 0))")).alias("term"))
-        .groupBy("entity", "term", "doc_id")
+        beside.groupBy("entity", "term", "doc_id")
         .agg(F.min("context_id").alias("context_id"))
         .groupBy("entity", "term", "context_id")
         .agg(F.count("*").alias("n"))
@@ -105,14 +111,16 @@ def disclosures(docs: DataFrame, stage: Stage, window: int, min_contexts: int, g
         .where(F.col("n_contexts") >= min_contexts)
         .join(entity, "entity")
     )
+    # A word stands in at least as many documents as near entities: pairs that fail even with that count need no count of all.
+    least = beside.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = pairs.join(least, "term").crossJoin(total).where(_ratio() >= generalise_at).drop("n_t")
     pairs = stage.write(pairs, "pairs")
     terms = stage.write(pairs.select("term").distinct(), "terms")
     few = terms.count() <= BROADCAST_ROWS
     words = docs.select("doc_id", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(coalesce(text, '')), {_sql_text(_WORD)}, 0))")).alias("term"))
     words = words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.count("*").alias("n_all"))
-    scored = pairs.join(n_t, "term").crossJoin(F.broadcast(total)).select("entity", "term", (F.log2(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.nullif(F.log2(F.col("n_all") / F.col("n_e")), F.lit(0.0))).alias("ratio"))
+    scored = pairs.join(n_t, "term").select("entity", "term", _ratio().alias("ratio"))
     telling = stage.write(scored.where(F.col("ratio") >= generalise_at), "telling")
     listed = near.select("doc_id", "entity").distinct().join(telling, "entity").groupBy("doc_id", "term").agg(F.max("ratio").alias("ratio"))
     pattern = lambda on: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_list(F.when(on, F.col("term")))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
