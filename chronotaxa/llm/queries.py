@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, license_scan, pii, quality, sentencepiece_codec, url_filter
+from . import jaccard_join, language_id, license_scan, pii, quality, sentencepiece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.CONTRACT_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = sentencepiece_codec.read_model(spark, token_counts.ranks_path())
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), ranks)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 

@@ -58,7 +58,7 @@ class Stage:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out
