@@ -8,10 +8,12 @@ that the threshold asks for are discarded.
 
 Blocks are never expanded into all pairs:
 
-1. Every block multiplies one of its rows, chosen by a hash, with all others. The links found give components.
+1. Every block multiplies one of its rows, chosen by one of four hashes, with all others. Sketches discard pairs that differ too
+   much before whole sets are fetched and compared. The links found give components.
 2. Only products between different components are still of interest. Blocks of at most ``small`` rows list those
-   pairs once; larger ones are cut into tiles of rows, and each pair of tiles is multiplied in one task that
-   accumulates overlaps in numpy and returns no more links than join its components.
+   pairs once; larger ones are cut into tiles of rows. For each pair of tiles, rows without a partner by size, position and
+   sketch go; the rest are multiplied in one task that accumulates overlaps in numpy and returns no more links than
+   join its components.
 
 The order of n-grams affects only the work: frequent ones are found by counts over all rows, of which
 the ``heavy`` most frequent are broadcast (at most 16 bytes each). Columns expected to hold more than ``tile`` rows
@@ -24,6 +26,8 @@ repeated rows with one doc_id all appear; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,9 @@ from .components import connected_components
 from .shared import Stage, arrow_pass
 
 
+BROADCAST_IDS = 250_000
+
+
 def set_rows(column, width: int):
     """(row, sorted distinct n-gram hashes) for each row with words."""
     for a, b, word, first in textkit.word_rows(column):
@@ -48,8 +55,29 @@ def _set_id(s: np.ndarray, seed: int) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
+#: Longs of the smallest parity sketch.
+_SKETCH = 16
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """For each bucket of hashes, the parity of the number of n-grams in it: bits that differ bound what two sets don't share.
+
+    A power of two of buckets, four for each n-gram at least. Of half as many, the sketch is the two halves' exclusive or.
+    """
+    buckets = max(64 * _SKETCH, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def fold(sketch: np.ndarray, longs: int) -> np.ndarray:
+    while sketch.shape[-1] > longs:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 21) -> DataFrame:
-    """Rows (doc_id, n, sid, check), and rows (token, hits) of n-grams met more than once among a task's distinct sets."""
+    """Rows (doc_id, n, sid, check, sketch), and rows (token, hits) of n-grams met more than once among a task's distinct sets."""
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -58,13 +86,13 @@ def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 21) ->
             token, hits = np.unique(np.concatenate(held), return_counts=True)
             more = hits > 1
             k = int(more.sum())
-            return {"doc_id": [None] * k, "n": [None] * k, "sid": [None] * k, "check": [None] * k, "token": token[more].view(np.int64), "hits": hits[more]}
+            return {"doc_id": [None] * k, "n": [None] * k, "sid": [None] * k, "check": [None] * k, "sketch": [None] * k, "token": token[more].view(np.int64), "hits": hits[more]}
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            n, sid, check = [0] * len(ids), [None] * len(ids), [None] * len(ids)
+            n, sid, check, sketch = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
             for i, s in set_rows(batch.column("text"), width):
-                n[i], (sid[i], check[i]) = len(s), _set_id(s, seed)
+                n[i], (sid[i], check[i]), sketch[i] = len(s), _set_id(s, seed), parity_sketch(s)
                 if sid[i] not in seen:
                     seen.add(sid[i])
                     held.append(s)
@@ -72,11 +100,11 @@ def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 21) ->
                     if size >= flush:
                         yield counts()
                         held, size = [], 0
-            yield {"doc_id": ids, "n": n, "sid": sid, "check": check, "token": [None] * len(ids), "hits": [None] * len(ids)}
+            yield {"doc_id": ids, "n": n, "sid": sid, "check": check, "sketch": sketch, "token": [None] * len(ids), "hits": [None] * len(ids)}
         if held:
             yield counts()
 
-    return arrow_pass(docs.select("doc_id", "text"), run, "doc_id long, n long, sid long, check long, token long, hits long")
+    return arrow_pass(docs.select("doc_id", "text"), run, "doc_id long, n long, sid long, check long, sketch array<long>, token long, hits long")
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -84,14 +112,17 @@ def _need(n: np.ndarray | int, percent: int):
 
 
 def _prefixes(docs: DataFrame, width: int, seed: int, percent: int, token: np.ndarray, weight: np.ndarray, tile: int) -> DataFrame:
-    """Rows (token, salt, salts, sid, n, pos): each distinct set's first n-grams, once for each task."""
+    """Rows (token, part, sid, at): each distinct set's first n-grams, once for each task.
+
+    ``part`` is 0, or salts << 16 | salt of a salted column; ``at`` is n << 32 | pos. They are packed as this is the widest shuffle.
+    """
     held = docs.sparkSession.sparkContext.broadcast((token, weight))
 
     def run(batches):
         token, weight = held.value
         seen = set()
         for batch in batches:
-            out = {k: [] for k in ("token", "salt", "salts", "sid", "n", "pos")}
+            out = {k: [] for k in ("token", "part", "sid", "at")}
             for _, s in set_rows(batch.column("text"), width):
                 sid, _ = _set_id(s, seed)
                 if sid in seen:
@@ -102,14 +133,14 @@ def _prefixes(docs: DataFrame, width: int, seed: int, percent: int, token: np.nd
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     w = np.where(token[at] == s, weight[at], 0)
                 first = np.lexsort((s, w))[: len(s) - _need(len(s), percent) + 1]
-                salts = 1 + w[first] // tile
-                k = len(first)
-                for name, x in (("token", s[first].view(np.int64)), ("salt", (sid & 0x7FFFFFFF) % salts), ("salts", salts), ("sid", np.full(k, sid)), ("n", np.full(k, len(s))), ("pos", np.arange(k))):
+                salts = np.minimum(1 + w[first] // tile, 0x7FFF)
+                part = np.where(salts > 1, salts << 16 | (sid & 0x7FFFFFFF) % salts, 0)
+                for name, x in (("token", s[first].view(np.int64)), ("part", part), ("sid", np.full(len(first), sid)), ("at", len(s) << 32 | np.arange(len(first)))):
                     out[name].append(x)
             if out["sid"]:
                 yield {k: np.concatenate(v) for k, v in out.items()}
 
-    return arrow_pass(docs.select("text"), run, "token long, salt int, salts int, sid long, n int, pos int")
+    return arrow_pass(docs.select("text"), run, "token long, part int, sid long, at long")
 
 
 def _may_reach(n_a: str, pos_a: str, n_b: str, pos_b: str, percent: int):
@@ -119,6 +150,17 @@ def _may_reach(n_a: str, pos_a: str, n_b: str, pos_b: str, percent: int):
     return F.expr(f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) and {bound} >= {least}")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches leave room for the overlap asked for."""
+    side = lambda k: classes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
+    cut = lambda x, y: f"if(size({x}) > size({y}), {half(x)}, {x})"  # noqa: E731  sizes within the threshold are at most one step apart
+    apart = f"aggregate(zip_with({cut('sketch_a', 'sketch_b')}, {cut('sketch_b', 'sketch_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    room = f"n_a + n_b - 2 * (({percent} * (n_a + n_b) + {percent + 99}) div {100 + percent})"
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(F.expr(sized)).where(F.expr(f"{apart} <= {room}")).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets reach the threshold."""
     a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a"))
@@ -170,18 +212,45 @@ def tile_links(sid: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[n
     return links
 
 
-def _tiled(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components inside large blocks: each pair of tiles goes to one task, with its sets."""
+def tile_survivors(root: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which rows of a pair of tiles have a partner, in another component, that sizes, positions and sketches leave possible."""
+    keep = np.zeros(len(root), dtype=bool)
+    _, group = np.unique(root, return_inverse=True)
+    longs = np.array([len(x) for x in sketches])
+    at = {k: np.stack([fold(x, k) if len(x) >= k else np.zeros(k, np.int64) for x in sketches]) for k in np.unique(longs)}
+    for i in np.flatnonzero(group != np.bincount(group).argmax()):
+        small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
+        least = (percent * (n + n[i]) + percent + 99) // (100 + percent)
+        room = np.minimum(pos, pos[i]) + np.minimum(n - pos, n[i] - pos[i]) >= least
+        j = np.flatnonzero((group != group[i]) & ((side == 2) | (side != side[i])) & (100 * small >= percent * large) & room)
+        for k in np.unique(np.minimum(longs[j], longs[i])):
+            same = j[np.minimum(longs[j], longs[i]) == k]
+            same = same[np.bitwise_count((at[k][same] ^ at[k][i]).view(np.uint64)).sum(axis=1) <= n[same] + n[i] - 2 * least[same]]
+            keep[same] = True
+            keep[i] |= len(same) > 0
+    return keep
+
+
+def _surviving(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, i, j, side, sid, root) of pairs of tiles that are still worth their whole sets."""
     pair = F.expr("transform(sequence(0, salts - 1), s -> named_struct('i', least(salt, s), 'j', greatest(salt, s), 'side', if(s = salt, 2, if(s > salt, 0, 1))))")
-    rows = blocks.select("token", "sid", "root", F.explode(pair).alias("t")).select("token", "sid", "root", "t.i", "t.j", "t.side")
-    rows = rows.join(sets, "sid")
+    rows = blocks.join(classes.select("sid", "sketch"), "sid").select("token", "sid", "root", "n", "pos", "sketch", F.explode(pair).alias("t")).select("token", "t.i", "t.j", "t.side", "sid", "root", "n", "pos", "sketch")
 
-    def run(pdf):
-        import pandas as pd
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda name: table.column(name).to_numpy()
+        sketch = [x.values.to_numpy() for x in table.column("sketch")]
+        return table.filter(pa.array(tile_survivors(get("root"), get("side"), get("n"), get("pos"), sketch, percent))).select(["token", "i", "j", "side", "sid", "root"])
+
+    return rows.groupBy("token", "i", "j").applyInArrow(run, "token long, i int, j int, side int, sid long, root long")
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside large blocks: each pair of tiles goes to one task, with its sets."""
 
+    def run(pdf):
         return pd.DataFrame(tile_links(pdf["sid"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in pdf["tokens"]], percent), columns=["a", "b"])
 
-    return rows.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.join(sets, "sid").groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def _with_roots(blocks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -193,6 +262,8 @@ def _with_roots(blocks: DataFrame, roots: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy: int = 1 << 18, tile: int = 1024, small: int = 64) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the sketches' sizes assume a threshold of 50 to 100 percent")
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
     docs = docs.select("doc_id", "text")
@@ -205,31 +276,44 @@ def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy
     token, weight = often["token"].to_numpy(np.int64).view(np.uint64), often["hits"].to_numpy(np.int64)
     by = np.argsort(token)
     rows = _prefixes(docs, width, seed, percent, token[by], weight[by], tile)
-    block = Window.partitionBy("token", "salt")
-    rows = rows.withColumns({"lo": F.min("sid").over(block), "hi": F.max("sid").over(block), "hub": F.min(F.struct(F.xxhash64("sid", "token").alias("h"), "sid", "n", "pos")).over(block)})
-    blocks = stage.write(rows.where("lo < hi or salts > 1").select("token", "salt", "salts", "sid", "n", "pos", "hub").distinct(), "blocks")
-    stage.sweep()
-
-    star = blocks.where(F.col("sid") != F.col("hub.sid")).where(_may_reach("n", "pos", "hub.n", "hub.pos", percent)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
-    wanted = blocks.select("sid").distinct().join(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
-    texts = docs.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = stage.write(_sets(texts, width, seed), "sets")
+    block = Window.partitionBy("token", "part")
+    rows = rows.withColumns({"lo": F.min("sid").over(block), "hi": F.max("sid").over(block), "hub": F.min(F.struct(F.xxhash64("sid", F.expr("token & 3")).alias("h"), "sid", "at")).over(block)})
+    rows = rows.where("lo < hi or part > 0").select("token", "part", "sid", "at", F.col("hub.sid").alias("hub"), F.col("hub.at").alias("hub_at")).distinct()
+    blocks = stage.write(rows, "blocks")
     stage.sweep()
+    reps = known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    classes = stage.write(known.select("doc_id", "sid", "n", "sketch").join(reps, ["sid", "doc_id"]), "classes")
+
+    where = {"salts": F.expr("greatest(1, part >> 16)"), "salt": F.expr("part & 65535"), "n": F.expr("at >> 32"), "pos": F.expr("at & 4294967295")}
+    hub = {"hub_n": F.expr("hub_at >> 32"), "hub_pos": F.expr("hub_at & 4294967295")}
+    star = blocks.where("sid <> hub").withColumns(where | hub).where(_may_reach("n", "pos", "hub_n", "hub_pos", percent))
+    star = stage.write(_near(star.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), classes, percent), "star")
+    sets = stage.write(_sets(docs, classes, star.select(F.explode(F.array("a", "b")).alias("sid")), width, seed), "sets")
     links = stage.write(_verified(star, sets, percent), "links")
     roots = connected_components(links, stage)
-    left = stage.write(_with_roots(blocks.drop("hub"), roots), "left")
+    left = stage.write(_with_roots(blocks.select("token", "part", "sid", "at").withColumns(where).drop("part", "at"), roots), "left")
     stage.sweep()
     few = left.where(f"rows_of_token <= {small} and salts = 1")
-    many = left.where(f"rows_of_token > {small} or salts > 1")
-    pairs = stage.write(_listed(few, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    many = stage.write(_surviving(left.where(f"rows_of_token > {small} or salts > 1"), classes, percent), "many")
+    pairs = stage.write(_near(_listed(few, percent).join(star, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    new = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(many.select("sid")).distinct().join(sets, "sid", "left_anti")
+    sets = sets.union(stage.write(_sets(docs, classes, new, width, seed), "sets"))
     more = stage.write(_verified(pairs, sets, percent).union(_tiled(many, sets, percent)), "more")
     roots = connected_components(links.union(more), stage)
-    classes = known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
+    named = classes.select("sid", "doc_id").distinct().join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
     return known.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
+    """(sid, tokens) of the sets wanted, from one document of each.
+
+    Up to ``BROADCAST_IDS`` document ids (counted) go to the texts, so that texts are not shuffled; more are joined by a shuffle.
+    """
+    ids = classes.join(wanted.distinct(), "sid", "left_semi").select("doc_id").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+
     def run(batches):
         for batch in batches:
             found = [(_set_id(s, seed)[0], s.view(np.int64)) for _, s in set_rows(batch.column("text"), width)]

@@ -28,6 +28,12 @@ def rows(seed=1):
     for k in range(25):
         out.append(" ".join(chain))
         chain = chain[4:] + [word() for _ in range(4)]
+    long = [word() for _ in range(1400)]
+    for k in range(12):
+        w = list(long)
+        for _ in range(k * 6):
+            w[rng.randrange(len(w))] = word()
+        out.append(" ".join(w[: 1400 - 25 * k]))
     rng.shuffle(out)
     return list(enumerate(out, 100))
 
@@ -58,3 +64,14 @@ def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(tuple(r) for r in J.jaccard_classes(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert J.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_survivors_include_every_linked_row():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(J.textkit.mix(np.where(rng.random(120) < rng.choice([0.02, 0.1, 0.6]), rng.integers(1000, 90000, 120), np.arange(120)).astype(np.uint64))) for _ in range(60)]
+    sets += [np.unique(J.textkit.mix(np.arange(k, k + 1000 + 7 * k).astype(np.uint64))) for k in range(30)]
+    n, sketch = np.array([len(s) for s in sets]), [J.parity_sketch(s) for s in sets]
+    assert len({len(x) for x in sketch}) > 1
+    keep = J.tile_survivors(np.arange(90), np.full(90, 2), n, np.zeros(90, int), sketch, 80)
+    linked = {i for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for i in (a, b)}
+    assert linked and linked <= set(np.flatnonzero(keep)) and not keep.all()
