@@ -116,10 +116,8 @@ def disclosures(docs: DataFrame, stage: Stage, window: int, min_contexts: int, g
     pairs = pairs.join(least, "term").crossJoin(total).where(_ratio() >= generalise_at).drop("n_t")
     pairs = stage.write(pairs, "pairs")
     terms = stage.write(pairs.select("term").distinct(), "terms")
-    few = terms.count() <= BROADCAST_ROWS
-    words = docs.select("doc_id", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(coalesce(text, '')), {_sql_text(_WORD)}, 0))")).alias("term"))
-    words = words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(coalesce(text, '')), {_sql_text(_WORD)}, 0))")).alias("term"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     scored = pairs.join(n_t, "term").select("entity", "term", _ratio().alias("ratio"))
     telling = stage.write(scored.where(F.col("ratio") >= generalise_at), "telling")
     listed = near.select("doc_id", "entity").distinct().join(telling, "entity").groupBy("doc_id", "term").agg(F.max("ratio").alias("ratio"))
