@@ -3,8 +3,9 @@
 The model file is parsed (``sentencepiece_model``) and rebuilt: normaliser (precompiled character map,
 extra blanks, dummy prefix), the metaspace marker, byte fallback, and either unigram scores or, for a BPE
 model, merges in the order of the pieces' scores. Batches are encoded by several threads. If no
-piece continues over a marker, words are separate problems: they are split first, and very long texts are
-cut between words, so that memory stays bounded and results equal those of the whole text.
+piece continues over a marker, words are separate problems, and very long texts are cut between words, so that
+memory stays bounded and results equal those of the whole text. Decoding gathers the pieces' bytes from one
+flat table, which takes a fraction of the library decoder's time; tests hold it against that and the original.
 
 Defined results: a null text has null ids and decodes to null; an empty one has none and decodes to ''.
 A text that holds the marker U+2581 itself decodes to a blank there, as in the original library.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_model import BPE, BYTE, NORMAL, UNIGRAM, USER_DEFINED, SentencePieceModel
+from .sentencepiece_model import BPE, BYTE, CONTROL, NORMAL, UNIGRAM, UNK, UNUSED, USER_DEFINED, SentencePieceModel
 from .shared import arrow_pass
 
 MARK = "▁"
@@ -52,13 +53,16 @@ class Codec:
         self.separable = not model.whitespace_as_suffix and model.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p in self.names)
         self.whole = self._build(prefix=model.add_dummy_prefix)
         self.rest = self._build(prefix=False)
+        surfaces = [_surface(model, p, kind) for p, _, kind in model.pieces]
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in surfaces])))
+        self.bytes = np.frombuffer(b"".join(surfaces), dtype=np.uint8)
 
     @classmethod
     def load(cls, data: bytes, threads: int = 2) -> Codec:
         return cls(SentencePieceModel.parse(data), threads)
 
     def _build(self, prefix: bool):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         m = self.model
         if m.model_type == UNIGRAM:
@@ -76,8 +80,6 @@ class Codec:
         if prefix:
             steps += [normalizers.Prepend(MARK)]
         t.normalizer = normalizers.Sequence(steps)
-        if self.separable:
-            t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), behavior="isolated")
         t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []))
         return t
 
@@ -121,9 +123,28 @@ class Codec:
         return [np.concatenate(ids[a:b]) if b > a + 1 else ids[a] for a, b in zip(first, first[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
+        n = [len(x) for x in ids]
+        flat = np.concatenate(ids).astype(np.int64) if sum(n) else np.zeros(0, np.int64)
+        lo, size = self.start[flat], np.diff(self.start)[flat]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        data = self.bytes[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.concatenate(([0], np.cumsum(n, dtype=np.int64)))]
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if self.model.add_dummy_prefix and t[:1] == " " else t for t in texts]
+
+    def decode_by_library(self, ids: list[np.ndarray]) -> list[str]:
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
+def _surface(model: SentencePieceModel, piece: str, kind: int) -> bytes:
+    if kind == BYTE:
+        return bytes([int(piece[3:5], 16)])
+    if kind in (CONTROL, UNUSED):
+        return b""
+    return (model.unk_surface if kind == UNK else piece.replace(MARK, " ")).encode()
+
+
 def read_model(spark, path: str) -> bytes:
     """The model's bytes, through Spark if the path has a scheme that only Spark reads."""
     if "://" in path:
@@ -184,7 +205,7 @@ def parity(texts: list[str], data: bytes) -> list[str]:
     other, codec = sentencepiece.SentencePieceProcessor(model_proto=data), Codec.load(data, 1)
     ids = codec.encode(texts)
     want = other.encode(texts, num_threads=1)
-    return [t for t, a, b, d, e in zip(texts, ids, want, codec.decode(ids), other.decode(want)) if a.tolist() != b or d != e]
+    return [t for t, a, b, d, e, f in zip(texts, ids, want, codec.decode(ids), other.decode(want), codec.decode_by_library(ids)) if a.tolist() != b or not d == e == f]
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
