@@ -41,7 +41,7 @@ def brute(rows, threshold=0.95):
     return {i: (n[i], r[i], r[i] == i) for i in n}
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 16, "sample": 64}])
+@pytest.mark.parametrize("options", [{"spread": None}, {"tile": 16, "sample": 64, "spread": None}])
 def test_equals_brute_force(spark, options):
     rows = data()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string").repartition(3)
@@ -54,7 +54,7 @@ def test_probes_and_codes_lose_nothing():
     x = rng.normal(size=(3000, 32))
     x[1000:] = x[rng.integers(0, 1000, 2000)] + rng.normal(size=(2000, 32)) * 0.18
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = E.Index.fit(x[:500], 40, 0.95)
+    index = E.Index.fit(x[:500], 40, 0.95, None)
     own, probe = index.assign(x)
     code, missed = index.encode(x, own)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
@@ -69,3 +69,12 @@ def test_empty(spark):
     assert E.near_duplicates(none).count() == 0
     one = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert tuple(E.near_duplicates(one).first()) == (1, 0, 1, True)
+
+
+def test_recall_of_the_default_probes(spark):
+    rows = data(seed=8, dim=64)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()}
+    assert all(got[i] <= want[i][0] for i in got)
+    assert sum(got.values()) >= 0.99 * sum(n for n, _, _ in want.values())
