@@ -54,7 +54,7 @@ def documents(names: DataFrame, usages: DataFrame, releases: DataFrame, checklis
     full = seen.join(landed, ["code", "version", "usage_id"], "left")
     none = F.array().cast("array<struct<type:string,detail:string,confidence:double,advisory:boolean>>")
     step = F.struct("place", F.col("version").alias("release_version"), iso_date("released_on").alias("released_on"), "status", "rank", "scientific_name", "authorship", "accepted_name", "parent_name", "classification", "usage_id", F.coalesce("changes", none).alias("changes"))
-    lists = full.groupBy("name_id", "code").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    lists = full.groupBy("name_id", "code").agg(F.array_sort(F.collect_list(step), lambda x, y: x.place - y.place).alias("steps"))
     lists = lists.withColumn("appearances", F.transform("steps", lambda s: s.dropFields("place"))).drop("steps")
     lists = lists.join(first_last(seen, threads).select("name_id", "code", "first_seen", "last_seen", "anchor_kind"), ["name_id", "code"]).join(checklists.select("code", "title", "id_stability"), "code")
     entry = F.struct(F.col("code").alias("checklist_code"), F.col("title").alias("checklist_title"), "id_stability", "anchor_kind", "first_seen", "last_seen", "appearances")

@@ -1,2 +1,166 @@
+"""Queries on names' histories and on resolving names, over the derived release pair."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import version_of
+from ..operators import resolve, timeline
+from . import queries_diff
+from .pair import CODE, canonical_sql, index_sql, pair_sql, release_pair
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _names(pair: DataFrame) -> DataFrame:
+    """K1 in small: one name for each identity, spelt as in its first usage."""
+    first = pair.groupBy("norm_key").agg(F.min_by(F.struct("canonical_name", "authorship", "rank", "canonical_key"), "usage_id").alias("n"), F.min("usage_id").alias("name_id"))
+    return first.select("name_id", F.col("n.canonical_name").alias("scientific_name"), F.col("n.canonical_name").alias("canonical_name"), F.col("n.authorship").alias("authorship"), F.col("n.rank").alias("rank"), "norm_key", F.col("n.canonical_key").alias("canonical_key"))
+
+
+_NAMES = f"WITH {pair_sql()}, names AS (SELECT norm_key, min(usage_id) AS name_id, arg_min(canonical_name, usage_id) AS scientific_name, arg_min(authorship, usage_id) AS authorship, arg_min(canonical_key, usage_id) AS canonical_key FROM pair GROUP BY norm_key)"
+_SEEN = f"""{_NAMES}, rel AS (SELECT '1' AS version, DATE '2023-01-01' AS released_on UNION ALL SELECT '2', DATE '2024-01-01'),
+u AS (SELECT p.*, n.name_id, n.scientific_name, CAST(p.release AS VARCHAR) AS version FROM pair p JOIN names n USING (norm_key)),
+seen AS (SELECT u.*, r.released_on, a.scientific_name AS accepted_name, q.scientific_name AS parent_name,
+  row_number() OVER (PARTITION BY u.name_id ORDER BY r.released_on NULLS FIRST, u.version, u.usage_id) AS place
+  FROM u JOIN rel r USING (version) LEFT JOIN u a ON a.usage_id = u.accepted_usage_id LEFT JOIN u q ON q.usage_id = u.parent_usage_id)"""
+
+
+def _tables(spark: SparkSession, sf_dir: str):
+    pair = release_pair(spark, sf_dir)
+    names = _names(pair)
+    usages = pair.join(names.select("norm_key", "name_id"), "norm_key").select(
+        F.lit(CODE).alias("code"), F.col("release").cast("string").alias("version"), "usage_id", "name_id", "status", "rank", F.create_map(F.lit("family"), "family").alias("classification"), "accepted_usage_id", "parent_usage_id"
+    )
+    releases = spark.createDataFrame([(CODE, "1", "2023-01-01"), (CODE, "2", "2024-01-01")], "code string, version string, d string").select("code", "version", F.to_date("d").alias("released_on"))
+    return names, usages, releases
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = queries_diff._log(spark, sf_dir, "source_id").withColumn("detail", queries_diff.detect.detail_json())
+    return rows.select(F.lit(CODE).alias("code"), F.lit("2").alias("to_version"), "to_usage_id", "seq", "type", "detail", "confidence")
+
+
+def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries_diff._index(spark, sf_dir, "source_id").select("usage_id", F.lit("source_id").alias("anchor_kind"))
+
+
+@register("trace_timeline", f"{_SEEN} SELECT name_id, version, usage_id, status, accepted_name, parent_name, place FROM seen")
+def trace_timeline(spark, sf_dir):
+    return timeline.appearances(*_tables(spark, sf_dir)).select("name_id", "version", "usage_id", "status", "accepted_name", "parent_name", F.col("place").cast("long").alias("place"))
+
+
+@register("trace_changes", queries_diff._log_sql("source_id", "SELECT to_usage_id, type, detail, false AS advisory FROM log WHERE to_usage_id IS NOT NULL"))
+def trace_changes(spark, sf_dir):
+    return timeline.landed_changes(_landed(spark, sf_dir)).select("to_usage_id", "type", "detail", "advisory")
+
+
+_FIRST_LAST = f"""{_SEEN} SELECT name_id, arg_min(version, place) AS first_seen, arg_max(version, place) AS last_seen,
+  CASE WHEN arg_min(coalesce(source_taxon_id, ''), place) <> '' THEN 'source_id' END AS anchor_kind, count(*) AS n_appearances, 1::BIGINT AS checklist_count FROM seen GROUP BY name_id"""
+
+
+@register("trace_first_last", _FIRST_LAST)
+def trace_first_last(spark, sf_dir):
+    return timeline.first_last(timeline.appearances(*_tables(spark, sf_dir)), _threads(spark, sf_dir)).drop("code")
+
+
+@register(
+    "trace_document",
+    queries_diff._log_sql("source_id", "SELECT 1")[: -len(" SELECT 1")]
+    + f""", names AS (SELECT norm_key, min(usage_id) AS name_id, arg_min(canonical_name, usage_id) AS name FROM pair GROUP BY norm_key),
+u AS (SELECT p.usage_id, p.release, p.status, n.name_id, n.name FROM pair p JOIN names n USING (norm_key)),
+landed AS (SELECT to_usage_id, string_agg(type, '+' ORDER BY {queries_diff._PASS}, o, {queries_diff._ORDER}) AS types FROM log WHERE to_usage_id IS NOT NULL GROUP BY to_usage_id)
+SELECT u.name_id, any_value(u.name) AS name, string_agg(concat(u.release, ':', u.status, ':', CASE WHEN release = 2 THEN coalesce(l.types, '') ELSE '' END), '|' ORDER BY u.release, u.usage_id) AS steps
+FROM u LEFT JOIN landed l ON l.to_usage_id = u.usage_id GROUP BY u.name_id""",
+)
+def trace_document(spark, sf_dir):
+    names, usages, releases = _tables(spark, sf_dir)
+    lists = spark.createDataFrame([(CODE, "Demo", "persistent")], "code string, title string, id_stability string")
+    docs = timeline.documents(names, usages, releases, lists, _landed(spark, sf_dir), _threads(spark, sf_dir))
+    step = lambda a: F.concat(a["release_version"], F.lit(":"), a["status"], F.lit(":"), F.array_join(F.transform(a["changes"], lambda c: c["type"]), "+"))
+    return docs.select("name_id", "name", F.array_join(F.transform(F.col("checklists")[0]["appearances"], step), "|").alias("steps"))
+
+
+@register("name_siblings", f"{_NAMES} SELECT a.name_id, b.name_id AS sibling_id, b.scientific_name AS sibling_name, b.authorship AS sibling_authorship FROM names a JOIN names b ON a.canonical_key = b.canonical_key AND a.name_id <> b.name_id")
+def name_siblings(spark, sf_dir):
+    return timeline.siblings(_names(release_pair(spark, sf_dir))).drop("reason")
+
+
+@register("resolve_exact", f"{_NAMES} SELECT p.usage_id, n.name_id FROM pair p JOIN names n USING (norm_key)")
+def resolve_exact(spark, sf_dir):
+    """P7, T1 for every usage at once: the query is its own name and author."""
+    pair = release_pair(spark, sf_dir)
+    return pair.select("usage_id", "norm_key").join(_names(pair).select("norm_key", "name_id"), "norm_key").select("usage_id", "name_id")
+
+
+@register("resolve_canonical", f"{_NAMES} SELECT p.usage_id, n.name_id FROM pair p JOIN names n ON n.canonical_key = p.canonical_key AND p.canonical_key <> '' QUALIFY row_number() OVER (PARTITION BY p.usage_id ORDER BY n.name_id) <= 25")
+def resolve_canonical(spark, sf_dir):
+    """P8, O4, T2 for every usage; at most 25 names answer a query, which is the tier's limit."""
+    from pyspark.sql.window import Window
+
+    pair = release_pair(spark, sf_dir)
+    hits = pair.where("canonical_key <> ''").select("usage_id", "canonical_key").join(_names(pair).select("canonical_key", "name_id"), "canonical_key")
+    place = F.row_number().over(Window.partitionBy("usage_id").orderBy("name_id"))
+    return hits.withColumn("place", place).where(F.col("place") <= resolve.LIMIT).select("usage_id", "name_id")
+
+
+_ASKED = "SELECT usage_id AS query_id, concat(substr(canonical_name, 1, length(canonical_name) - 3), right(canonical_name, 2)) AS text FROM pair WHERE release = 1 AND role = 9"
+
+
+@register(
+    "resolve_fuzzy",
+    f"""WITH RECURSIVE {pair_sql()}, names AS (SELECT norm_key, min(usage_id) AS name_id, arg_min(canonical_name, usage_id) AS canonical_name, arg_min(canonical_key, usage_id) AS canonical_key FROM pair GROUP BY norm_key),
+words AS (SELECT name_id, w, count(*) AS tf FROM (SELECT name_id, unnest(string_split_regex(lower(strip_accents(canonical_name)), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM names) WHERE w <> '' GROUP BY ALL),
+lens AS (SELECT name_id, sum(tf) AS len FROM words GROUP BY name_id), facts AS (SELECT (SELECT count(*) FROM names) AS n_all, avg(len) AS avg_len FROM lens),
+asked AS ({_ASKED}), terms AS (SELECT query_id, unnest(range(len(t))) AS i, unnest(t) AS term FROM (SELECT query_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM asked)),
+hits AS (SELECT query_id, i, name_id, sum(tf) AS tf FROM terms JOIN words ON starts_with(w, term) GROUP BY ALL),
+df AS (SELECT query_id, i, count(*) AS n_with FROM hits GROUP BY ALL),
+ranked AS (SELECT query_id, name_id, sum(greatest(ln((n_all - n_with + 0.5) / (n_with + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s FROM hits JOIN df USING (query_id, i) JOIN lens USING (name_id), facts GROUP BY query_id, name_id),
+best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, name_id) <= 100),
+cand AS (SELECT query_id, name_id, canonical_name, canonical_key AS b, {canonical_sql('text')} AS a FROM best JOIN names USING (name_id) JOIN asked USING (query_id)),
+walk AS (SELECT a, b, 0 AS i, list_transform(range(0, length(a) + 1), lambda z: 0::BIGINT) AS p FROM (SELECT DISTINCT a, b FROM cand)
+  UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(a) + 1), lambda j: [CASE WHEN a[j] = b[i + 1] THEN p[j] + 1 ELSE p[j + 1] END]), lambda acc, x: list_append(acc, greatest(acc[len(acc)], x[1])), [0::BIGINT]) FROM walk WHERE i < length(b)),
+scored AS (SELECT query_id, name_id, canonical_name, 200.0 * p[len(p)] / (length(a) + length(b)) AS raw FROM cand JOIN walk USING (a, b) WHERE i = length(b))
+SELECT query_id, name_id, canonical_name, CAST(round_even(raw, 2) AS DOUBLE) AS score FROM scored WHERE raw >= 88 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, canonical_name, name_id) <= 25""",
+)
+def resolve_fuzzy(spark, sf_dir):
+    pair = release_pair(spark, sf_dir)
+    wrong = F.concat(F.expr("substr(canonical_name, 1, length(canonical_name) - 3)"), F.expr("right(canonical_name, 2)"))
+    asked = pair.where("release = 1 and role = 9").select(F.col("usage_id").alias("query_id"), wrong.alias("text"))
+    return resolve.fuzzy(_names(pair), asked)
+
+
+@register("checklist_catalogue", "SELECT r_name AS code, count(n_nationkey) AS n_releases, coalesce(string_agg(n_name, '|' ORDER BY n_name), '') AS releases FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def checklist_catalogue(spark, sf_dir):
+    """Lists with their releases, which may be none."""
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
+    both = region.join(nation, region.r_regionkey == nation.n_regionkey, "left")
+    return both.groupBy(F.col("r_name").alias("code")).agg(F.count("n_nationkey").alias("n_releases"), F.array_join(F.sort_array(F.collect_list("n_name")), "|").alias("releases")).orderBy("code")
+
+
+@register(
+    "release_pairs",
+    "WITH d AS (SELECT DISTINCT event_type AS code, CAST(ts AS DATE) AS day FROM events) SELECT code, strftime(day, '%Y.%m.%d') AS before, strftime(lead(day) OVER (PARTITION BY code ORDER BY day), '%Y.%m.%d') AS after FROM d QUALIFY lead(day) OVER (PARTITION BY code ORDER BY day) IS NOT NULL",
+)
+def release_pairs(spark, sf_dir):
+    """Consecutive releases of a list, versions being read from file names."""
+    from pyspark.sql.window import Window
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = events.select(F.col("event_type").alias("code"), F.concat(F.lit("names_"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv")).alias("file")).distinct()
+    version, day = version_of("file")
+    order = Window.partitionBy("code").orderBy("day", "version")
+    out = files.withColumns({"version": version, "day": day})
+    return out.select("code", F.col("version").alias("before"), F.lead("version").over(order).alias("after")).where("after is not null")
