@@ -1,10 +1,12 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Passages of ``span`` words become TF-IDF vectors over the benchmark's vocabulary (a word foreign to every item
-cannot bring a passage nearer to one). A distributed randomised SVD gives the latent space: with A
+cannot bring a passage nearer to one), without words that more than ``common`` of the passages hold, except an
+item's ``rarest`` words. A distributed randomised SVD gives the latent space: with A
 the passages of the whole corpus and W random signs, tasks accumulate Y'Y and Y'A for Y = AW; from
-Y = QR follows B = Q'A = R'^-1 Y'A, and B's right singular vectors are A's. Windows of ``span`` words, at half that
-step, are projected, and items within cosine ``cosine`` are candidates. They are checked word by word: a
+Y = QR follows B = Q'A = R'^-1 Y'A, and B's right singular vectors are A's. Windows of ``window`` words, at half that
+step, are projected, and items within cosine ``cosine`` are candidates. If the words around a window hold at least
+``paraphrased`` of an item's, they are checked word by word: a
 document leaks an item if the longest common subsequence of the item and a stretch of at most ``stretch`` times
 its length covers ``covered`` of the item, or ``paraphrased`` of it and ``answered`` of its answer (its last
 fifth, three words at least).
@@ -31,6 +33,10 @@ from .shared import arrow_pass
 _BITS = 20
 
 
+def _lower(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.lower("text"))
+
+
 def content_words(column):
     """(first row, end row, word hashes, first word of each row); words are runs of letters and digits."""
     data, offsets = textkit.buffers(column)
@@ -46,7 +52,10 @@ class Settings:
     rank: int = 96
     extra: int = 8
     span: int = 64
-    cosine: float = 0.45
+    window: int = 32
+    common: float = 0.02
+    rarest: int = 8
+    cosine: float = 0.4
     covered: float = 0.7
     paraphrased: float = 0.5
     answered: float = 0.8
@@ -60,6 +69,8 @@ class Items:
     words: list[np.ndarray]
     vocabulary: np.ndarray
     bits: np.ndarray
+    pairs: np.ndarray = None
+    least: np.ndarray = None
 
     @classmethod
     def of(cls, ids: list[int], texts) -> Items:
@@ -72,6 +83,23 @@ class Items:
         bits[vocabulary >> np.uint64(64 - _BITS)] = True
         return cls(ids, words, vocabulary, bits)
 
+    def without_common(self, df: np.ndarray, n: int, s: Settings) -> Items:
+        keep = df <= s.common * n
+        for w in self.words:
+            number = np.searchsorted(self.vocabulary, np.unique(w))
+            keep[number[np.argsort(df[number], kind="stable")[: s.rarest]]] = True
+        bits = np.zeros(1 << _BITS, dtype=bool)
+        bits[self.vocabulary[keep] >> np.uint64(64 - _BITS)] = True
+        out = Items(self.ids, self.words, self.vocabulary[keep], bits)
+        pairs, least = [], np.ones(len(self.ids), np.int64)
+        for k, w in enumerate(self.words):
+            _, number = out.hits(w)
+            pairs.append(np.unique(number) * len(self.ids) + k)
+            # A step of half a window leaves one that holds as many of the item's words as half a window and one, or all.
+            held = min(len(w), s.window // 2 + 1) * len(number) / max(1, len(w))
+            least[k] = max(1, int(0.7 * s.paraphrased * held))
+        return Items(out.ids, out.words, out.vocabulary, bits, np.sort(np.concatenate(pairs)), least)
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of vocabulary words, and their numbers."""
         at = np.flatnonzero(self.bits[words >> np.uint64(64 - _BITS)])
@@ -105,7 +133,7 @@ def passage_frequencies(docs: DataFrame, items: Items, span: int) -> tuple[int,
         some = np.flatnonzero(total)
         yield {"word": np.append(some, -1), "n": np.append(total[some], n)}
 
-    rows = arrow_pass(docs.select("text"), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrow_pass(_lower(docs).select("text"), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(items.vocabulary), np.int64)
     inner = rows[rows["word"] >= 0]
     out[inner["word"]] = inner["n"]
@@ -119,7 +147,10 @@ def _grouped(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """Right singular vectors of the passages' TF-IDF matrix, one row for each word of the vocabulary."""
+    """Right singular vectors of the passages' TF-IDF matrix over their singular values, one row for each word.
+
+    Projected so, passages are rows of left singular vectors: every latent direction weighs alike, and common words don't drown the rest.
+    """
     width = min(s.rank + s.extra, len(idf))
     held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.random.default_rng(0).choice([-1.0, 1.0], (len(idf), width)).astype(np.float32)))
 
@@ -151,7 +182,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, s: Settings) ->
         np.add.at(total, at, rows)
         return pa.table({"word": pa.array(word, pa.int32()), "row": pa.array(list(total), pa.list_(pa.float64()))})
 
-    parts = arrow_pass(docs.select("text"), run, "word int, row array<double>")
+    parts = arrow_pass(_lower(docs).select("text"), run, "word int, row array<double>")
     # Sums in two steps, so that no task gets more rows of a word than a slot has tasks.
     parts = parts.groupBy(F.pmod("word", F.lit(64)).alias("slot"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("part")).applyInArrow(summed, "word int, row array<double>")
     rows = parts.groupBy(F.pmod("word", F.lit(64)).alias("slot")).applyInArrow(summed, "word int, row array<double>").toPandas()
@@ -164,8 +195,9 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, s: Settings) ->
     value, vector = np.linalg.eigh(gram)
     good = value > max(value.max(initial=0.0), 1e-12) * 1e-10
     b = (vector[:, good] / np.sqrt(value[good])).T @ z.T
-    _, _, vt = np.linalg.svd(b, full_matrices=False)
-    return vt[: s.rank].T.astype(np.float32)
+    _, size, vt = np.linalg.svd(b, full_matrices=False)
+    keep = size[: s.rank] > size.max(initial=0.0) * 1e-6
+    return (vt[: s.rank][keep].T / size[: s.rank][keep]).astype(np.float32)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -198,44 +230,65 @@ def best_stretch(item: np.ndarray, words: np.ndarray, s: Settings) -> tuple[floa
     return best
 
 
-def leaks_of(words: np.ndarray, items: Items, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> list[tuple[int, float, float]]:
-    """(item number, share, cosine) of the items that one document's words leak."""
+def leaks_in(words: np.ndarray, first: np.ndarray, items: Items, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> list[tuple[int, int, float, float]]:
+    """(row, item number, share, cosine) of the items that rows of a piece of a column leak."""
     at, number = items.hits(words)
     if not len(at):
         return []
-    half = s.span // 2
-    value = space[number] * idf[number, None]
-    own, total = _grouped(value, at // half)
-    sums = np.zeros((own[-1] + 2, value.shape[1]), np.float32)
-    sums[own] = total
-    both = sums[:-1] + sums[1:]
-    size = np.sqrt((both**2).sum(axis=1))
-    near = (both / np.maximum(size, 1e-9)[:, None]) @ targets.T
+    half = s.window // 2
+    row = np.searchsorted(first, at, side="right") - 1
+    start = np.concatenate(([0], np.cumsum(-(-np.diff(first) // half) + 1)))
+    own, total = _grouped(space[number] * idf[number, None], start[row] + (at - first[row]) // half)
+    # Window w holds half-windows w and w + 1; rows are a half-window apart.
+    which = np.unique(np.concatenate((own, own - 1)))
+    place = np.searchsorted(which, own)
+    both = np.zeros((len(which), total.shape[1]), np.float32)
+    both[place] = total
+    before = which[np.maximum(place - 1, 0)] == own - 1
+    both[place[before] - 1] += total[before]
+    near = (both @ targets.T) / np.maximum(np.sqrt((both**2).sum(axis=1)), 1e-9)[:, None]
     window, item = np.nonzero(near >= s.cosine)
-    found: dict[int, tuple[float, float]] = {}
-    for w, k in sorted(zip(window.tolist(), item.tolist()), key=lambda p: -near[p]):
-        if found.get(k, (0.0, 0.0))[0] >= 1.0:
+    cosine = near[window, item]
+    # How many of the window's words the item has, against what a leak leaves in its best window.
+    entry = start[row] + (at - first[row]) // half
+    lo = np.searchsorted(entry, which[window])
+    n = np.searchsorted(entry, which[window] + 2) - lo
+    pair = np.repeat(np.arange(len(window)), n)
+    key = number[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] * len(items.ids) + item[pair]
+    known = items.pairs[np.minimum(np.searchsorted(items.pairs, key), len(items.pairs) - 1)] == key
+    shared = np.bincount(pair[known], minlength=len(window))
+    near_enough = shared >= items.least[item]
+    window, item, cosine = window[near_enough], item[near_enough], cosine[near_enough]
+    best: dict[tuple[int, int], tuple[float, float]] = {}
+    for c in np.argsort(-cosine, kind="stable"):
+        w, k = int(which[window[c]]), int(item[c])
+        i = int(np.searchsorted(start, w, side="right")) - 1
+        if i < 0 or i >= len(first) - 1 or best.get((i, k), (0.0, 0.0))[0] >= 1.0:
+            continue
+        wanted, offset = items.words[k], (w - int(start[i])) * half
+        region = words[first[i] + max(0, offset - len(wanted)) : min(first[i + 1], first[i] + offset + s.window + len(wanted))]
+        if np.isin(wanted, region).sum() < s.paraphrased * len(wanted) - 1e-9:
             continue
-        n = len(items.words[k])
-        region = words[max(0, w * half - n) : (w + 2) * half + n]
-        share, answer, _ = best_stretch(items.words[k], region, s)
-        if (share >= s.covered or (share >= s.paraphrased and answer >= s.answered)) and share > found.get(k, (0.0, 0.0))[0]:
-            found[k] = (share, float(near[w, k]))
-    return [(k, share, cosine) for k, (share, cosine) in found.items()]
+        share, answer, _ = best_stretch(wanted, region, s)
+        if (share >= s.covered or (share >= s.paraphrased and answer >= s.answered)) and share > best.get((i, k), (0.0, 0.0))[0]:
+            best[i, k] = (share, float(cosine[c]))
+    return [(i, k, share, value) for (i, k), (share, value) in best.items()]
 
 
 def _block(docs: DataFrame, bench: DataFrame, s: Settings) -> DataFrame | None:
-    rows = bench.toArrow()
+    rows = _lower(bench).toArrow()
     items = Items.of(rows.column("item_id").to_pylist(), rows.column("text"))
     if not len(items.vocabulary):
         return None
     n, df = passage_frequencies(docs, items, s.span)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    fewer = items.without_common(df, n, s)
+    idf = np.log((n + 1) / (df[np.isin(items.vocabulary, fewer.vocabulary)] + 1)) + 1e-3
+    items = fewer
     space = latent_space(docs, items, idf, s)
     targets = np.zeros((len(items.ids), space.shape[1]), np.float32)
     for k, w in enumerate(items.words):
         if len(w):
-            number = np.searchsorted(items.vocabulary, w)
+            _, number = items.hits(w)
             v = (space[number] * idf[number, None]).sum(axis=0)
             targets[k] = v / max(float(np.sqrt(v @ v)), 1e-9)
     held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), space, targets))
@@ -244,13 +297,12 @@ def _block(docs: DataFrame, bench: DataFrame, s: Settings) -> DataFrame | None:
         items, idf, space, targets = held.value
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
-            for a, b, words, first in content_words(batch.column("text")):
-                for i in range(b - a):
-                    out += [(ids[a + i], items.ids[k], share, cosine) for k, share, cosine in leaks_of(words[first[i] : first[i + 1]], items, idf, space, targets, s)]
+            for a, _, words, first in content_words(batch.column("text")):
+                out += [(ids[a + i], items.ids[k], share, cosine) for i, k, share, cosine in leaks_in(words, first, items, idf, space, targets, s)]
             if out:
                 yield dict(zip(("doc_id", "item_id", "share", "cosine"), map(list, zip(*out))))
 
-    return arrow_pass(docs.select("doc_id", "text"), run, "doc_id long, item_id long, share double, cosine double")
+    return arrow_pass(_lower(docs).select("doc_id", "text"), run, "doc_id long, item_id long, share double, cosine double")
 
 
 def leaks(docs: DataFrame, bench: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -86,7 +86,9 @@ def test_latent_space_is_that_of_the_svd(spark):
     a = a[a.any(axis=1)]
     a /= np.linalg.norm(a, axis=1)[:, None]
     assert n == len(np.concatenate(rows)) and (df == (np.concatenate(rows) > 0).sum(0)).all()
-    v = D.latent_space(d, items, idf, D.Settings(rank=10, extra=60))
     s = np.linalg.svd(a, compute_uv=False)
-    kept = np.linalg.norm(a @ v.astype(float)) ** 2
+    v = D.latent_space(d, items, idf, D.Settings(rank=10, extra=300))
+    sizes = 1 / np.linalg.norm(v, axis=0)
+    assert np.allclose(sizes, s[:10], rtol=0.1)
+    kept = np.linalg.norm(a @ (v * sizes).astype(float)) ** 2
     assert kept > 0.85 * (s[:10] ** 2).sum()
