@@ -62,7 +62,7 @@ class Store:
         """S19; filters on partition columns prune files."""
         schema = self._SCHEMAS[table]
         for part in self._PARTS.get(table, []):
-            schema = type(schema)(schema.fields).add(part, "string")
+            schema = type(schema)([*schema.fields]).add(part, "string")
         if not self._exists(table):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(table))

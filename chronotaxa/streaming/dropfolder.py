@@ -33,7 +33,7 @@ def load_files(store: Store, code: str, paths: list[str], read: Callable[[str],
 
 def watch(spark: SparkSession, store: Store, code: str, folder: str, read: Callable[[str], DataFrame], checkpoint: str, pattern: str = "*.csv") -> StreamingQuery:
     """A streaming query over the folder. Files' contents are not read by the stream itself; a batch that is run again finds its releases loaded."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder).select("path")
 
     def batch(df: DataFrame, _: int) -> None:
         load_files(store, code, [r["path"].removeprefix("file:") for r in df.collect()], read)
