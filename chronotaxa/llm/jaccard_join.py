@@ -20,7 +20,8 @@ the ``heavy`` most frequent are broadcast (at most 16 bytes each). Columns expec
 are salted over several tasks. Results are exact: overlaps are counted on whole sets of 64-bit n-gram hashes.
 
 Defined results: a null text or one without words has an empty set (n_shingles 0) and is its own component;
-repeated rows with one doc_id all appear; other columns are ignored.
+repeated rows with one doc_id all appear; a row without doc_id appears with its class's component, null if no row of it
+has an id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def fold(sketch: np.ndarray, longs: int) -> np.ndarray:
     return sketch
 
 
-def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 21) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 20) -> DataFrame:
     """Rows (doc_id, n, sid, check, sketch), and rows (token, hits) of n-grams met more than once among a task's distinct sets."""
 
     def run(batches):
@@ -269,7 +270,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy
     docs = docs.select("doc_id", "text")
     for seed in range(8):
         first = stage.write(_signatures(docs, width, seed), "signatures")
-        known = first.where("doc_id is not null")
+        known = first.where("n is not null")
         if not known.groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").take(1):
             break  # no two different sets share their 64-bit id
     often = first.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).where("hits >= 8").orderBy(F.desc("hits"), "token").limit(heavy).toPandas()

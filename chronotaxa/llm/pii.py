@@ -164,4 +164,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
       (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
         if(s.start < a.at, a.out, cast(concat(a.out, array(substr(text, a.at + 1, s.start - a.at), {label})) as array<string>))),
       a -> concat(array_join(a.out, ''), substr(text, a.at + 1))))"""
-    return annotate(docs, **options).withColumn("text", F.expr(out)).drop("pii_base", "pii_spans")
+    # The other columns travel in one struct, so that their names cannot clash with the working columns.
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("pii_row"))
+    done = annotate(packed, **options).withColumn("text", F.expr(out))
+    return done.select(*(F.col("text") if c == "text" else F.col("pii_row").getField(c).alias(c) for c in docs.columns))

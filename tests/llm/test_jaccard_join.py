@@ -64,6 +64,8 @@ def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(tuple(r) for r in J.jaccard_classes(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert J.jaccard_classes(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "other words stand in this one")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in J.jaccard_classes(df).collect()), key=str) == [(7, 2, 7), (None, 2, 7), (None, 2, None)]
 
 
 def test_survivors_include_every_linked_row():

@@ -82,6 +82,8 @@ def test_sanitised_text(telling, spark):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    none = spark.createDataFrame([], "doc_id long, text string, entity string, term string, n_e int")
+    none = spark.createDataFrame([], "doc_id long, text string, entity string, term string, n_e int, pii_base string, pii_spans int, pii_row int")
     assert pii.detect(none).count() == 0
     assert pii.sanitise(none).columns == none.columns
+    row = spark.createDataFrame([(None, "a@b.co", "e", "t", 1, "x", 2, 3)], none.schema)
+    assert tuple(pii.sanitise(row).first()) == (None, "[EMAIL]", "e", "t", 1, "x", 2, 3)
