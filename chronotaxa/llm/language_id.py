@@ -21,11 +21,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import arrow_pass, crc_mod
+from .shared import arrow_pass, crc_mod, pieces
 
 UNKNOWN = "und"
 _WIDTH = 4
@@ -96,7 +97,7 @@ class Model:
         return np.maximum(0.0, (out - n * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
 
 
-def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots: int = 1 << 21, flush: int = 1 << 22) -> Model:
+def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots: int = 1 << 21, flush: int = 1 << 19) -> Model:
     """Learns from all rows of (text, lang); null texts and labels teach nothing."""
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(_MOST_LANGUAGES + 1).collect()
@@ -148,35 +149,52 @@ def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots
     return Model(names, table, density ** len(_HASHES))
 
 
+def judge(m: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, the winner's lead over the runner-up, and the share of n-grams it contains, for each text of a column."""
+    pred, score, support = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    data, offsets = textkit.buffers(texts)
+    ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
+    has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
+    for i in np.flatnonzero(~has & (np.diff(offsets) > 0)):
+        has[i] = any(map(str.isalpha, texts[int(i)].as_py()))
+    if m.languages:
+        for a, b, g, first in gram_rows(texts):
+            c, n = m.counts(g, first), np.diff(first)
+            best = c.argmax(axis=1)
+            order = np.sort(c, axis=1)
+            top, second = order[:, -1], order[:, -2] if c.shape[1] > 1 else 0.0 * order[:, -1]
+            score[a:b] = np.where(has[a:b] & (top > 0), top / np.maximum(top + second, 1e-9), 0.0)
+            support[a:b] = np.where(has[a:b], np.minimum(1.0, top / np.maximum(n, 1)), 0.0)
+            for i in np.flatnonzero(has[a:b]):
+                pred[a + i] = m.languages[best[i]]
+    return pred, score, support
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, support: the winner's lead over the runner-up, and the share of n-grams it contains."""
+    """doc_id, lang_pred, score, support."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches):
-        m = held.value
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            pred, score, support = [UNKNOWN] * len(ids), np.zeros(len(ids)), np.zeros(len(ids))
-            data, offsets = textkit.buffers(texts)
-            ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
-            has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-            for i in np.flatnonzero(~has & (np.diff(offsets) > 0)):
-                has[i] = any(map(str.isalpha, texts[int(i)].as_py()))
-            if m.languages:
-                for a, b, g, first in gram_rows(texts):
-                    c, n = m.counts(g, first), np.diff(first)
-                    best = c.argmax(axis=1)
-                    order = np.sort(c, axis=1)
-                    top, second = order[:, -1], order[:, -2] if c.shape[1] > 1 else 0.0 * order[:, -1]
-                    score[a:b] = np.where(has[a:b] & (top > 0), top / np.maximum(top + second, 1e-9), 0.0)
-                    support[a:b] = np.where(has[a:b], np.minimum(1.0, top / np.maximum(n, 1)), 0.0)
-                    for i in np.flatnonzero(has[a:b]):
-                        pred[a + i] = m.languages[best[i]]
-            yield {"doc_id": ids, "lang_pred": pred, "score": score, "support": support}
+            pred, score, support = judge(held.value, batch.column("text"))
+            yield {"doc_id": batch.column("doc_id"), "lang_pred": pred, "score": score, "support": support}
 
     return arrow_pass(docs.select("doc_id", "text"), judged, "doc_id long, lang_pred string, score double, support double")
 
 
+def keep_known(docs: DataFrame, least_support: float, **options) -> DataFrame:
+    """The documents in a learned language that contains at least that share of their n-grams; one narrow pass."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs.where(crc_mod("doc_id", 4) != 2), **options))
+
+    def kept(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                pred, _, support = judge(held.value, part.column("text"))
+                yield part.filter(pa.array([p != UNKNOWN and s >= least_support for p, s in zip(pred, support)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, support; learned from the rows whose crc32 remainder by 4 is not 2."""
     model = fit(docs.where(crc_mod("doc_id", 4) != 2), **options)

@@ -52,7 +52,7 @@ class Codec:
         self.names = [p for p, _, _ in model.pieces]
         self.separable = not model.whitespace_as_suffix and model.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p in self.names)
         self.whole = self._build(prefix=model.add_dummy_prefix)
-        self.rest = self._build(prefix=False)
+        self._rest = None
         surfaces = [_surface(model, p, kind) for p, _, kind in model.pieces]
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in surfaces])))
         self.bytes = np.frombuffer(b"".join(surfaces), dtype=np.uint8)
@@ -61,6 +61,13 @@ class Codec:
     def load(cls, data: bytes, threads: int = 2) -> Codec:
         return cls(SentencePieceModel.parse(data), threads)
 
+    @property
+    def rest(self):
+        """For the later parts of a long text; built when there is one."""
+        if self._rest is None:
+            self._rest = self._build(prefix=False)
+        return self._rest
+
     def _build(self, prefix: bool):
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
@@ -110,7 +117,11 @@ class Codec:
         first.append(len(pieces))
         lead = set(first[:-1])
         ids: list[np.ndarray | None] = [None] * len(pieces)
-        for tokenizer, own in ((self.whole, [k for k in range(len(pieces)) if k in lead]), (self.rest, [k for k in range(len(pieces)) if k not in lead])):
+        for first_part in (True, False):
+            own = [k for k in range(len(pieces)) if (k in lead) == first_part]
+            if not own:
+                continue
+            tokenizer = self.whole if first_part else self.rest
             at = 0
             while at < len(own):
                 to, size = at, 0

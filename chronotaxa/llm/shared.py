@@ -73,16 +73,25 @@ class Stage:
         self.spark.sparkContext._jvm.System.gc()
 
 
+ROWS = 512
+
+
+def pieces(batch: pa.RecordBatch, rows: int = ROWS):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def arrow_pass(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(batch) -> dict of columns | None`` or a generator of them, over Arrow batches."""
+    """``fn(batches)`` yields dicts of columns. It gets batches of at most ``ROWS`` rows, so that what it makes of one stays small."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for out in fn(batches):
+        for out in fn(piece for batch in batches for piece in pieces(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -17,16 +17,26 @@ from chronotaxa.llm.shared import Stage
 LEAST_SUPPORT = 0.2
 
 
+#: Ids up to this number (counted) go to the documents; of more, the documents are shuffled.
+BROADCAST_IDS = 250_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``."""
+    ids = Stage(docs.sparkSession, "ids").write(ids)
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without a letter, or in no learned language, go."""
-    found = language_id.identify(docs).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("support") >= LEAST_SUPPORT))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return language_id.keep_known(docs, LEAST_SUPPORT)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of each group of near copies, the document with the smallest id stays; of rows that repeat an id, one."""
-    kept = jaccard_join.jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    classes = jaccard_join.jaccard_classes(docs)
+    out = without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -36,7 +46,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that leak a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(decontaminate.leaks(docs, bench).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, decontaminate.leaks(docs, bench).select("doc_id").distinct())
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
