@@ -9,6 +9,7 @@ from ..functions.text import describe_page, describe_report, round2
 from ..operators import detect, match, similar, stability
 from . import model
 from .pair import CODE, index_sql, pair_sql, release_pair
+from .staging import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -186,12 +187,12 @@ def rename_candidate_scores(spark, sf_dir):
     _rename_sql("SELECT new_key AS anchor_key, old_id AS from_usage_id, new_id AS to_usage_id, old_name AS from_name, new_name AS to_name, CAST(round_even(raw, 2) AS DOUBLE) AS confidence FROM scored WHERE raw >= 88 QUALIFY row_number() OVER (PARTITION BY new_key ORDER BY raw DESC, old_ord) = 1"),
 )
 def probable_renames(spark, sf_dir):
-    found = detect.probable_renames(*detect.unexplained(_pairs(spark, sf_dir, "name"), None))
+    found = detect.probable_renames(*detect.unexplained(cut(_pairs(spark, sf_dir, "name")), None))
     return found.select("anchor_key", "from_usage_id", "to_usage_id", "from_name", "to_name", "confidence")
 
 
 def _log(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir, kind)
+    pairs = cut(_pairs(spark, sf_dir, kind))  # read by a dozen branches
     return detect.with_tracks(detect.union(detect.all_changes(pairs, kind)), pairs, CODE, kind)
 
 
