@@ -5,7 +5,10 @@ cannot bring a passage nearer to one), without words that more than ``common`` o
 item's ``rarest`` words. A distributed randomised SVD gives the latent space: with A
 the passages of the whole corpus and W random signs, tasks accumulate Y'Y and Y'A for Y = AW; from
 Y = QR follows B = Q'A = R'^-1 Y'A, and B's right singular vectors are A's. Windows of ``window`` words, at half that
-step, are projected, and items within cosine ``cosine`` are candidates. If the words around a window hold at least
+step, are projected, and items within cosine ``cosine`` that share a kept word with it are candidates. So is, whatever
+its cosine, every item of whose kept words a window holds ``least``: an inverted index counts them exactly, for all windows.
+A stretch with a whole item has a window that reaches ``least``, so verbatim leaks do not depend on the sketch; one that
+keeps ``paraphrased`` of an item's kept words has one too. If the words around a window hold at least
 ``paraphrased`` of an item's, they are checked word by word: a
 document leaks an item if the longest common subsequence of the item and a stretch of at most ``stretch`` times
 its length covers ``covered`` of the item, or ``paraphrased`` of it and ``answered`` of its answer (its last
@@ -61,6 +64,7 @@ class Settings:
     answered: float = 0.8
     stretch: float = 1.25
     block: int = 4096
+    seed: int = 0
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,8 @@ class Items:
     bits: np.ndarray
     pairs: np.ndarray = None
     least: np.ndarray = None
+    postings: np.ndarray = None
+    members: list[dict[int, int]] = None
 
     @classmethod
     def of(cls, ids: list[int], texts) -> Items:
@@ -97,8 +103,21 @@ class Items:
             pairs.append(np.unique(number) * len(self.ids) + k)
             # A step of half a window leaves one that holds as many of the item's words as half a window and one, or all.
             held = min(len(w), s.window // 2 + 1) * len(number) / max(1, len(w))
-            least[k] = max(1, int(0.7 * s.paraphrased * held))
-        return Items(out.ids, out.words, out.vocabulary, bits, np.sort(np.concatenate(pairs)), least)
+            # Every other window covers a stretch, and the best of them holds its share of what the stretch keeps.
+            windows = -(-(s.window // 2 - 1 + max(len(w), int(s.stretch * len(w)))) // s.window)
+            least[k] = max(1, min(int(0.7 * s.paraphrased * held), int(s.paraphrased * len(number) / max(1, windows))))
+        pairs = np.sort(np.concatenate(pairs))
+        postings = np.searchsorted(pairs, np.arange(len(out.vocabulary) + 1) * len(self.ids))
+        members = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)))) for w in self.words]
+        return Items(out.ids, out.words, out.vocabulary, bits, pairs, least, postings, members)
+
+    def shared(self, entry: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, kept words that they share) of all pairs that share one; window w holds the entries of w and w + 1."""
+        n = self.postings[number + 1] - self.postings[number]
+        item = self.pairs[np.repeat(self.postings[number] - np.cumsum(n) + n, n) + np.arange(n.sum())] % len(self.ids)
+        key = np.repeat(entry, n) * len(self.ids) + item
+        key, times = np.unique(np.concatenate((key, key - len(self.ids))), return_counts=True)
+        return key // len(self.ids), key % len(self.ids), times
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of vocabulary words, and their numbers."""
@@ -152,7 +171,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, s: Settings) ->
     Projected so, passages are rows of left singular vectors: every latent direction weighs alike, and common words don't drown the rest.
     """
     width = min(s.rank + s.extra, len(idf))
-    held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.random.default_rng(0).choice([-1.0, 1.0], (len(idf), width)).astype(np.float32)))
+    held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.random.default_rng(s.seed).choice([-1.0, 1.0], (len(idf), width)).astype(np.float32)))
 
     def run(batches):
         items, idf, signs = held.value
@@ -221,9 +240,12 @@ def best_stretch(item: np.ndarray, words: np.ndarray, s: Settings) -> tuple[floa
     answer = item[-max(3, -(-len(item) // 5)) :]
     best = (0.0, 0.0, 0)
     starts = sorted({*range(0, max(1, len(words) - size + 1), step), max(0, len(words) - size)})
+    held = np.concatenate(([0], np.cumsum(np.isin(words, item)))).tolist()
     for at in starts:
-        part = words[at : at + size]
-        if np.isin(part, item).sum() >= s.paraphrased * len(item) - 1e-9:
+        if best[0] >= 1.0:
+            break
+        if held[min(at + size, len(words))] - held[at] >= s.paraphrased * len(item) - 1e-9:
+            part = words[at : at + size]
             share = lcs(item, part) / len(item)
             if share > best[0]:
                 best = (share, lcs(answer, part) / len(answer), at)
@@ -247,31 +269,29 @@ def leaks_in(words: np.ndarray, first: np.ndarray, items: Items, idf: np.ndarray
     before = which[np.maximum(place - 1, 0)] == own - 1
     both[place[before] - 1] += total[before]
     near = (both @ targets.T) / np.maximum(np.sqrt((both**2).sum(axis=1)), 1e-9)[:, None]
-    window, item = np.nonzero(near >= s.cosine)
+    window, item, times = items.shared(start[row] + (at - first[row]) // half, number)
+    window = np.searchsorted(which, window)
     cosine = near[window, item]
-    # How many of the window's words the item has, against what a leak leaves in its best window.
-    entry = start[row] + (at - first[row]) // half
-    lo = np.searchsorted(entry, which[window])
-    n = np.searchsorted(entry, which[window] + 2) - lo
-    pair = np.repeat(np.arange(len(window)), n)
-    key = number[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] * len(items.ids) + item[pair]
-    known = items.pairs[np.minimum(np.searchsorted(items.pairs, key), len(items.pairs) - 1)] == key
-    shared = np.bincount(pair[known], minlength=len(window))
-    near_enough = shared >= items.least[item]
-    window, item, cosine = window[near_enough], item[near_enough], cosine[near_enough]
+    candidate = (times >= items.least[item]) | (cosine >= s.cosine)
+    window, item, cosine = window[candidate], item[candidate], cosine[candidate]
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    for c in np.argsort(-cosine, kind="stable"):
-        w, k = int(which[window[c]]), int(item[c])
-        i = int(np.searchsorted(start, w, side="right")) - 1
-        if i < 0 or i >= len(first) - 1 or best.get((i, k), (0.0, 0.0))[0] >= 1.0:
+    order = np.argsort(-cosine, kind="stable")
+    row = np.searchsorted(start, which[window], side="right") - 1
+    order = order[(row[order] >= 0) & (row[order] < len(first) - 1)]
+    row, item, cosine = row[order], item[order], cosine[order]
+    offset, size = (which[window[order]] - start[row]) * half, np.array([len(w) for w in items.words])[item]
+    lo = first[row] + np.maximum(0, offset - size)
+    hi = np.minimum(first[row + 1], first[row] + offset + s.window + size)
+    for i, k, value, a, b in zip(*(x.tolist() for x in (row, item, cosine, lo, hi))):
+        if best.get((i, k), (0.0, 0.0))[0] >= 1.0:
             continue
-        wanted, offset = items.words[k], (w - int(start[i])) * half
-        region = words[first[i] + max(0, offset - len(wanted)) : min(first[i + 1], first[i] + offset + s.window + len(wanted))]
-        if np.isin(wanted, region).sum() < s.paraphrased * len(wanted) - 1e-9:
+        wanted, region = items.words[k], words[a:b]
+        has = items.members[k]
+        if sum(map(has.__getitem__, has.keys() & region.tolist())) < s.paraphrased * len(wanted) - 1e-9:
             continue
         share, answer, _ = best_stretch(wanted, region, s)
         if (share >= s.covered or (share >= s.paraphrased and answer >= s.answered)) and share > best.get((i, k), (0.0, 0.0))[0]:
-            best[i, k] = (share, float(cosine[c]))
+            best[i, k] = (share, value)
     return [(i, k, share, value) for (i, k), (share, value) in best.items()]
 
 

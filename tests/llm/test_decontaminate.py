@@ -92,3 +92,25 @@ def test_latent_space_is_that_of_the_svd(spark):
     assert np.allclose(sizes, s[:10], rtol=0.1)
     kept = np.linalg.norm(a @ (v * sizes).astype(float)) ** 2
     assert kept > 0.85 * (s[:10] ** 2).sum()
+
+
+def test_leaks_are_found_whatever_their_cosine(spark):
+    docs, bench, want = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache()
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    planted = {(i, 100 + k) for i, k in want.items()}
+    for s in (D.Settings(cosine=2.0), D.Settings(rank=3, extra=0, seed=1), D.Settings(rank=3, extra=0, seed=2)):
+        assert planted <= {(r.doc_id, r.item_id) for r in D.leaks(d, b, s).collect()}
+
+
+def test_shared_words_of_windows():
+    docs, bench, _ = corpus()
+    items = D.Items.of([i for i, _ in bench], pa.array([t for _, t in bench]))
+    items = items.without_common(np.zeros(len(items.vocabulary), np.int64), 100, D.Settings())
+    (_, _, words, _), = D.content_words(pa.array([docs[0][1]]))
+    at, number = items.hits(words)
+    got = {(int(w), int(k)): int(n) for w, k, n in zip(*items.shared(at // 16, number))}
+    for w in range(-1, len(words) // 16 + 1):
+        part = words[max(0, 16 * w) : 16 * w + 32]
+        for k, item in enumerate(items.words):
+            assert got.get((w, k), 0) == np.isin(part, item).sum()
