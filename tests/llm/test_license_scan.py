@@ -75,3 +75,38 @@ def test_frames(spark):
     got = sorted((r.doc_id, r.n_hits, r.licenses, r.best) for r in L.scan(df).collect() if r.doc_id != 2)
     assert got == [(1, 1, "MIT", "MIT"), (3, 1, "CC-BY-NC-4.0", "CC-BY-NC-4.0"), (4, 0, "", None)]
     assert L.scan(df).count() == 5 and L.scan(df.limit(0)).count() == 0
+
+
+def best_spans(text, templates, t):
+    """Licences of which any run of words reaches the threshold."""
+    every, out = words(text), set()
+    for lo in range(len(every)):
+        for hi in range(lo + 2, len(every) + 1):
+            mine = grams(every[lo:hi])
+            out |= {name for name, body in templates if 2 * (mine & grams(words(body))).total() >= t * (mine.total() + grams(words(body)).total())}
+    return out
+
+
+def test_spans_are_those_of_all_runs_of_words():
+    templates = [("MIT", "Released under the MIT License."), ("ISC", "Distributed under the terms of the ISC License."), ("A", "one two three four five six seven one two three")]
+    rng, pool = random.Random(5), "released under the mit isc license distributed terms of one two three four five six seven".split()
+    for _ in range(150):
+        text = " ".join(" ".join(words(rng.choice(templates)[1])[rng.randint(0, 2) :]) if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randint(1, 12)))
+        found = L.scan_column(pa.array(["x y", text]), L.Templates.of(templates, 0.85), spans=True)
+        assert not found[0] and {k for k, _ in found[1]} <= best_spans(text, templates, 0.85)
+        for one in templates:
+            found = L.scan_column(pa.array([text]), L.Templates.of([one], 0.85), spans=True)
+            assert {k for k, _ in found[0]} == best_spans(text, [one], 0.85)
+
+
+def test_licences_inside_longer_texts():
+    templates = L.Templates.of(L.default_templates(), 0.85)
+    code = "\n".join(f"def f{i}(x, y): return x + {i} * y" for i in range(30))
+    mit = L.TEXTS["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    cases = [(f"Copyright 2020 Someone\n\n{mit}\n\n{code}", "MIT"), ("Copyright 2020 Someone. Released under the MIT License. All rights reserved.", "MIT"), ("This file is licensed under the MIT License.", "MIT"), (f"{code}\nnothing\n\nunder the terms of", None)]
+    cases += [(f"{code}\n# {body}\n{code}", name) for name, body in L.NOTICES]
+    for (text, name), got in zip(cases, L.scan_column(pa.array([x for x, _ in cases]), templates, spans=True)):
+        assert [k for k, _ in got] == [name] * (name is not None), (text, got)
+    assert {name for name, _ in L.NOTICES} | set(L.TEXTS) == set(L.NAMES)
+    twice = L.scan_column(pa.array([f"{mit}\n\n{code}\n\n{mit}"]), templates, spans=True)
+    assert [k for k, _ in twice[0]] == ["MIT", "MIT"]
