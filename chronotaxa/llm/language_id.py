@@ -7,8 +7,10 @@ side: a slot is a bit mask of languages, and the conjunction of an n-gram's slot
 languages that contain it. A text's n-grams are looked up at once; per-language popcounts c, corrected
 for the language's false positive rate f over n lookups, (c - n f) / (1 - f), decide.
 
-Sizes are bounded: the table has ``slots`` entries of one byte for each eight languages, and the model
-keeps the ``vocabulary`` most frequent n-grams. Both are parameters; the counts cover all the rows.
+Sizes are bounded: every language has room for its own ``vocabulary`` most frequent n-grams (an equal share of ``_MOST_GRAMS``,
+if that is less), whatever the others hold, and an n-gram kept for one language counts for all that it belongs to. The table has
+``slots`` entries of one byte for each eight languages, more if the fullest filter asks for it. Both are parameters;
+the counts cover all the rows. Of n-grams tied at a language's last count, a fixed hash picks about as many as there is room for.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter (also for every row if
 nothing could be learned); ties, and texts none of whose n-grams are known, go to the language with more
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import arrow_pass, crc_mod, pieces
+from .shared import Stage, arrow_pass, crc_mod, pieces
 
 UNKNOWN = "und"
 _WIDTH = 4
@@ -38,6 +40,9 @@ _CLEAN = np.full(256, 32, dtype=np.uint8)
 _CLEAN[97:123] = _CLEAN[65:91] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
 _MOST_LANGUAGES = 4096
+#: Of n-grams that are kept for all languages together.
+_MOST_GRAMS = 1 << 23
+_MOST_BYTES = 1 << 28
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,28 +132,50 @@ def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots
             yield out()
 
     sums = arrow_pass(rows, counted, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    each = sums.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top = each.orderBy(F.desc("total"), "gram").limit(vocabulary).toPandas()
-    size = sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    per = np.ones(max(1, len(names)))
-    for r in size:
-        per[r.lang] = max(1, r.n)
-    rate = np.zeros((len(top), len(per)))
-    for i, by in enumerate(top["by"]):
-        for x in by:
-            rate[i, x["lang"]] = x["n"]
-    rate /= per
-    member = (rate > 0) & (rate >= share * rate.max(axis=1, keepdims=True)) if len(top) else rate > 0
-    table = np.zeros((slots, (max(1, len(names)) + 7) // 8), dtype=np.uint8)
+    stage = Stage(rows.sparkSession, "grams")
+    sums = stage.write(sums)
+    member = _members(sums, len(names), share, max(1, min(vocabulary, _MOST_GRAMS // max(1, len(names)))))
+    stage.drop(sums)
+    lang, gram = member.column("lang").to_numpy(), member.column("gram").to_numpy()
+    width = (max(1, len(names)) + 7) // 8
+    fullest = int(np.bincount(lang).max(initial=0))
+    while slots < 16 * fullest and 2 * slots * width <= _MOST_BYTES:
+        slots *= 2
+    table = np.zeros((slots, width), dtype=np.uint8)
     model = Model(names, table, np.zeros(len(names)))
-    where = model.slots(top["gram"].to_numpy(np.int64).astype(np.uint32))
+    where = model.slots(gram.astype(np.uint32))
     for k in range(len(names)):
         for s in where:
-            table[s[member[:, k]], k // 8] |= np.uint8(1 << (k % 8))
+            table[s[lang == k], k // 8] |= np.uint8(1 << (k % 8))
     density = np.array([np.mean((table[:, k // 8] >> np.uint8(k % 8)) & 1) for k in range(len(names))])
     return Model(names, table, density ** len(_HASHES))
 
 
+def _members(sums: DataFrame, languages: int, share: float, room: int) -> pa.Table:
+    """(gram, lang): the languages that each n-gram belongs to, of the n-grams that are in some language's room."""
+    size = sums.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()
+    full = [r.lang for r in size if r.grams > room]
+    steps: dict[int, list[tuple[int, int]]] = {k: [] for k in full}
+    if full:
+        wide = sums.sparkSession.createDataFrame([(k,) for k in full], "lang int")
+        for r in sums.join(F.broadcast(wide), "lang").groupBy("lang", "n").agg(F.count("*").alias("grams")).collect():
+            steps[r.lang].append((r.n, r.grams))
+    limits = []
+    for r in size:
+        least, ties, left = 0, 1, room
+        for n, grams in sorted(steps.get(r.lang, []), reverse=True):
+            least, ties = n, grams
+            if grams > left:
+                break
+            left -= grams
+        limits.append((r.lang, max(1, r.n), least, ties, left))
+    limits = sums.sparkSession.createDataFrame(limits, "lang int, per long, least long, ties long, left long")
+    kept = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.col("ties")) < F.col("left")))
+    rated = sums.join(F.broadcast(limits), "lang").select("gram", "lang", (F.col("n") / F.col("per")).alias("rate"), kept.alias("kept"))
+    each = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.max("kept").alias("kept"), F.collect_list(F.struct("lang", "rate")).alias("by")).where("kept")
+    return each.select("gram", "most", F.explode("by").alias("x")).where(F.col("x.rate") >= share * F.col("most")).select("gram", "x.lang").toArrow()
+
+
 def judge(m: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, the winner's lead over the runner-up, and the share of n-grams it contains, for each text of a column."""
     pred, score, support = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

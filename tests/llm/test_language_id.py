@@ -50,3 +50,24 @@ def test_empty_and_unlabelled(spark):
     assert L.identify(none).count() == 0
     only = spark.createDataFrame([(1, "words here", None)], "doc_id long, text string, lang string")
     assert L.identify(only).first().lang_pred == "und"
+
+
+def test_no_language_crowds_out_another(spark):
+    rng = np.random.default_rng(8)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(1500)]
+    rows = [(i, " ".join(rng.choice(junk, 300)), "zz") for i in range(300)] + [(1000 + i, " ".join(rng.choice(WORDS["de"], 40)), "de") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = L.identify(df, vocabulary=1000).where("doc_id >= 1000").collect()
+    assert all(r.lang_pred == "de" and r.support > 0.9 for r in got)
+    assert L.keep_known(df, 0.2, vocabulary=1000).where("doc_id >= 1000").count() == 24
+
+
+def test_room_of_a_language(spark):
+    rows = [(g, k, n) for k in range(2) for g, n in enumerate([9] * 10 + [5] * 500 + [1] * 5000, 10_000 * k)] + [(10_000, 0, 9)]
+    sums = spark.createDataFrame(rows, "gram long, lang int, n long")
+    kept = {(r["gram"], r["lang"]) for r in L._members(sums, 2, 0.3, 260).to_pylist()}
+    for k in range(2):
+        mine = {g - 10_000 * k for g, lang in kept if lang == k and g // 10_000 == k}
+        assert set(range(10)) <= mine <= set(range(510)) and 200 < len(mine) < 320
+    assert (10_000, 0) in kept and len(L._members(sums, 2, 0.3, 10_000)) == len(rows)
+    assert not len(L._members(sums.limit(0), 0, 0.3, 10))
