@@ -136,6 +136,7 @@ scored AS (SELECT query_id, name_id, canonical_name, 200.0 * p[len(p)] / (length
 SELECT query_id, name_id, canonical_name, CAST(round_even(raw, 2) AS DOUBLE) AS score FROM scored WHERE raw >= 88 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, canonical_name, name_id) <= 25""",
 )
 def resolve_fuzzy(spark, sf_dir):
+    """Fuzzy resolution of misspelt names: asked for those of release 1 with role 9 (one part in 40), which keeps the recursive SQL cheap; candidates are all names."""
     pair = release_pair(spark, sf_dir)
     wrong = F.concat(F.expr("substr(canonical_name, 1, length(canonical_name) - 3)"), F.expr("right(canonical_name, 2)"))
     asked = pair.where("release = 1 and role = 9").select(F.col("usage_id").alias("query_id"), wrong.alias("text"))
