@@ -1,21 +1,32 @@
 """Operator 9 [native]: information-theoretic sanitisation of personal data.
 
 Base detectors find e-mail addresses, IPv4 addresses, payment cards and phone numbers. Corpus
-co-occurrence then estimates how strongly a word near such an entity reveals it. With document counts
-n(t), n(e), n(t,e) and N, the pointwise mutual information PMI(t;e) = log2(n(t,e) N / (n(t) n(e)))
+co-occurrence then estimates how strongly a word reveals such an entity. Entities are taken at three levels, since
+a single value seldom recurs often enough to be judged:
+
+* a value: one address or number;
+* an identity that values share: an e-mail's host and its holder (the part before @), an address's
+  first three parts, a card's first six digits, what precedes the last seven digits of a phone number;
+* a kind: e-mail, ip, card, phone.
+
+With row counts n(t), n(e), n(t,e) and N, the pointwise mutual information PMI(t;e) = log2(n(t,e) N / (n(t) n(e)))
 is held against the information content of the entity, IC(e) = log2(N / n(e)); their ratio is 1 if
 the word gives the entity away. In documents that hold the entity, words whose ratio reaches
-``generalise_at`` become a class label and those that reach ``remove_at`` are removed. A word counts
-only if it stands within ``window`` characters of the entity in ``min_contexts`` different contexts,
-so that copies of one text, or of one passage, are a single piece of evidence.
+``generalise_at`` become a class label and those that reach ``remove_at`` are removed, wherever they stand. For a value or an
+identity n(t,e) counts rows in which the word stands within ``window`` characters of it, for a kind all rows that hold both. A
+pair counts only with ``min_contexts`` different contexts (the ``near`` characters on both sides of the entity, without numbers
+and addresses), so that copies of one text, or of one passage, are a single piece of evidence.
 
-Everything is DataFrame expressions. Texts are never shuffled: both passes over them are narrow, and
-the terms found go back to their documents by a join whose small side is broadcast only if it has at
+A word is a run of letters and combining marks that starts with a letter and has no digit beside it, of any length, in lower case,
+outside e-mail addresses.
+
+Everything is DataFrame expressions. The base spans are found once and staged with the rows; texts are never shuffled, and
+the terms go back to their rows by a join whose small side is broadcast only if it has at
 most ``BROADCAST_ROWS`` rows (counted), else by a shuffled join.
 
 Defined results: a null text counts as empty (and stays null when sanitised); an empty one has no spans.
-Repeated doc_ids are judged row by row and count once for the statistics. Ties at a threshold count as
-reaching it. Other columns of the input are carried along by ``sanitise`` and ignored by ``detect``.
+Each row is a document of its own, whether its doc_id repeats or is null. Ties at a threshold count as
+reaching it; an entity that every row holds is given away by no word. Other columns of the input are carried along by ``sanitise`` and ignored by ``detect``.
 """
 
 from __future__ import annotations
@@ -49,21 +60,23 @@ _VALID = {
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
 _SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
-_WORD = r"\p{L}[\p{L}\p{N}]{2,39}"
+_WORD = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*+(?!\p{N})"
+#: A character that every match of a kind holds; texts without it are not searched.
+_SIGN = {"email": "instr({t}, '@') > 0", "ip": "{t} rlike '[0-9][.][0-9]'", "card": "{t} rlike '[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "instr({t}, '+') > 0"}
 
 
 def _sql_text(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"'") + "'"
 
 
-def _fold(gaps: str, found: str, valid: str, kind: str, rank: int) -> str:
+def _fold(gaps: str, found: str, valid: str, kind: str, rank: int | str) -> str:
     """Positions of matches: the pieces between and the matches alternate, so lengths add up to offsets."""
     return f"""
     cast(aggregate(
-      zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('g', length(g), 'n', length(m), 'ok', {valid})),
+      zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('g', length(g), 'n', length(m), 'ok', {valid}, 'ord', {rank})),
       named_struct('at', 0, 'out', cast(array() as {_SPANS})),
       (a, x) -> named_struct('at', a.at + x.g + x.n, 'out',
-        if(x.ok, cast(array_append(a.out, named_struct('start', a.at + x.g, 'ord', {rank}, 'end', a.at + x.g + x.n, 'kind', '{kind}')) as {_SPANS}), a.out)),
+        if(x.ok, cast(array_append(a.out, named_struct('start', a.at + x.g, 'ord', x.ord, 'end', a.at + x.g + x.n, 'kind', '{kind}')) as {_SPANS}), a.out)),
       a -> a.out) as {_SPANS})"""
 
 
@@ -71,7 +84,7 @@ def with_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the sorted base spans of ``text``; one narrow pass of regular expressions."""
     df = df.withColumn(f"{out}_t", F.coalesce(F.col(text), F.lit("")))
     for kind in KINDS:
-        df = df.withColumn(f"{out}_m_{kind}", F.expr(f"regexp_extract_all({out}_t, {_sql_text(PATTERNS[kind])}, 0)"))
+        df = df.withColumn(f"{out}_m_{kind}", F.expr(f"if({_SIGN[kind].format(t=f'{out}_t')}, regexp_extract_all({out}_t, {_sql_text(PATTERNS[kind])}, 0), cast(array() as array<string>))"))
     for kind in KINDS:
         df = df.withColumn(f"{out}_g_{kind}", F.expr(f"if(size({out}_m_{kind}) > 0, split({out}_t, {_sql_text(PATTERNS[kind])}, -1), cast(array() as array<string>))"))
     folds = ", ".join(_fold(f"{out}_g_{k}", f"{out}_m_{k}", _VALID[k], k, i) for i, k in enumerate(KINDS))
@@ -79,70 +92,109 @@ def with_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.drop(f"{out}_t", *(f"{out}_{p}_{k}" for p in "mg" for k in KINDS))
 
 
-def _ratio():
-    """PMI(t;e) over IC(e); null where every document holds the entity."""
-    return F.log2(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.nullif(F.log2(F.col("n_all") / F.col("n_e")), F.lit(0.0))
+def _words(text: str) -> str:
+    """SQL: the distinct words of a text."""
+    plain = f"if(instr({text}, '@') > 0, regexp_replace({text}, {_sql_text(PATTERNS['email'])}, ' '), {text})"
+    return f"array_distinct(regexp_extract_all(lower({plain}), {_sql_text(_WORD)}, 0))"
 
 
-def disclosures(docs: DataFrame, stage: Stage, window: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """doc_id, general, removed: patterns of the words that give away an entity of that document (may be empty)."""
-    found = with_spans(docs.select("doc_id", "text"), "text", "spans").where("size(spans) > 0")
-    near = found.select(
-        "doc_id",
-        F.explode(
-            F.expr(f"""transform(spans, s -> named_struct(
-                'entity', concat(s.kind, ':', lower(if(s.kind = 'email', substr(text, s.start + 1, s.end - s.start), regexp_replace(substr(text, s.start + 1, s.end - s.start), '[^0-9.]', '')))),
-                'before', if(s.start > {window}, regexp_replace(substr(text, s.start - {window} + 1, {window}), r'^\\S*', ''), substr(text, 1, s.start)),
-                'after', if(length(text) > s.end + {window}, regexp_replace(substr(text, s.end + 1, {window}), r'\\S*$', ''), substr(text, s.end + 1))))""")
-        ).alias("x"),
-    )
-    clean = F.concat_ws(" | ", *(F.regexp_replace(F.regexp_replace(F.lower(F.col(f"x.{side}")), r"\S*[@0-9]\S*", " "), r"\s+", " ") for side in ("before", "after")))
-    near = stage.write(near.select("doc_id", F.col("x.entity").alias("entity"), clean.alias("context")), "contexts")
-    entity = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    beside = near.select("doc_id", "entity", F.xxhash64("context").alias("context_id"), F.explode(F.expr(f"array_distinct(regexp_extract_all(context, {_sql_text(_WORD)}, 0))")).alias("term"))
-    total = F.broadcast(docs.agg(F.count("*").alias("n_all")))
+#: SQL: names of the entities that a span's value stands for, and of the identities it shares with others.
+_NAMES = """case kind
+    when 'email' then array(concat('email:', value), concat('host:', substring_index(value, '@', -1)), concat('holder:', substring_index(value, '@', 1)))
+    when 'ip' then array(concat('ip:', value), concat('net:', regexp_replace(value, '[.][0-9]+$', '')))
+    when 'card' then array(concat('card:', value), concat('issuer:', left(value, 6)))
+    else array(concat('phone:', value), concat('area:', left(value, length(value) - 7))) end"""
+
+
+def _sides(reach: int) -> str:
+    """SQL: the text at most ``reach`` characters before and after a span ``s``, cut at blanks, without numbers and addresses."""
+    before = f"if(s.start > {reach}, regexp_replace(substr(text, s.start - {reach} + 1, {reach}), r'^\\S*', ''), substr(text, 1, s.start))"
+    after = f"if(length(text) > s.end + {reach}, regexp_replace(substr(text, s.end + 1, {reach}), r'\\S*$', ''), substr(text, s.end + 1))"
+    clean = lambda x: f"regexp_replace(regexp_replace(lower({x}), r'\\S*[@0-9]\\S*', ' '), r'\\s+', ' ')"
+    return f"concat({clean(before)}, ' | ', {clean(after)})"
+
+
+def evidence(rows: DataFrame, window: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """(row, entity, context, words) for each entity beside a span or kind in a row, and (row, words) of rows with spans.
+
+    ``rows`` has row, text and pii_base.
+    """
+    found = rows.where("size(pii_base) > 0")
+    own = "lower(substr(text, s.start + 1, s.end - s.start))"
+    span = f"named_struct('kind', s.kind, 'value', if(s.kind = 'email', {own}, regexp_replace({own}, '[^0-9.]', '')), 'context', xxhash64({_sides(near)}), 'words', array_distinct(regexp_extract_all({_sides(window)}, {_sql_text(_WORD)}, 0)))"
+    found = found.select("row", F.expr(f"transform(pii_base, s -> {span})").alias("spans"), F.expr(_words("text")).alias("words"))
+    return found.select("row", F.explode("spans").alias("s")).select("row", "s.*").select("row", F.explode(F.expr(_NAMES)).alias("entity"), "context", "words").union(
+        found.select("row", "words", F.explode("spans").alias("s")).groupBy("row", F.concat(F.lit("kind:"), "s.kind").alias("entity")).agg(F.min("s.context").alias("context"), F.first("words").alias("words"))
+    ), found.select("row", "words")
+
+
+def _ratio(n_all: int):
+    """PMI(t;e) over IC(e); null where every row holds the entity."""
+    return F.log2(F.col("n_te") * F.lit(n_all) / (F.col("n_t") * F.col("n_e"))) / F.nullif(F.log2(F.lit(n_all) / F.col("n_e")), F.lit(0.0))
+
+
+def disclosures(rows: DataFrame, stage: Stage, *, window: int, near: int, min_contexts: int, generalise_at: float) -> DataFrame | None:
+    """(entity, term, n_te, n_t, n_e, ratio) of the words that give an entity away; None if there can be none."""
+    beside, found = (stage.write(x, name) for x, name in zip(evidence(rows, window, near), ("beside", "found")))
+    n_all = rows.count()
+    entity = beside.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    each = beside.select("row", "entity", "context", F.explode("words").alias("term"))
+    # A kind has one row here for each of its rows already; a value may stand in a row several times.
+    kind = F.col("entity").startswith("kind:")
+    each = each.where(kind).union(each.where(~kind).groupBy("row", "entity", "term").agg(F.min("context").alias("context")).select("row", "entity", "context", "term"))
     pairs = (
-        beside.groupBy("entity", "term", "doc_id")
-        .agg(F.min("context_id").alias("context_id"))
-        .groupBy("entity", "term", "context_id")
+        each.groupBy("entity", "term", "context")
         .agg(F.count("*").alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_te"), F.count("*").alias("n_contexts"))
         .where(F.col("n_contexts") >= min_contexts)
         .join(entity, "entity")
     )
-    # A word stands in at least as many documents as near entities: pairs that fail even with that count need no count of all.
-    least = beside.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = pairs.join(least, "term").crossJoin(total).where(_ratio() >= generalise_at).drop("n_t")
-    pairs = stage.write(pairs, "pairs")
+    # A word stands in at least as many rows as there are with spans: pairs that fail even with that count need no count of all.
+    least = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = stage.write(pairs.join(least, "term").where(_ratio(n_all) >= generalise_at).drop("n_t"), "pairs")
     terms = stage.write(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(coalesce(text, '')), {_sql_text(_WORD)}, 0))")).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    scored = pairs.join(n_t, "term").select("entity", "term", _ratio().alias("ratio"))
-    telling = stage.write(scored.where(F.col("ratio") >= generalise_at), "telling")
-    listed = near.select("doc_id", "entity").distinct().join(telling, "entity").groupBy("doc_id", "term").agg(F.max("ratio").alias("ratio"))
-    pattern = lambda on: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_list(F.when(on, F.col("term")))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    n_terms = terms.count()
+    if not n_terms:
+        return None
+    words = rows.select(F.explode(F.expr(_words("text"))).alias("term"))
+    if n_terms <= BROADCAST_ROWS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    telling = pairs.join(n_t, "term").withColumn("ratio", _ratio(n_all)).where(F.col("ratio") >= generalise_at)
+    return stage.write(telling.select("entity", "term", "n_te", "n_t", "n_e", "ratio"), "telling")
+
+
+def _listed(rows: DataFrame, stage: Stage, telling: DataFrame, window: int, near: int, remove_at: float) -> DataFrame:
+    """(row, general, removed): the row's own words that give away an entity of the row."""
+    beside, found = evidence(rows, window, near)
+    few = telling.count() <= BROADCAST_ROWS
+    hit = found.select("row", F.explode("words").alias("term")).join(F.broadcast(telling) if few else telling, "term")
+    hit = hit.join(beside.select("row", "entity").distinct(), ["row", "entity"], "left_semi").groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
     gone = F.col("ratio") >= remove_at
-    both = listed.groupBy("doc_id").agg(F.when(F.count_if(~gone) > 0, pattern(~gone)).alias("general"), F.when(F.count_if(gone) > 0, pattern(gone)).alias("removed"))
-    return stage.write(both, "patterns")
+    return stage.write(hit.groupBy("row").agg(F.collect_list(F.when(~gone, F.col("term"))).alias("general"), F.collect_list(F.when(gone, F.col("term"))).alias("removed")), "listed")
 
 
-def annotate(docs: DataFrame, *, window: int = 64, min_contexts: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
+def annotate(docs: DataFrame, *, window: int = 256, near: int = 64, min_contexts: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
     """The rows of ``docs`` with ``pii_base`` and ``pii_spans``: sorted arrays of (start, ord, end, kind)."""
     stage = Stage(docs.sparkSession, "pii")
-    told = disclosures(docs, stage, window, min_contexts, generalise_at, remove_at)
+    columns = docs.columns
+    rows = stage.write(with_spans(docs.withColumn("row", F.monotonically_increasing_id()), "text", "pii_base"), "rows")
+    telling = disclosures(rows, stage, window=window, near=near, min_contexts=min_contexts, generalise_at=generalise_at)
+    if telling is None or telling.isEmpty():
+        return rows.select(*columns, "pii_base", F.col("pii_base").alias("pii_spans"))
+    told = _listed(rows, stage, telling, window, near, remove_at)
     few = told.count() <= BROADCAST_ROWS
-    told = told.select(F.col("doc_id").alias("pii_id"), F.col("general").alias("pii_general"), F.col("removed").alias("pii_removed"))
-    df = docs.join(F.broadcast(told) if few else told, F.col("doc_id") == F.col("pii_id"), "left").drop("pii_id")
-    df = with_spans(df, "text", "pii_base")
+    df = rows.join(F.broadcast(told) if few else told.hint("shuffle_hash"), "row", "left")
     text = "coalesce(text, '')"
-    for i, kind in enumerate(("general", "removed")):
-        df = df.withColumn(f"pii_m_{kind}", F.expr(f"if(pii_{kind} is null, cast(array() as array<string>), regexp_extract_all({text}, pii_{kind}, 0))"))
-        df = df.withColumn(f"pii_g_{kind}", F.expr(f"if(size(pii_m_{kind}) > 0, split({text}, pii_{kind}, -1), cast(array() as array<string>))"))
-        df = df.withColumn(f"pii_s_{kind}", F.expr(f"if(size(pii_m_{kind}) > 0, {_fold(f'pii_g_{kind}', f'pii_m_{kind}', 'true', 'term', 4 + i)}, cast(array() as {_SPANS}))"))
-    free = "filter(concat(pii_s_general, pii_s_removed), s -> not exists(pii_base, b -> b.start < s.end and s.start < b.end))"
-    df = df.withColumn("pii_spans", F.expr(f"if(size(pii_s_general) + size(pii_s_removed) > 0, array_sort(concat(pii_base, {free})), pii_base)"))
-    return df.drop(*(f"pii_{p}{k}" for p in ("", "m_", "g_", "s_") for k in ("general", "removed")))
+    some = "removed is not null"
+    df = df.withColumn("pii_m", F.expr(f"if({some}, regexp_extract_all({text}, {_sql_text(_WORD)}, 0), cast(array() as array<string>))"))
+    df = df.withColumn("pii_g", F.expr(f"if({some}, split({text}, {_sql_text(_WORD)}, -1), cast(array() as array<string>))"))
+    valid = "array_contains(removed, lower(m)) or array_contains(general, lower(m))"
+    df = df.withColumn("pii_s", F.expr(f"if({some}, {_fold('pii_g', 'pii_m', valid, 'term', 'if(array_contains(removed, lower(m)), 5, 4)')}, cast(array() as {_SPANS}))"))
+    free = "filter(pii_s, s -> not exists(pii_base, b -> b.start < s.end and s.start < b.end))"
+    df = df.withColumn("pii_spans", F.expr(f"if(size(pii_s) > 0, array_sort(concat(pii_base, {free})), pii_base)"))
+    return df.select(*columns, "pii_base", "pii_spans")
 
 
 def _joined(spans: str) -> str:

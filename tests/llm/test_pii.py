@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
+import math
+from collections import defaultdict
+
 import pytest
+import regex
 
 from chronotaxa.llm import pii
 
@@ -56,6 +60,94 @@ def test_base_spans_equal_brute_force(spark):
             assert row[f"n_{kind}"] == sum(x[3] == kind for x in want)
 
 
+WORD = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*+(?!\p{N})")
+
+
+def names(kind, value):
+    if kind == "email":
+        value = value.lower()
+        return ["email:" + value, "host:" + value.split("@")[1], "holder:" + value.split("@")[0]]
+    value = re.sub("[^0-9.]", "", value)
+    if kind == "ip":
+        return ["ip:" + value, "net:" + value.rsplit(".", 1)[0]]
+    return ["card:" + value, "issuer:" + value[:6]] if kind == "card" else ["phone:" + value, "area:" + value[:-7]]
+
+
+def beside(text, s, e, reach):
+    before = regex.sub(r"^\S*", "", text[s - reach : s]) if s > reach else text[:s]
+    after = regex.sub(r"\S*$", "", text[e : e + reach], count=1) if len(text) > e + reach else text[e:]
+    return " | ".join(re.sub(r"\s+", " ", re.sub(r"\S*[@0-9]\S*", " ", x.lower())) for x in (before, after))
+
+
+def brute_statistics(rows, window, near, contexts):
+    """{(entity, term): (n_te, n_t, n_e)}, and each row's base spans, words and entities."""
+    held, n_t, seen = [], defaultdict(int), defaultdict(dict)
+    for k, (_, text) in enumerate(rows):
+        text = text or ""
+        spans, whole = brute(text), set(WORD.findall(EMAIL.sub(" ", text).lower()))
+        for t in whole:
+            n_t[t] += 1
+        entities = defaultdict(set)
+        for s, _, e, kind in spans:
+            for entity in [*names(kind, text[s:e]), "kind:" + kind]:
+                entities[entity].add(beside(text, s, e, near))
+                for t in whole if entity == "kind:" + kind else set(WORD.findall(beside(text, s, e, window))):
+                    seen[entity, t].setdefault(k, set()).add(beside(text, s, e, near))
+        held.append((spans, whole, entities))
+    n_e = defaultdict(int)
+    for _, _, entities in held:
+        for entity in entities:
+            n_e[entity] += 1
+    return {p: (len(at), n_t[p[1]], n_e[p[0]]) for p, at in seen.items() if len({min(c) for c in at.values()}) >= contexts}, held
+
+
+def ratio(n_te, n_t, n_e, n):
+    return math.log2(n_te * n / (n_t * n_e)) / math.log2(n / n_e) if n_e < n else -1.0
+
+
+def sentences(seed):
+    """Short texts whose words and entities are drawn so that some words lean towards some entities."""
+    rng = random.Random(seed)
+    filler = ["über", "and", "the", "cafe\u0301", "maps", "hats", "of", "o", "sehrlangeswort" * 5, "a1b", "it's"]
+    teams = [("ann", "x@one.org", "nova"), ("bob", "y@one.org", "nova"), ("eve", "z@two.net", "orbit"), ("kim", "10.1.2.3", "delta"), ("lee", "10.1.2.77", "delta"), ("max", "+1 (212) 555-0100", "east"), ("ned", "4111 1111 1111 1111", "visa")]
+    out = [(None, None), (None, ""), (7, "x"), (7, "x")]
+    for k in range(300):
+        words = [rng.choice(filler) for _ in range(rng.randint(3, 40))]
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):
+            name, entity, group = rng.choice(teams)
+            at = rng.randrange(len(words))
+            words[at:at] = [w for w in (name, entity, group, rng.choice(filler)) if w == entity or rng.random() < 0.8]
+        if rng.random() < 0.05:
+            words.append(rng.choice(teams)[0])
+        out.append((k, " ".join(words)))
+    return out + out[20:24] * 5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_statistics_and_terms_equal_brute_force(spark, seed):
+    rows = sentences(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    options = {"window": 40, "near": 16, "min_contexts": 3, "generalise_at": 0.7, "remove_at": 0.9}
+    pairs, held = brute_statistics(rows, 40, 16, 3)
+    stage = pii.Stage(spark, "test")
+    from pyspark.sql import functions as F
+
+    plain = stage.write(pii.with_spans(df.withColumn("row", F.monotonically_increasing_id()), "text", "pii_base"))
+    got = {(r.entity, r.term): (r.n_te, r.n_t, r.n_e) for r in pii.disclosures(plain, stage, **{k: v for k, v in options.items() if k != "remove_at"}).collect()}
+    telling = {p: r for p, n in pairs.items() if (r := ratio(*n, len(rows))) >= 0.7}
+    assert got == {p: pairs[p] for p in telling}
+    assert {e.split(":")[0] for e, _ in telling} >= {"kind", "host", "net", "email"}
+    want = []
+    for (doc_id, text), (spans, whole, entities) in zip(rows, held):
+        best = {t: max((telling.get((e, t), -1) for e in entities), default=-1) for t in whole}
+        terms = [(m.start(), 5 if best[m.group().lower()] >= 0.9 else 4, m.end(), "term") for m in WORD.finditer(text or "") if best.get(m.group().lower(), -1) >= 0.7]
+        terms = [x for x in terms if not any(b[0] < x[2] and x[0] < b[2] for b in spans)]
+        want.append((doc_id, ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans + terms))))
+    got = [(r.doc_id, r.spans) for r in pii.detect(df, **options).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum("term" in s for _, s in want) > 20
+
+
 @pytest.fixture(scope="module")
 def telling(spark):
     """A name that only ever stands beside one address, in different sentences; filler that stands everywhere."""
