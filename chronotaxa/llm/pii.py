@@ -98,12 +98,12 @@ def _words(text: str) -> str:
     return f"array_distinct(regexp_extract_all(lower({plain}), {_sql_text(_WORD)}, 0))"
 
 
-#: SQL: names of the entities that a span's value stands for, and of the identities it shares with others.
-_NAMES = """case kind
-    when 'email' then array(concat('email:', value), concat('host:', substring_index(value, '@', -1)), concat('holder:', substring_index(value, '@', 1)))
-    when 'ip' then array(concat('ip:', value), concat('net:', regexp_replace(value, '[.][0-9]+$', '')))
-    when 'card' then array(concat('card:', value), concat('issuer:', left(value, 6)))
-    else array(concat('phone:', value), concat('area:', left(value, length(value) - 7))) end"""
+#: SQL: names of the entities that the value of a span ``s`` stands for, and of the identities it shares with others.
+_NAMES = """case s.kind
+    when 'email' then array(concat('email:', s.value), concat('host:', substring_index(s.value, '@', -1)), concat('holder:', substring_index(s.value, '@', 1)))
+    when 'ip' then array(concat('ip:', s.value), concat('net:', regexp_replace(s.value, '[.][0-9]+$', '')))
+    when 'card' then array(concat('card:', s.value), concat('issuer:', left(s.value, 6)))
+    else array(concat('phone:', s.value), concat('area:', left(s.value, length(s.value) - 7))) end"""
 
 
 def _sides(reach: int) -> str:
@@ -114,18 +114,26 @@ def _sides(reach: int) -> str:
     return f"concat({clean(before)}, ' | ', {clean(after)})"
 
 
-def evidence(rows: DataFrame, window: int, near: int) -> tuple[DataFrame, DataFrame]:
-    """(row, entity, context, words) for each entity beside a span or kind in a row, and (row, words) of rows with spans.
+def evidence(rows: DataFrame, stage: Stage, window: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """(row, words, kinds) of rows with spans, kinds being (entity, context), and (row, entity, context, words) of the values and identities beside words.
 
-    ``rows`` has row, text and pii_base.
+    ``rows`` has row, text and pii_base. A row has one context for an entity, however often it holds it.
     """
-    found = rows.where("size(pii_base) > 0")
     own = "lower(substr(text, s.start + 1, s.end - s.start))"
     span = f"named_struct('kind', s.kind, 'value', if(s.kind = 'email', {own}, regexp_replace({own}, '[^0-9.]', '')), 'context', xxhash64({_sides(near)}), 'words', array_distinct(regexp_extract_all({_sides(window)}, {_sql_text(_WORD)}, 0)))"
-    found = found.select("row", F.expr(f"transform(pii_base, s -> {span})").alias("spans"), F.expr(_words("text")).alias("words"))
-    return found.select("row", F.explode("spans").alias("s")).select("row", "s.*").select("row", F.explode(F.expr(_NAMES)).alias("entity"), "context", "words").union(
-        found.select("row", "words", F.explode("spans").alias("s")).groupBy("row", F.concat(F.lit("kind:"), "s.kind").alias("entity")).agg(F.min("s.context").alias("context"), F.first("words").alias("words"))
-    ), found.select("row", "words")
+    kinds = ", ".join(f"array(named_struct('entity', 'kind:{k}', 'context', array_min(transform(filter(spans, s -> s.kind = '{k}'), s -> s.context))))" for k in KINDS)
+    found = rows.where("size(pii_base) > 0").select("row", F.expr(f"transform(pii_base, s -> {span})").alias("spans"), F.expr(_words("text")).alias("words"))
+    held = F.expr(f"flatten(transform(spans, s -> transform({_NAMES}, e -> named_struct('entity', e, 'context', s.context, 'words', s.words))))")
+    found = stage.write(found.select("row", "words", F.expr(f"filter(concat({kinds}), k -> k.context is not null)").alias("kinds"), held.alias("held")), "found")
+    once = F.expr("size(array_distinct(held.entity)) = size(held)")
+    each = lambda which: found.where(which).select("row", F.explode("held").alias("h")).select("row", "h.*")
+    again = each(~once).groupBy("row", "entity").agg(F.min("context").alias("context"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    return found, each(once).union(again)
+
+
+def _holders(found: DataFrame, beside: DataFrame) -> DataFrame:
+    """(row, entity, context) of all three levels."""
+    return beside.select("row", "entity", "context").union(found.select("row", F.explode("kinds").alias("k")).select("row", "k.entity", "k.context"))
 
 
 def _ratio(n_all: int):
@@ -133,44 +141,44 @@ def _ratio(n_all: int):
     return F.log2(F.col("n_te") * F.lit(n_all) / (F.col("n_t") * F.col("n_e"))) / F.nullif(F.log2(F.lit(n_all) / F.col("n_e")), F.lit(0.0))
 
 
-def disclosures(rows: DataFrame, stage: Stage, *, window: int, near: int, min_contexts: int, generalise_at: float) -> DataFrame | None:
-    """(entity, term, n_te, n_t, n_e, ratio) of the words that give an entity away; None if there can be none."""
-    beside, found = (stage.write(x, name) for x, name in zip(evidence(rows, window, near), ("beside", "found")))
+def _if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def disclosures(rows: DataFrame, found: DataFrame, beside: DataFrame, stage: Stage, min_contexts: int, generalise_at: float) -> DataFrame:
+    """(entity, term, n_te, n_t, n_e, ratio) of the words that give an entity away."""
     n_all = rows.count()
-    entity = beside.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    each = beside.select("row", "entity", "context", F.explode("words").alias("term"))
-    # A kind has one row here for each of its rows already; a value may stand in a row several times.
-    kind = F.col("entity").startswith("kind:")
-    each = each.where(kind).union(each.where(~kind).groupBy("row", "entity", "term").agg(F.min("context").alias("context")).select("row", "entity", "context", "term"))
+    entity = _holders(found, beside).groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("n_contexts"))
+    # An entity with fewer contexts has no word with that many.
+    entity = _if_few(stage.write(entity.where(F.col("n_contexts") >= min_contexts).drop("n_contexts"), "entity"))
+    kinds = found.select("words", F.explode("kinds").alias("k")).select("k.entity", "k.context", "words")
+    each = kinds.union(beside.select("entity", "context", "words")).join(entity.select("entity"), "entity").select("entity", "context", F.explode("words").alias("term"))
     pairs = (
         each.groupBy("entity", "term", "context")
         .agg(F.count("*").alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_te"), F.count("*").alias("n_contexts"))
         .where(F.col("n_contexts") >= min_contexts)
+        .drop("n_contexts")
         .join(entity, "entity")
     )
     # A word stands in at least as many rows as there are with spans: pairs that fail even with that count need no count of all.
     least = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = stage.write(pairs.join(least, "term").where(_ratio(n_all) >= generalise_at).drop("n_t"), "pairs")
     terms = stage.write(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
-        return None
     words = rows.select(F.explode(F.expr(_words("text"))).alias("term"))
-    if n_terms <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
+    if (n_terms := terms.count()) <= BROADCAST_ROWS:
+        words = words.join(F.broadcast(terms), "term", "left_semi") if n_terms else words.limit(0)
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     telling = pairs.join(n_t, "term").withColumn("ratio", _ratio(n_all)).where(F.col("ratio") >= generalise_at)
     return stage.write(telling.select("entity", "term", "n_te", "n_t", "n_e", "ratio"), "telling")
 
 
-def _listed(rows: DataFrame, stage: Stage, telling: DataFrame, window: int, near: int, remove_at: float) -> DataFrame:
+def _listed(found: DataFrame, beside: DataFrame, telling: DataFrame, stage: Stage, remove_at: float) -> DataFrame:
     """(row, general, removed): the row's own words that give away an entity of the row."""
-    beside, found = evidence(rows, window, near)
-    few = telling.count() <= BROADCAST_ROWS
-    hit = found.select("row", F.explode("words").alias("term")).join(F.broadcast(telling) if few else telling, "term")
-    hit = hit.join(beside.select("row", "entity").distinct(), ["row", "entity"], "left_semi").groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
+    hit = found.select("row", F.explode("words").alias("term")).join(_if_few(telling), "term")
+    held = _holders(found, beside).join(_if_few(telling.select("entity").distinct()), "entity", "left_semi").select("row", "entity")
+    hit = hit.join(held, ["row", "entity"], "left_semi").groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
     gone = F.col("ratio") >= remove_at
     return stage.write(hit.groupBy("row").agg(F.collect_list(F.when(~gone, F.col("term"))).alias("general"), F.collect_list(F.when(gone, F.col("term"))).alias("removed")), "listed")
 
@@ -180,10 +188,9 @@ def annotate(docs: DataFrame, *, window: int = 256, near: int = 64, min_contexts
     stage = Stage(docs.sparkSession, "pii")
     columns = docs.columns
     rows = stage.write(with_spans(docs.withColumn("row", F.monotonically_increasing_id()), "text", "pii_base"), "rows")
-    telling = disclosures(rows, stage, window=window, near=near, min_contexts=min_contexts, generalise_at=generalise_at)
-    if telling is None or telling.isEmpty():
-        return rows.select(*columns, "pii_base", F.col("pii_base").alias("pii_spans"))
-    told = _listed(rows, stage, telling, window, near, remove_at)
+    found, beside = evidence(rows, stage, window, near)
+    telling = disclosures(rows, found, beside, stage, min_contexts, generalise_at)
+    told = _listed(found, beside, telling, stage, remove_at)
     few = told.count() <= BROADCAST_ROWS
     df = rows.join(F.broadcast(told) if few else told.hint("shuffle_hash"), "row", "left")
     text = "coalesce(text, '')"
