@@ -38,6 +38,8 @@ from .shared import Stage
 
 KINDS = ("email", "ip", "card", "phone")
 BROADCAST_ROWS = 100_000
+#: One row in so many, beside all rows with spans, bounds word counts from below before those that matter are counted over all rows.
+_BOUND_PART = 8
 
 #: Equal to the plain patterns under leftmost, non-overlapping search. Possessive quantifiers and
 #: look-behinds keep the search linear in long runs and off the regex engine's stack.
@@ -162,8 +164,9 @@ def disclosures(rows: DataFrame, found: DataFrame, beside: DataFrame, stage: Sta
         .drop("n_contexts")
         .join(entity, "entity")
     )
-    # A word stands in at least as many rows as there are with spans: pairs that fail even with that count need no count of all.
-    least = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # A word stands in at least as many rows as in a part of them: pairs that fail even with that count need no count of all.
+    others = rows.where(f"size(pii_base) = 0 and row % {_BOUND_PART} = 0").select(F.explode(F.expr(_words("text"))).alias("term"))
+    least = found.select(F.explode("words").alias("term")).union(others).groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = stage.write(pairs.join(least, "term").where(_ratio(n_all) >= generalise_at).drop("n_t"), "pairs")
     terms = stage.write(pairs.select("term").distinct(), "terms")
     words = rows.select(F.explode(F.expr(_words("text"))).alias("term"))
