@@ -8,15 +8,16 @@ that the threshold asks for are discarded.
 
 Blocks are never expanded into all pairs:
 
-1. Every block multiplies one of its rows, chosen by one of four hashes, with all others. Sketches discard pairs that differ too
-   much before whole sets are fetched and compared. The links found give components.
+1. Every block multiplies one of its rows, its hub, with all others; the hub is chosen by one of four hashes. Sketches discard pairs that differ too
+   much before whole rows are fetched. Overlaps are accumulated by the masked product: pairs are dealt to tasks by the
+   row that is no hub, so a hub's pairs spread over all of them, and a task multiplies the rows of its pairs. The links found give components.
 2. Only products between different components are still of interest. Blocks of at most ``small`` rows list those
-   pairs once; larger ones are cut into tiles of rows. For each pair of tiles, rows without a partner by size, position and
+   pairs once, and the masked product decides them; larger ones are cut into tiles of at most about ``tile`` rows by their counted size. For each pair of tiles, rows without a partner by size, position and
    sketch go; the rest are multiplied in one task that accumulates overlaps in numpy and returns no more links than
    join its components.
 
-The order of n-grams affects only the work: frequent ones are found by counts over all rows, of which
-the ``heavy`` most frequent are broadcast (at most 16 bytes each). Columns expected to hold more than ``tile`` rows
+The order of n-grams affects only the work: frequent ones are found by counting the n-grams of one distinct set in ``part``, chosen by the set's
+hash, wherever its copies lie; the ``heavy`` most frequent are broadcast (at most 16 bytes each). Columns expected to hold more than ``tile`` rows
 are salted over several tasks. Results are exact: overlaps are counted on whole sets of 64-bit n-gram hashes.
 
 Defined results: a null text or one without words has an empty set (n_shingles 0) and is its own component;
@@ -29,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,24 +79,23 @@ def fold(sketch: np.ndarray, longs: int) -> np.ndarray:
     return sketch
 
 
-def _signatures(docs: DataFrame, width: int, seed: int, flush: int = 1 << 20) -> DataFrame:
-    """Rows (doc_id, n, sid, check, sketch), and rows (token, hits) of n-grams met more than once among a task's distinct sets."""
+def _signatures(docs: DataFrame, width: int, seed: int, part: int, flush: int = 1 << 20) -> DataFrame:
+    """Rows (doc_id, n, sid, check, sketch), and rows (token, hits): n-grams of one distinct set in ``part``, once for each task that holds it."""
 
     def run(batches):
         seen, held, size = set(), [], 0
 
         def counts():
             token, hits = np.unique(np.concatenate(held), return_counts=True)
-            more = hits > 1
-            k = int(more.sum())
-            return {"doc_id": [None] * k, "n": [None] * k, "sid": [None] * k, "check": [None] * k, "sketch": [None] * k, "token": token[more].view(np.int64), "hits": hits[more]}
+            k = len(token)
+            return {"doc_id": [None] * k, "n": [None] * k, "sid": [None] * k, "check": [None] * k, "sketch": [None] * k, "token": token.view(np.int64), "hits": hits}
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             n, sid, check, sketch = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
             for i, s in set_rows(batch.column("text"), width):
                 n[i], (sid[i], check[i]), sketch[i] = len(s), _set_id(s, seed), parity_sketch(s)
-                if sid[i] not in seen:
+                if sid[i] % part == 0 and sid[i] not in seen:
                     seen.add(sid[i])
                     held.append(s)
                     size += len(s)
@@ -162,17 +163,54 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").where(F.expr(sized)).where(F.expr(f"{apart} <= {room}")).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets reach the threshold."""
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("tokens_a") + F.size("tokens_b") - both)).select("a", "b")
+def overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Entries (a, b) of the product of an incidence matrix, given by its rows, with its transpose: overlaps accumulated over b's columns."""
+    size = np.array([len(r) for r in rows])
+    start = np.concatenate(([0], np.cumsum(size)))
+    column, entry = np.unique(np.concatenate(rows), return_inverse=True)
+    cell = np.sort(np.repeat(np.arange(len(rows)), size) * len(column) + entry)
+    out = np.zeros(len(a), np.int64)
+    ends = np.cumsum(size[b])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+        n = size[b[at:to]]
+        pair = np.repeat(np.arange(to - at), n)
+        where = np.arange(n.sum()) + np.repeat(start[b[at:to]] - np.cumsum(n) + n, n)
+        wanted = a[at:to][pair] * len(column) + entry[where]
+        hit = cell[np.minimum(np.searchsorted(cell, wanted), len(cell) - 1)] == wanted
+        out[at:to] = np.bincount(pair, weights=hit, minlength=to - at).astype(np.int64)
+        at = to
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose overlaps reach the threshold, by a masked product in blocks of about ``tile`` pairs, dealt by b."""
+    blocks = max(1, pairs.count() // tile)
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)))
+    wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    null = F.lit(None)
+    work = pairs.select("block", "a", "b", null.cast("array<long>").alias("tokens")).union(wanted.join(sets, "sid").select("block", F.col("sid").alias("a"), null.cast("long").alias("b"), "tokens"))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        is_pair = table.column("b").is_valid()
+        pair, row = table.filter(is_pair), table.filter(pc.invert(is_pair))
+        sid, tokens = row.column("a").to_numpy(), row.column("tokens")
+        order = np.argsort(sid)
+        rows = [tokens[int(k)].values.to_numpy() for k in order]
+        a, b = pair.column("a").to_numpy(), pair.column("b").to_numpy()
+        x, y = np.searchsorted(sid[order], a), np.searchsorted(sid[order], b)
+        size = np.array([len(r) for r in rows])
+        both = overlaps(rows, x, y)
+        keep = 100 * both >= percent * (size[x] + size[y] - both)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    return work.groupBy("block").applyInArrow(multiply, "a long, b long")
 
 
 def _listed(blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components inside small blocks."""
-    x = blocks.alias("x").join(blocks.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")))
+    x = blocks.alias("x").join(blocks.alias("y"), F.col("x.token") == F.col("y.token"))
     x = x.where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))).where(_may_reach("x.n", "x.pos", "y.n", "y.pos", percent))
     return x.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
@@ -254,14 +292,15 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(sets, "sid").groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _with_roots(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """Blocks that still hold several components, with each row's component and the block's size."""
+def _with_roots(blocks: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """Blocks that still hold several components, with each row's component, the block's size, and tiles by that size."""
     rows = blocks.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     whole = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows_of_token")).where("lo < hi")
-    return rows.join(whole.select("token", "rows_of_token"), "token")
+    out = rows.join(whole.select("token", "rows_of_token"), "token").withColumn("salts", F.ceil(F.col("rows_of_token") / tile).cast("int"))
+    return out.withColumn("salt", F.pmod(F.xxhash64("sid"), "salts").cast("int"))
 
 
-def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy: int = 1 << 18, tile: int = 1024, small: int = 64) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy: int = 1 << 18, tile: int = 1024, small: int = 64, part: int = 32) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     if not 50 <= percent <= 100:
         raise ValueError("the sketches' sizes assume a threshold of 50 to 100 percent")
@@ -269,11 +308,11 @@ def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy
     stage = Stage(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     for seed in range(8):
-        first = stage.write(_signatures(docs, width, seed), "signatures")
+        first = stage.write(_signatures(docs, width, seed, part), "signatures")
         known = first.where("n is not null")
         if not known.groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").take(1):
             break  # no two different sets share their 64-bit id
-    often = first.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).where("hits >= 8").orderBy(F.desc("hits"), "token").limit(heavy).toPandas()
+    often = first.where("token is not null").groupBy("token").agg((F.sum("hits") * part).alias("hits")).where(f"hits >= {2 * part}").orderBy(F.desc("hits"), "token").limit(heavy).toPandas()
     token, weight = often["token"].to_numpy(np.int64).view(np.uint64), often["hits"].to_numpy(np.int64)
     by = np.argsort(token)
     rows = _prefixes(docs, width, seed, percent, token[by], weight[by], tile)
@@ -285,21 +324,21 @@ def jaccard_classes(docs: DataFrame, *, width: int = 5, percent: int = 80, heavy
     reps = known.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     classes = stage.write(known.select("doc_id", "sid", "n", "sketch").join(reps, ["sid", "doc_id"]), "classes")
 
-    where = {"salts": F.expr("greatest(1, part >> 16)"), "salt": F.expr("part & 65535"), "n": F.expr("at >> 32"), "pos": F.expr("at & 4294967295")}
+    where = {"n": F.expr("at >> 32"), "pos": F.expr("at & 4294967295")}
     hub = {"hub_n": F.expr("hub_at >> 32"), "hub_pos": F.expr("hub_at & 4294967295")}
     star = blocks.where("sid <> hub").withColumns(where | hub).where(_may_reach("n", "pos", "hub_n", "hub_pos", percent))
-    star = stage.write(_near(star.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), classes, percent), "star")
+    star = stage.write(_near(star.select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), classes, percent), "star")
     sets = stage.write(_sets(docs, classes, star.select(F.explode(F.array("a", "b")).alias("sid")), width, seed), "sets")
-    links = stage.write(_verified(star, sets, percent), "links")
+    links = stage.write(_verified(star, sets, percent, tile), "links")
     roots = connected_components(links, stage)
-    left = stage.write(_with_roots(blocks.select("token", "part", "sid", "at").withColumns(where).drop("part", "at"), roots), "left")
+    left = stage.write(_with_roots(blocks.select("token", "sid", "at").withColumns(where).drop("at"), roots, tile), "left")
     stage.sweep()
-    few = left.where(f"rows_of_token <= {small} and salts = 1")
-    many = stage.write(_surviving(left.where(f"rows_of_token > {small} or salts > 1"), classes, percent), "many")
-    pairs = stage.write(_near(_listed(few, percent).join(star, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    few = left.where(f"rows_of_token <= {small}")
+    many = stage.write(_surviving(left.where(f"rows_of_token > {small}"), classes, percent), "many")
+    pairs = stage.write(_near(_listed(few, percent).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), classes, percent), "pairs")
     new = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(many.select("sid")).distinct().join(sets, "sid", "left_anti")
     sets = sets.union(stage.write(_sets(docs, classes, new, width, seed), "sets"))
-    more = stage.write(_verified(pairs, sets, percent).union(_tiled(many, sets, percent)), "more")
+    more = stage.write(_verified(pairs, sets, percent, tile).union(_tiled(many, sets, percent)), "more")
     roots = connected_components(links.union(more), stage)
     named = classes.select("sid", "doc_id").distinct().join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")

@@ -38,7 +38,7 @@ def rows(seed=1):
     return list(enumerate(out, 100))
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 8, "small": 4}, {"heavy": 1, "small": 1}])
+@pytest.mark.parametrize("options", [{}, {"tile": 8, "small": 4, "part": 2}, {"heavy": 1, "small": 1}, {"part": 1, "tile": 16, "small": 8}])
 def test_equals_brute_force(spark, options):
     data = rows()
     df = spark.createDataFrame([(i, t, -1, "z") for i, t in data], "doc_id long, text string, sid int, token string").repartition(5)
@@ -77,3 +77,25 @@ def test_survivors_include_every_linked_row():
     keep = J.tile_survivors(np.arange(90), np.full(90, 2), n, np.zeros(90, int), sketch, 80)
     linked = {i for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for i in (a, b)}
     assert linked and linked <= set(np.flatnonzero(keep)) and not keep.all()
+
+
+def test_overlaps_are_the_entries_of_the_product():
+    rng = np.random.default_rng(4)
+    rows = [rng.permutation(np.unique(rng.integers(0, 60, rng.integers(1, 50)))) for _ in range(40)]
+    a, b = rng.integers(0, 40, 500), rng.integers(0, 40, 500)
+    for step in (1, 100, 1 << 20):
+        assert J.overlaps(rows, a, b, step).tolist() == [len(np.intersect1d(rows[i], rows[j])) for i, j in zip(a, b)]
+
+
+def test_an_ngram_that_stands_once_in_each_of_many_partitions(spark):
+    """It is seen as frequent however the rows are dealt, so its column is no row's first choice, and no task gets it whole."""
+    word = lambda k: f"w{k}"
+    data = [(k, " ".join([word(10 * k + x) for x in range(4)] + ["all", "of", "them", "share", "this"] + [word(10 * k + 4 + x) for x in range(4)])) for k in range(240)]
+    for parts in (2, 240):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        counts = J._signatures(df, 5, 0, 4).where("token is not null").groupBy("token").agg(J.F.sum("hits").alias("hits")).orderBy(J.F.desc("hits")).limit(2).collect()
+        assert 30 < counts[0].hits < 90 and counts[1].hits == 1
+    token = np.array([counts[0].token]).view(np.uint64)
+    rows = J._prefixes(df, 5, 0, 80, token, np.array([counts[0].hits * 4]), 16)
+    assert max(r["count"] for r in rows.groupBy("token", "part").count().collect()) <= 16 + 16
+    assert {r.doc_id: r.component_id for r in J.jaccard_classes(df, part=4, tile=16, small=8).collect()} == {k: k for k, _ in data}
