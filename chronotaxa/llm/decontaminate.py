@@ -42,12 +42,7 @@ def _lower(df: DataFrame) -> DataFrame:
 
 def content_words(column):
     """(first row, end row, word hashes, first word of each row); words are runs of letters and digits."""
-    data, offsets = textkit.buffers(column)
-    for a, b in textkit.slices(offsets):
-        o = offsets[a : b + 1] - offsets[a]
-        clean = _CLEAN[data[offsets[a] : offsets[b]]]
-        s, e, first = textkit.spans(clean, o)
-        yield a, b, textkit.span_hashes(clean, s, e), first
+    return textkit.word_rows(column, _CLEAN)
 
 
 @dataclass(frozen=True)

@@ -7,15 +7,15 @@ side: a slot is a bit mask of languages, and the conjunction of an n-gram's slot
 languages that contain it. A text's n-grams are looked up at once; per-language popcounts c, corrected
 for the language's false positive rate f over n lookups, (c - n f) / (1 - f), decide.
 
-Sizes are bounded: every language has room for its own ``vocabulary`` most frequent n-grams (an equal share of ``_MOST_GRAMS``,
-if that is less), whatever the others hold, and an n-gram kept for one language counts for all that it belongs to. The table has
-``slots`` entries of one byte for each eight languages, more if the fullest filter asks for it. Both are parameters;
-the counts cover all the rows. Of n-grams tied at a language's last count, a fixed hash picks about as many as there is room for.
+Every n-gram counts, however many there are: filters are built where the n-grams lie, and only the table's bytes are collected.
+The table has 16 slots for each n-gram of the language that has most, as far as ``room`` bytes allow (a slot takes one byte for each eight
+languages); if more n-grams than that are found, false positives grow and the correction takes them out. Languages are the
+``languages`` labels with the most rows; a parameter, as rows of the table have a bit for each.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter (also for every row if
 nothing could be learned); ties, and texts none of whose n-grams are known, go to the language with more
-training rows, then to the smaller name. Repeated rows are predicted row by row. Texts of any
-length are processed in bounded pieces. Other columns are ignored.
+training rows, then to the smaller name. A row without doc_id teaches nothing and is not held out. Repeated rows are predicted row by row. Texts of any
+length are read in bounded pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +39,13 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _CLEAN = np.full(256, 32, dtype=np.uint8)
 _CLEAN[97:123] = _CLEAN[65:91] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
-_MOST_LANGUAGES = 4096
-#: Of n-grams that are kept for all languages together.
-_MOST_GRAMS = 1 << 23
-_MOST_BYTES = 1 << 28
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of the rows as uint32, each row between blanks, without those that hold two blanks in a row."""
+def grams(data: np.ndarray, offsets: np.ndarray, begins: bool = True, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of the rows as uint32, each row between blanks, without those that hold two blanks in a row.
+
+    Without the n-gram over the first blank if the data do not begin there, or over the last if they do not end there.
+    """
     n = np.diff(offsets)
     padded = np.full(len(data) + 2 * len(n), 32, dtype=np.uint8)
     row = np.repeat(np.arange(len(n)), n)
@@ -58,17 +57,36 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     g = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
     blank = padded == 32
     double = blank[:-1] & blank[1:]
-    keep = np.flatnonzero(~(double[:-2] | double[1:-1] | double[2:]))
+    drop = double[:-2] | double[1:-1] | double[2:]
+    drop[0] |= not begins
+    drop[-1] |= not ends
+    keep = np.flatnonzero(~drop)
     return g[keep], np.searchsorted(keep, first)
 
 
 def gram_rows(column):
-    """(first row, end row, n-grams, first n-gram of each row), in bounded pieces."""
+    """(first row, end row, n-grams, first n-gram of each row, which rows have an ASCII letter); a long row comes in several pieces."""
     data, offsets = textkit.buffers(column)
     for a, b in textkit.slices(offsets):
-        o = offsets[a : b + 1]
-        g, first = grams(data[o[0] : o[-1]], o - o[0])
-        yield a, b, g, first
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if b > a + 1 or hi - lo <= textkit.CHUNK:
+            o = offsets[a : b + 1] - lo
+            g, first = grams(data[lo:hi], o)
+            letters = np.concatenate(([0], np.cumsum(_LETTER[data[lo:hi]], dtype=np.int64)))[o]
+            yield a, b, g, first, np.diff(letters) > 0
+            continue
+        for at in range(lo, hi, textkit.CHUNK):
+            # Pieces overlap by one byte less than an n-gram; the blanks that ``grams`` puts at a cut make n-grams of none.
+            part = data[max(lo, at - _WIDTH + 1) : min(hi, at + textkit.CHUNK)]
+            g, _ = grams(part, np.array([0, len(part)]), at == lo, at + textkit.CHUNK >= hi)
+            yield a, b, g, np.array([0, len(g)]), np.array([_LETTER[part].any()])
+
+
+def slots_of(n: int, g: np.ndarray) -> list[np.ndarray]:
+    """The slots of each n-gram in a table of n, a power of two."""
+    shift = np.uint32(32 - (n - 1).bit_length())
+    with np.errstate(over="ignore"):
+        return [(g * np.uint32(k)) >> shift for k in _HASHES]
 
 
 @dataclass(frozen=True)
@@ -77,20 +95,15 @@ class Model:
     table: np.ndarray
     false_rate: np.ndarray
 
-    def slots(self, g: np.ndarray) -> list[np.ndarray]:
-        shift = np.uint32(32 - (len(self.table) - 1).bit_length())
-        with np.errstate(over="ignore"):
-            return [(g * np.uint32(k)) >> shift for k in _HASHES]
-
     def masks(self, g: np.ndarray) -> np.ndarray:
         """Bit masks of the languages that contain each n-gram."""
-        a, *rest = (self.table[s] for s in self.slots(g))
+        a, *rest = (self.table[s] for s in slots_of(len(self.table), g))
         for x in rest:
             a = a & x
         return a
 
     def counts(self, g: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Corrected popcounts, rows by languages."""
+        """Popcounts, rows by languages."""
         out = np.zeros((len(first) - 1, len(self.languages)))
         if len(g):
             masks = self.masks(g)
@@ -98,18 +111,20 @@ class Model:
                 bits = (masks[:, k // 8] >> np.uint8(k % 8)) & np.uint8(1)
                 total = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
                 out[:, k] = total[first[1:]] - total[first[:-1]]
-        n = np.diff(first)[:, None]
-        return np.maximum(0.0, (out - n * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
+        return out
 
+    def corrected(self, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Popcounts without the false positives expected of n lookups."""
+        return np.maximum(0.0, (counts - n[:, None] * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
 
-def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots: int = 1 << 21, flush: int = 1 << 19) -> Model:
+
+def fit(rows: DataFrame, *, share: float = 0.3, slots: int = 1 << 21, room: int = 1 << 24, languages: int = 4096, flush: int = 1 << 19) -> Model:
     """Learns from all rows of (text, lang); null texts and labels teach nothing."""
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(_MOST_LANGUAGES + 1).collect()
-    if len(known) > _MOST_LANGUAGES:
-        raise ValueError(f"more than {_MOST_LANGUAGES} distinct labels: these are no languages")
-    names = [r.lang for r in known]
+    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     at = {name: i for i, name in enumerate(names)}
+    if not names:
+        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0))
 
     def counted(batches):
         held, size = [], 0
@@ -120,8 +135,10 @@ def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots
             return {"gram": (key >> np.uint64(16)).astype(np.int64), "lang": (key & np.uint64(0xFFFF)).astype(np.int32), "n": total}
 
         for batch in batches:
-            lang = np.array([at[x] for x in batch.column("lang").to_pylist()], dtype=np.uint64)
-            for a, b, g, first in gram_rows(batch.column("text")):
+            which = [at.get(x, -1) for x in batch.column("lang").to_pylist()]
+            learned = pa.array([k >= 0 for k in which])
+            lang = np.array([k for k in which if k >= 0], dtype=np.uint64)
+            for a, b, g, first, _ in gram_rows(batch.column("text").filter(learned)):
                 key = (g.astype(np.uint64) << np.uint64(16)) | np.repeat(lang[a:b], np.diff(first))
                 held.append(np.unique(key, return_counts=True))
                 size += len(held[-1][0])
@@ -134,66 +151,59 @@ def fit(rows: DataFrame, *, share: float = 0.3, vocabulary: int = 1 << 17, slots
     sums = arrow_pass(rows, counted, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     stage = Stage(rows.sparkSession, "grams")
     sums = stage.write(sums)
-    member = _members(sums, len(names), share, max(1, min(vocabulary, _MOST_GRAMS // max(1, len(names)))))
-    stage.drop(sums)
-    lang, gram = member.column("lang").to_numpy(), member.column("gram").to_numpy()
-    width = (max(1, len(names)) + 7) // 8
-    fullest = int(np.bincount(lang).max(initial=0))
-    while slots < 16 * fullest and 2 * slots * width <= _MOST_BYTES:
+    members = stage.write(_members(sums, share))
+    fullest = members.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    width = (len(names) + 7) // 8
+    while slots < 16 * fullest and 2 * slots * width <= room:
         slots *= 2
-    table = np.zeros((slots, width), dtype=np.uint8)
-    model = Model(names, table, np.zeros(len(names)))
-    where = model.slots(gram.astype(np.uint32))
-    for k in range(len(names)):
-        for s in where:
-            table[s[lang == k], k // 8] |= np.uint8(1 << (k % 8))
-    density = np.array([np.mean((table[:, k // 8] >> np.uint8(k % 8)) & 1) for k in range(len(names))])
-    return Model(names, table, density ** len(_HASHES))
-
-
-def _members(sums: DataFrame, languages: int, share: float, room: int) -> pa.Table:
-    """(gram, lang): the languages that each n-gram belongs to, of the n-grams that are in some language's room."""
-    size = sums.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()
-    full = [r.lang for r in size if r.grams > room]
-    steps: dict[int, list[tuple[int, int]]] = {k: [] for k in full}
-    if full:
-        wide = sums.sparkSession.createDataFrame([(k,) for k in full], "lang int")
-        for r in sums.join(F.broadcast(wide), "lang").groupBy("lang", "n").agg(F.count("*").alias("grams")).collect():
-            steps[r.lang].append((r.n, r.grams))
-    limits = []
-    for r in size:
-        least, ties, left = 0, 1, room
-        for n, grams in sorted(steps.get(r.lang, []), reverse=True):
-            least, ties = n, grams
-            if grams > left:
-                break
-            left -= grams
-        limits.append((r.lang, max(1, r.n), least, ties, left))
-    limits = sums.sparkSession.createDataFrame(limits, "lang int, per long, least long, ties long, left long")
-    kept = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.col("ties")) < F.col("left")))
-    rated = sums.join(F.broadcast(limits), "lang").select("gram", "lang", (F.col("n") / F.col("per")).alias("rate"), kept.alias("kept"))
-    each = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.max("kept").alias("kept"), F.collect_list(F.struct("lang", "rate")).alias("by")).where("kept")
-    return each.select("gram", "most", F.explode("by").alias("x")).where(F.col("x.rate") >= share * F.col("most")).select("gram", "x.lang").toArrow()
+    while slots > 1 << 10 and slots * width > room:
+        slots //= 2
+    model = Model(names, np.zeros((slots, width), dtype=np.uint8), np.zeros(len(names)))
+
+    def placed(batches):
+        for batch in batches:
+            lang, gram = batch.column("lang").to_numpy().astype(np.int64), batch.column("gram").to_numpy().astype(np.uint32)
+            key = np.concatenate([s.astype(np.int64) * len(names) + lang for s in slots_of(slots, gram)])
+            slot, lang = np.divmod(np.unique(key), len(names))
+            place, which = np.unique(slot * width + lang // 8, return_inverse=True)
+            mask = np.zeros(len(place), np.int64)
+            np.bitwise_or.at(mask, which, 1 << (lang % 8))
+            yield {"place": place, "mask": mask}
+
+    bits = arrow_pass(members, placed, "place long, mask int").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    model.table.reshape(-1)[bits.column("place").to_numpy()] = bits.column("mask").to_numpy().astype(np.uint8)
+    stage.drop(sums, members)
+    density = np.array([np.mean((model.table[:, k // 8] >> np.uint8(k % 8)) & 1) for k in range(len(names))])
+    return Model(names, model.table, density ** len(_HASHES))
+
+
+def _members(sums: DataFrame, share: float) -> DataFrame:
+    """(gram, lang): the languages that each n-gram belongs to."""
+    size = sums.groupBy("lang").agg(F.sum("n").alias("per"))
+    rated = sums.join(F.broadcast(size), "lang").select("gram", "lang", (F.col("n") / F.col("per")).alias("rate"))  # one row for each language
+    each = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("by"))
+    return each.select("gram", "most", F.explode("by").alias("x")).where(F.col("x.rate") >= share * F.col("most")).select("gram", "x.lang")
 
 
 def judge(m: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, the winner's lead over the runner-up, and the share of n-grams it contains, for each text of a column."""
     pred, score, support = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    data, offsets = textkit.buffers(texts)
-    ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
-    has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-    for i in np.flatnonzero(~has & (np.diff(offsets) > 0)):
+    c, n, has = np.zeros((len(texts), len(m.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), dtype=bool)
+    for a, b, g, first, letter in gram_rows(texts):
+        has[a:b] |= letter
+        n[a:b] += np.diff(first)
+        if m.languages:
+            c[a:b] += m.counts(g, first)
+    for i in np.flatnonzero(~has & (n > 0)):
         has[i] = any(map(str.isalpha, texts[int(i)].as_py()))
     if m.languages:
-        for a, b, g, first in gram_rows(texts):
-            c, n = m.counts(g, first), np.diff(first)
-            best = c.argmax(axis=1)
-            order = np.sort(c, axis=1)
-            top, second = order[:, -1], order[:, -2] if c.shape[1] > 1 else 0.0 * order[:, -1]
-            score[a:b] = np.where(has[a:b] & (top > 0), top / np.maximum(top + second, 1e-9), 0.0)
-            support[a:b] = np.where(has[a:b], np.minimum(1.0, top / np.maximum(n, 1)), 0.0)
-            for i in np.flatnonzero(has[a:b]):
-                pred[a + i] = m.languages[best[i]]
+        c = m.corrected(c, n)
+        best, order = c.argmax(axis=1), np.sort(c, axis=1)
+        top, second = order[:, -1], order[:, -2] if c.shape[1] > 1 else 0.0 * order[:, -1]
+        score = np.where(has & (top > 0), top / np.maximum(top + second, 1e-9), 0.0)
+        support = np.where(has, np.minimum(1.0, top / np.maximum(n, 1)), 0.0)
+        for i in np.flatnonzero(has):
+            pred[i] = m.languages[best[i]]
     return pred, score, support
 
 
@@ -225,4 +235,4 @@ def keep_known(docs: DataFrame, least_support: float, **options) -> DataFrame:
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, support; learned from the rows whose crc32 remainder by 4 is not 2."""
     model = fit(docs.where(crc_mod("doc_id", 4) != 2), **options)
-    return predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "support")
+    return predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "support")

@@ -95,11 +95,6 @@ def _pairs(words: np.ndarray) -> np.ndarray:
         return textkit.mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else np.zeros(0, np.uint64)
 
 
-def _words(clean: np.ndarray) -> np.ndarray:
-    s, e, _ = textkit.spans(clean, np.array([0, len(clean)]))
-    return textkit.span_hashes(clean, s, e)
-
-
 @dataclass(frozen=True)
 class Templates:
     names: list[str]
@@ -114,7 +109,7 @@ class Templates:
 
     @classmethod
     def of(cls, pairs: list[tuple[str, str]], threshold: float) -> Templates:
-        grams = [_pairs(_words(_CLEAN[np.frombuffer(text.encode(), np.uint8)])) for _, text in pairs]
+        grams = [_pairs(textkit.row_words(np.frombuffer(text.encode(), np.uint8), _CLEAN)[0]) for _, text in pairs]
         order = sorted((i for i in range(len(pairs)) if len(grams[i])), key=lambda i: (len(grams[i]), pairs[i][0]))
         bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
         for g in grams:
@@ -191,16 +186,18 @@ def scan_column(column, templates: Templates, spans: bool = False) -> list[list[
     for a, b in textkit.slices(offsets):
         o = offsets[a : b + 1] - offsets[a]
         raw = data[offsets[a] : offsets[b]]
-        clean = _CLEAN[raw]
-        s, e, first = textkit.spans(clean, o)
-        words = textkit.span_hashes(clean, s, e)
+        if b == a + 1:
+            words, _, lines = textkit.row_words(raw, _CLEAN)
+            first = np.array([0, len(words)])
+        else:
+            clean = _CLEAN[raw]
+            s, e, first = textkit.spans(clean, o)
+            words, lines = textkit.span_hashes(clean, s, e), np.searchsorted(s, np.flatnonzero(raw == 10))
         grams = _pairs(words)
         known = templates.bits[grams >> np.uint64(64 - _FILTER_BITS)]
         hit = np.concatenate(([0], np.cumsum(known, dtype=np.int64)))
-        breaks = np.flatnonzero(raw == 10)
-        edges = np.unique(np.concatenate((np.searchsorted(s, breaks), first)))
-        gap = breaks[np.flatnonzero(np.diff(np.searchsorted(s, breaks), prepend=-1) == 0)]
-        parts = np.unique(np.concatenate((np.searchsorted(s, gap), first)))
+        edges = np.unique(np.concatenate((lines, first)))
+        parts = np.unique(np.concatenate((lines[np.flatnonzero(np.diff(lines, prepend=-1) == 0)], first)))
         seen, units = set(), {}
         for cuts in (edges, parts, np.unique(first)):
             lo, hi = cuts[:-1], cuts[1:]

@@ -1,14 +1,14 @@
 """Operator 6: quality classifier, histogram gradient-boosted trees over document statistics.
 
 Training takes a bounded sample of labelled rows: the ``sample`` (default 20,000) with the smallest hash of
-doc_id among those whose crc32 remainder by 3 is not 1. Only their ids and labels, at most that many,
+doc_id among those whose crc32 remainder by 3 is not 1 (rows that repeat an id included). Only their ids and labels, at most that many,
 are broadcast; texts are not shuffled. Features are binned at quantiles; each level of a tree takes one
 pass of gradient histograms. Fitted trees are complete binary trees flattened into arrays, which numpy
 walks for all rows of a batch at once, one level of one tree at a time.
 
 Inputs are statistics of the text alone. Defined results: a null text is scored as an empty one; without
 usable labels every score is 0.5, and with one class it is that class's smoothed rate. Several labels of
-one document each count. Repeated documents are scored row by row; other columns are ignored.
+one document each count. A row without doc_id teaches nothing and is not held out. Repeated documents are scored row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,51 +42,53 @@ _OF = np.zeros((len(_CLASSES), 256), dtype=np.uint8)
 for _k, _members in enumerate(_CLASSES.values()):
     _OF[_k, list(_members)] = 1
 
+_NEWLINE = np.zeros(256, dtype=bool)
+_NEWLINE[10] = True
+
 FEATURES = ("log_bytes", "log_words", "word_bytes", "long_words", *(f"share_{k}" for k in _CLASSES), "upper_of_letters", "distinct_words", "top_word", "top5_words", "repeated_pairs", "log_lines", "repeated_lines", "top_line")
 
 
 def features(column) -> np.ndarray:
-    """One row of FEATURES for each text, in bounded pieces."""
+    """One row of FEATURES for each text; a long one is read in pieces."""
     data, offsets = textkit.buffers(column)
     out = np.zeros((len(offsets) - 1, len(FEATURES)))
+    classes = len(_CLASSES)
     for a, b in textkit.slices(offsets):
         o = offsets[a : b + 1] - offsets[a]
         raw = data[offsets[a] : offsets[b]]
-        size = np.diff(o)
-        per = np.maximum(size, 1)
-        x = out[a:b]
-        low = textkit.lowered(raw)
-        starts, ends, first = textkit.spans(low, o)
-        length = ends - starts
-        words = np.diff(first)
-        total = np.concatenate(([0], np.cumsum(length)))
-        longest = np.concatenate(([0], np.cumsum(length > 15)))
+        if b == a + 1:
+            word, length, _ = textkit.row_words(raw)
+            line, _, breaks = textkit.row_words(raw, apart=_NEWLINE)
+            first, n_breaks, line_first = np.array([0, len(word)]), np.array([len(breaks)]), np.array([0, len(line)])
+            shares = sum((np.bincount(raw[k : k + textkit.CHUNK], minlength=256) for k in range(0, len(raw), textkit.CHUNK)), np.zeros(256, np.int64))[None] @ _OF.T.astype(np.int64)
+        else:
+            low = textkit.lowered(raw)
+            starts, ends, first = textkit.spans(low, o)
+            word, length = textkit.span_hashes(low, starts, ends), ends - starts
+            starts, ends, line_first = textkit.spans(low, o, _NEWLINE)
+            line, n_breaks = textkit.span_hashes(low, starts, ends), np.diff(np.searchsorted(np.flatnonzero(raw == 10), o))
+            shares = np.stack([np.diff(np.concatenate(([0], np.cumsum(of[raw], dtype=np.int64)))[o]) for of in _OF], axis=1)
+        size, words, x = np.diff(o), np.diff(first), out[a:b]
+        total, longest = (np.concatenate(([0], np.cumsum(v))) for v in (length, length > 15))
         each = np.maximum(words, 1)
         x[:, 0], x[:, 1] = np.log1p(size), np.log1p(words)
-        x[:, 2] = (total[first[1:]] - total[first[:-1]]) / each
-        x[:, 3] = (longest[first[1:]] - longest[first[:-1]]) / each
-        for k in range(len(_CLASSES)):
-            run = np.concatenate(([0], np.cumsum(_OF[k][raw], dtype=np.int64)))
-            x[:, 4 + k] = (run[o[1:]] - run[o[:-1]]) / per
-        at = 4 + len(_CLASSES)
+        x[:, 2], x[:, 3] = np.diff(total[first]) / each, np.diff(longest[first]) / each
+        x[:, 4 : 4 + classes] = shares / np.maximum(size, 1)[:, None]
+        at = 4 + classes
         x[:, at] = x[:, 4] / np.maximum(x[:, 4] + x[:, 5], 1e-9)
-        hashes = textkit.span_hashes(low, starts, ends)
-        breaks = np.flatnonzero(raw == 10)
-        line_first = np.searchsorted(breaks, o)
+        x[:, at + 5] = np.where(words > 0, np.log1p(n_breaks + 1), 0.0)
         for i in np.flatnonzero(words):
-            w = hashes[first[i] : first[i + 1]]
+            w = word[first[i] : first[i + 1]]
             _, n = np.unique(w, return_counts=True)
             n.sort()
             x[i, at + 1], x[i, at + 2], x[i, at + 3] = len(n) / len(w), n[-1] / len(w), n[-5:].sum() / len(w)
             if len(w) > 1:
                 with np.errstate(over="ignore"):
                     x[i, at + 4] = 1 - len(np.unique(w[:-1] * np.uint64(3) + w[1:])) / (len(w) - 1)
-            cut = breaks[line_first[i] : line_first[i + 1]]
-            edge = np.concatenate(([o[i]], cut + 1)), np.concatenate((cut, [o[i + 1]]))
-            if len(cut):
-                _, n = np.unique(textkit.span_hashes(low[o[i] : o[i + 1]], edge[0] - o[i], edge[1] - o[i]), return_counts=True)
-                x[i, at + 6], x[i, at + 7] = 1 - len(n) / n.sum(), n.max() / n.sum()
-            x[i, at + 5] = np.log1p(len(cut) + 1)
+            if lines := int(n_breaks[i]):
+                _, n = np.unique(line[line_first[i] : line_first[i + 1]], return_counts=True)
+                empty = lines + 1 - int(n.sum())
+                x[i, at + 6], x[i, at + 7] = 1 - (len(n) + (empty > 0)) / (lines + 1), max(int(n.max(initial=0)), empty) / (lines + 1)
     return out
 
 
@@ -165,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -
         for batch in batches:
             yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": list(features(batch.column("text")))}
 
-    rows = arrow_pass(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text"), measured, "doc_id long, quality int, x array<double>").toPandas()
+    rows = arrow_pass(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text"), measured, "doc_id long, quality int, x array<double>")
+    # Rows that repeat a chosen id are of the sample only up to its bound, again by a hash.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(sample).toPandas()
     rows = rows.sort_values(["doc_id", "quality"]).reset_index(drop=True)
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["quality"].to_numpy(np.float64), **options)
@@ -181,4 +185,4 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             yield {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     out = arrow_pass(docs.select("doc_id", "text"), scored, "doc_id long, score double, predicted int")
-    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")

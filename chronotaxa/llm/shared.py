@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,6 +82,15 @@ def pieces(batch: pa.RecordBatch, rows: int = ROWS):
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def arrow_pass(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(batches)`` yields dicts of columns. It gets batches of at most ``ROWS`` rows, so that what it makes of one stays small."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,7 +101,7 @@ def arrow_pass(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
         for out in fn(piece for batch in batches for piece in pieces(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -1,7 +1,9 @@
 """Vectorised text primitives over the UTF-8 buffers of Arrow string columns.
 
 Words are maximal runs of bytes other than ``\\x20 \\x09-\\x0D``, after lower-casing A-Z. Hashes are
-computed with numpy over whole buffers, so that no Python object is made for a word.
+computed with numpy over whole buffers, so that no Python object is made for a word. A text longer than ``CHUNK`` bytes
+is read that many bytes at a time, whatever its words' lengths: a word that a cut leaves open goes on in the next piece. What is
+kept of it is a few numbers for each word.
 """
 
 from __future__ import annotations
@@ -70,8 +72,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[lo:hi], offsets - lo
 
 
-def slices(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``limit`` bytes together; a longer row comes alone."""
+def slices(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes together; a longer row comes alone, for its reader to cut."""
+    limit = limit or CHUNK
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
@@ -79,9 +82,9 @@ def slices(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         at = to
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the index of each row's first word (n + 1). Words do not cross rows."""
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     if len(data) == 0:
@@ -97,21 +100,68 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, from differences of one running polynomial sum."""
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials of byte ranges, from differences of one running sum."""
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=total[1:])
-        return mix((total[ends] - total[starts]) * powers(_P_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return (total[ends] - total[starts]) * powers(_P_INV, len(data) + 1)[starts]
+
+
+def _finished(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    return _finished(_sums(data, starts, ends), ends - starts)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each lower-cased word of the rows, and the index of each row's first word (n + 1)."""
-    low = lowered(data)
+def row_words(data: np.ndarray, table: np.ndarray = _LOWER, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and byte lengths of the words of one row of any length, and for each newline how many words start before it.
+
+    Bytes are mapped by ``table``; ``apart`` marks those between words.
+    """
+    sums, sizes, breaks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    kept, kept_size, started = 0, 0, 0  # of the word that the last cut left open
+    for lo in range(0, len(data), CHUNK):
+        raw = data[lo : lo + CHUNK]
+        part = table[raw]
+        starts, ends, _ = spans(part, np.array([0, len(part)]), apart)
+        total, size = _sums(part, starts, ends), ends - starts
+        goes_on = int(kept_size > 0 and len(starts) > 0 and starts[0] == 0)
+        breaks.append(started + np.searchsorted(starts, np.flatnonzero(raw == 10)) - goes_on)
+        if goes_on:
+            total[0] = (kept + int(total[0]) * pow(_P, kept_size, 1 << 64)) % (1 << 64)
+            size[0] += kept_size
+        elif kept_size:
+            sums.append(np.array([kept], np.uint64))
+            sizes.append(np.array([kept_size]))
+        started += len(starts) - goes_on
+        kept, kept_size = 0, 0
+        if len(ends) and ends[-1] == len(part):
+            kept, kept_size = int(total[-1]), int(size[-1])
+            total, size = total[:-1], size[:-1]
+        sums.append(total)
+        sizes.append(size)
+    if kept_size:
+        sums.append(np.array([kept], np.uint64))
+        sizes.append(np.array([kept_size]))
+    size = np.concatenate(sizes)
+    return _finished(np.concatenate(sums), size), size, np.concatenate(breaks)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the rows, their bytes mapped by ``table`` (lower-cased), and the index of each row's first word (n + 1)."""
+    if len(offsets) == 2 and len(data) > CHUNK:
+        hashes, _, _ = row_words(data, table)
+        return hashes, np.array([0, len(hashes)])
+    low = table[data]
     starts, ends, first = spans(low, offsets)
     return span_hashes(low, starts, ends), first
 
@@ -122,23 +172,25 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     A row with fewer words has its whole sequence as its only run; a row without words has none.
     """
     n = np.diff(first)
-    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    out_first = np.concatenate(([0], np.cumsum(count)))
-    row = np.repeat(np.arange(len(n)), count)
-    at = first[:-1][row] + np.arange(out_first[-1]) - out_first[:-1][row]
-    have = np.minimum(n[row], width)
-    with np.errstate(over="ignore"):
-        acc = have.astype(np.uint64)
-        padded = np.concatenate((word, np.zeros(width, np.uint64)))
-        for k in range(width):
-            acc = acc * np.uint64(_P) + np.where(k < have, padded[at + k], np.uint64(0))
-    return mix(acc), out_first
-
-
-def word_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, first word of each row) over a column, in bounded pieces."""
+    out_first = np.concatenate(([0], np.cumsum(np.where(n >= width, n - width + 1, np.minimum(n, 1)))))
+    out = np.empty(out_first[-1], np.uint64)
+    padded = np.concatenate((word, np.zeros(width, np.uint64)))
+    for lo in range(0, len(out), CHUNK):
+        k = np.arange(lo, min(lo + CHUNK, len(out)))
+        row = np.searchsorted(out_first, k, side="right") - 1
+        at, have = first[row] + k - out_first[row], np.minimum(n[row], width)
+        with np.errstate(over="ignore"):
+            acc = have.astype(np.uint64)
+            for j in range(width):
+                acc = acc * np.uint64(_P) + np.where(j < have, padded[at + j], np.uint64(0))
+        out[lo : lo + len(k)] = mix(acc)
+    return out, out_first
+
+
+def word_rows(column: pa.Array, table: np.ndarray = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, first word of each row) over a column, in pieces of whole rows."""
     data, offsets = buffers(column)
     for a, b in slices(offsets):
         o = offsets[a : b + 1]
-        w, first = words(data[o[0] : o[-1]], o - o[0])
+        w, first = words(data[o[0] : o[-1]], o - o[0], table)
         yield a, b, w, first

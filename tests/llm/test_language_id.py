@@ -18,9 +18,10 @@ def corpus(n=240):
 
 def test_grams_stay_inside_rows():
     a = pa.array(["Ab, c", None, "x", "ABCD"])
-    (_, _, g, first), = L.gram_rows(a)
+    (_, _, g, first, letter), = L.gram_rows(a)
     text = lambda k: bytes([(int(k) >> s) & 255 for s in (24, 16, 8, 0)])
     rows = [[text(k) for k in g[first[i] : first[i + 1]]] for i in range(4)]
+    assert letter.tolist() == [True, False, True, True]
     assert rows == [[b" ab "], [], [], [b" abc", b"abcd", b"bcd "]]
 
 
@@ -29,7 +30,7 @@ def test_no_false_negatives_and_exact_masks(spark):
     model = L.fit(df, share=0.0)
     assert sorted(model.languages) == ["de", "en", "fr"]
     for _, text, lang in corpus(30):
-        (_, _, g, _), = L.gram_rows(pa.array([text]))
+        (_, _, g, _, _), = L.gram_rows(pa.array([text]))
         assert ((model.masks(g)[:, 0] >> model.languages.index(lang)) & 1).all()
 
 
@@ -57,17 +58,57 @@ def test_no_language_crowds_out_another(spark):
     junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(1500)]
     rows = [(i, " ".join(rng.choice(junk, 300)), "zz") for i in range(300)] + [(1000 + i, " ".join(rng.choice(WORDS["de"], 40)), "de") for i in range(24)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    got = L.identify(df, vocabulary=1000).where("doc_id >= 1000").collect()
+    got = L.identify(df).where("doc_id >= 1000").collect()
     assert all(r.lang_pred == "de" and r.support > 0.9 for r in got)
-    assert L.keep_known(df, 0.2, vocabulary=1000).where("doc_id >= 1000").count() == 24
-
-
-def test_room_of_a_language(spark):
-    rows = [(g, k, n) for k in range(2) for g, n in enumerate([9] * 10 + [5] * 500 + [1] * 5000, 10_000 * k)] + [(10_000, 0, 9)]
-    sums = spark.createDataFrame(rows, "gram long, lang int, n long")
-    kept = {(r["gram"], r["lang"]) for r in L._members(sums, 2, 0.3, 260).to_pylist()}
-    for k in range(2):
-        mine = {g - 10_000 * k for g, lang in kept if lang == k and g // 10_000 == k}
-        assert set(range(10)) <= mine <= set(range(510)) and 200 < len(mine) < 320
-    assert (10_000, 0) in kept and len(L._members(sums, 2, 0.3, 10_000)) == len(rows)
-    assert not len(L._members(sums.limit(0), 0, 0.3, 10))
+    assert L.keep_known(df, 0.2).where("doc_id >= 1000").count() == 24
+
+
+def test_many_labels_and_a_small_table(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{k}" for k in "abcdef"), f"l{i // 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.identify(df, languages=64).collect()} <= {f"l{i}" for i in range(300)}
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    got = L.identify(df, slots=1 << 10, room=1 << 10).collect()
+    assert np.mean([r.lang_pred == corpus()[r.doc_id][2] for r in got]) > 0.9
+    nameless = spark.createDataFrame([(None, "the and that", "en")], "doc_id long, text string, lang string")
+    assert tuple(L.identify(nameless).select("doc_id", "held_out", "lang_pred").first()) == (None, False, "und")
+
+
+def brute(train, texts, share=0.3):
+    """Exact n-gram sets instead of filters."""
+    def grams(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        low = b" " + low + b" "
+        return [g for k in range(len(low) - 3) if b"  " not in (g := low[k : k + 4])]
+
+    from collections import Counter
+
+    rows, counts = Counter(lang for _, lang in train), {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = {}
+    for r in rate.values():
+        for g, x in r.items():
+            most[g] = max(most.get(g, 0), x)
+    order = sorted(rows, key=lambda k: (-rows[k], k))
+    out = []
+    for text in texts:
+        g = grams(text)
+        c = [sum(x in rate[k] and rate[k][x] >= share * most[x] for x in g) for k in order]
+        top, second = sorted(c, reverse=True)[:2]
+        out.append((order[c.index(top)], top / (top + second) if top else 0.0, top / len(g)))
+    return out
+
+
+def test_equals_exact_sets(spark):
+    rng = np.random.default_rng(6)
+    mixed = [(500 + i, " ".join(rng.choice(WORDS["en"] + WORDS["fr"] + WORDS["de"], 12)), None) for i in range(80)]
+    rows = corpus(120) + mixed
+    from zlib import crc32
+
+    train = [(t, k) for i, t, k in rows if k and crc32(str(i).encode()) % 4 != 2]
+    want = brute(train, [t for _, t, _ in rows])
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for (i, _, _), (lang, score, support) in zip(rows, want):
+        assert (got[i].lang_pred == lang or abs(score - 0.5) < 0.002) and abs(got[i].score - score) < 0.01 and abs(got[i].support - support) < 0.01
