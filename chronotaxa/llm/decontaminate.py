@@ -14,8 +14,9 @@ document leaks an item if the longest common subsequence of the item and a stret
 its length covers ``covered`` of the item, or ``paraphrased`` of it and ``answered`` of its answer (its last
 fifth, three words at least).
 
-Statistics and search cover every passage of every text. The benchmark is taken in blocks of about ``block`` items,
-so that what is broadcast is bounded; partial sums are one row for each word that a task met.
+Statistics and search cover every passage of every text. There is one vocabulary and one latent space for the whole benchmark, which the driver
+holds; what depends on single items is broadcast for at most ``block`` of them at once, and a larger benchmark takes a search pass for each block, with
+the same results. Partial sums are one row for each word that a task met.
 
 Defined results: null and empty texts or items leak nothing; repeated rows are searched one by one and reported
 once for each (doc_id, item_id), with the best match; other columns are ignored.
@@ -58,20 +59,18 @@ class Settings:
     paraphrased: float = 0.5
     answered: float = 0.8
     stretch: float = 1.25
-    block: int = 4096
+    block: int = 16_384
     seed: int = 0
 
 
 @dataclass(frozen=True)
 class Items:
+    """Benchmark items (or a block of them) over one vocabulary."""
+
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: np.ndarray
     bits: np.ndarray
-    pairs: np.ndarray = None
-    least: np.ndarray = None
-    postings: np.ndarray = None
-    members: list[dict[int, int]] = None
 
     @classmethod
     def of(cls, ids: list[int], texts) -> Items:
@@ -79,32 +78,65 @@ class Items:
         for a, b, h, first in content_words(texts):
             for i in range(b - a):
                 words[a + i] = h[first[i] : first[i + 1]]
-        vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        return cls(ids, words, *cls._filter(np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)))
+
+    @staticmethod
+    def _filter(vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = np.zeros(1 << _BITS, dtype=bool)
         bits[vocabulary >> np.uint64(64 - _BITS)] = True
-        return cls(ids, words, vocabulary, bits)
+        return vocabulary, bits
 
     def without_common(self, df: np.ndarray, n: int, s: Settings) -> Items:
         keep = df <= s.common * n
         for w in self.words:
             number = np.searchsorted(self.vocabulary, np.unique(w))
             keep[number[np.argsort(df[number], kind="stable")[: s.rarest]]] = True
-        bits = np.zeros(1 << _BITS, dtype=bool)
-        bits[self.vocabulary[keep] >> np.uint64(64 - _BITS)] = True
-        out = Items(self.ids, self.words, self.vocabulary[keep], bits)
-        pairs, least = [], np.ones(len(self.ids), np.int64)
+        return Items(self.ids, self.words, *self._filter(self.vocabulary[keep]))
+
+    def vectors(self, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Each item's unit vector in the latent space."""
+        out = np.zeros((len(self.ids), space.shape[1]), np.float32)
         for k, w in enumerate(self.words):
-            _, number = out.hits(w)
-            pairs.append(np.unique(number) * len(self.ids) + k)
+            _, number = self.hits(w)
+            v = (space[number] * idf[number, None]).sum(axis=0)
+            out[k] = v / max(float(np.sqrt(v @ v)), 1e-9)
+        return out
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of vocabulary words, and their numbers."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.bits[words >> np.uint64(64 - _BITS)])
+        number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
+        real = self.vocabulary[number] == words[at]
+        return at[real], number[real]
+
+
+@dataclass(frozen=True)
+class Block(Items):
+    """Items with an inverted index of their kept words, how many of them a window has to hold, and their words' counts."""
+
+    pairs: np.ndarray
+    postings: np.ndarray
+    least: np.ndarray
+    members: list[dict[int, int]]
+
+    @classmethod
+    def cut(cls, items: Items, lo: int, hi: int, s: Settings) -> Block:
+        ids, words = items.ids[lo:hi], items.words[lo:hi]
+        pairs, least = [], np.ones(len(ids), np.int64)
+        for k, w in enumerate(words):
+            _, number = items.hits(w)
+            pairs.append(np.unique(number) * len(ids) + k)
             # A step of half a window leaves one that holds as many of the item's words as half a window and one, or all.
             held = min(len(w), s.window // 2 + 1) * len(number) / max(1, len(w))
             # Every other window covers a stretch, and the best of them holds its share of what the stretch keeps.
             windows = -(-(s.window // 2 - 1 + max(len(w), int(s.stretch * len(w)))) // s.window)
             least[k] = max(1, min(int(0.7 * s.paraphrased * held), int(s.paraphrased * len(number) / max(1, windows))))
         pairs = np.sort(np.concatenate(pairs))
-        postings = np.searchsorted(pairs, np.arange(len(out.vocabulary) + 1) * len(self.ids))
-        members = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)))) for w in self.words]
-        return Items(out.ids, out.words, out.vocabulary, bits, pairs, least, postings, members)
+        postings = np.searchsorted(pairs, np.arange(len(items.vocabulary) + 1) * len(ids))
+        members = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)))) for w in words]
+        return cls(ids, words, items.vocabulary, items.bits, pairs, postings, least, members)
 
     def shared(self, entry: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, kept words that they share) of all pairs that share one; window w holds the entries of w and w + 1."""
@@ -114,13 +146,6 @@ class Items:
         key, times = np.unique(np.concatenate((key, key - len(self.ids))), return_counts=True)
         return key // len(self.ids), key % len(self.ids), times
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of vocabulary words, and their numbers."""
-        at = np.flatnonzero(self.bits[words >> np.uint64(64 - _BITS)])
-        number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
-        real = self.vocabulary[number] == words[at]
-        return at[real], number[real]
-
 
 def passages(items: Items, column, span: int):
     """(passages so far, passage of each entry, word, times): entries sorted by passage, in bounded pieces."""
@@ -247,7 +272,7 @@ def best_stretch(item: np.ndarray, words: np.ndarray, s: Settings) -> tuple[floa
     return best
 
 
-def leaks_in(words: np.ndarray, first: np.ndarray, items: Items, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> list[tuple[int, int, float, float]]:
+def leaks_in(words: np.ndarray, first: np.ndarray, items: Block, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> list[tuple[int, int, float, float]]:
     """(row, item number, share, cosine) of the items that rows of a piece of a column leak."""
     at, number = items.hits(words)
     if not len(at):
@@ -263,10 +288,12 @@ def leaks_in(words: np.ndarray, first: np.ndarray, items: Items, idf: np.ndarray
     both[place] = total
     before = which[np.maximum(place - 1, 0)] == own - 1
     both[place[before] - 1] += total[before]
-    near = (both @ targets.T) / np.maximum(np.sqrt((both**2).sum(axis=1)), 1e-9)[:, None]
+    both /= np.maximum(np.sqrt((both**2).sum(axis=1)), 1e-9)[:, None]
     window, item, times = items.shared(start[row] + (at - first[row]) // half, number)
     window = np.searchsorted(which, window)
-    cosine = near[window, item]
+    cosine = np.empty(len(window), np.float32)
+    for k in range(0, len(window), 1 << 16):
+        cosine[k : k + (1 << 16)] = np.einsum("ij,ij->i", both[window[k : k + (1 << 16)]], targets[item[k : k + (1 << 16)]])
     candidate = (times >= items.least[item]) | (cosine >= s.cosine)
     window, item, cosine = window[candidate], item[candidate], cosine[candidate]
     best: dict[tuple[int, int], tuple[float, float]] = {}
@@ -290,23 +317,27 @@ def leaks_in(words: np.ndarray, first: np.ndarray, items: Items, idf: np.ndarray
     return [(i, k, share, value) for (i, k), (share, value) in best.items()]
 
 
-def _block(docs: DataFrame, bench: DataFrame, s: Settings) -> DataFrame | None:
-    rows = _lower(bench).toArrow()
+def leaks(docs: DataFrame, bench: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, item_id, share, cosine: one row for each document and the item it leaks."""
+    s = settings or Settings()
+    rows = _lower(bench.select("item_id", "text").where("item_id is not null and text is not null")).toArrow()
     items = Items.of(rows.column("item_id").to_pylist(), rows.column("text"))
     if not len(items.vocabulary):
-        return None
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, cosine double")
     n, df = passage_frequencies(docs, items, s.span)
     fewer = items.without_common(df, n, s)
     idf = np.log((n + 1) / (df[np.isin(items.vocabulary, fewer.vocabulary)] + 1)) + 1e-3
-    items = fewer
-    space = latent_space(docs, items, idf, s)
-    targets = np.zeros((len(items.ids), space.shape[1]), np.float32)
-    for k, w in enumerate(items.words):
-        if len(w):
-            _, number = items.hits(w)
-            v = (space[number] * idf[number, None]).sum(axis=0)
-            targets[k] = v / max(float(np.sqrt(v @ v)), 1e-9)
-    held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), space, targets))
+    space = latent_space(docs, fewer, idf, s)
+    targets = fewer.vectors(idf, space)
+    found = None
+    for lo in range(0, len(fewer.ids), s.block):
+        part = _searched(docs, Block.cut(fewer, lo, lo + s.block, s), idf.astype(np.float32), space, targets[lo : lo + s.block], s)
+        found = part if found is None else found.union(part)
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
+
+
+def _searched(docs: DataFrame, block: Block, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast((block, idf, space, targets))
 
     def run(batches):
         items, idf, space, targets = held.value
@@ -318,18 +349,3 @@ def _block(docs: DataFrame, bench: DataFrame, s: Settings) -> DataFrame | None:
                 yield dict(zip(("doc_id", "item_id", "share", "cosine"), map(list, zip(*out))))
 
     return arrow_pass(_lower(docs).select("doc_id", "text"), run, "doc_id long, item_id long, share double, cosine double")
-
-
-def leaks(docs: DataFrame, bench: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, item_id, share, cosine: one row for each document and the item it leaks."""
-    s = settings or Settings()
-    bench = bench.select("item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-bench.count() // s.block))
-    found = None
-    for k in range(blocks):
-        part = _block(docs, bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), s)
-        if part is not None:
-            found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, cosine double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"))
