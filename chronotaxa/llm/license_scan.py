@@ -9,7 +9,8 @@ batch at once, and only units that pass are compared.
 
 A licence that is a part of a unit, or reaches over several, is found as a span: any run of words of one text that starts and
 ends with bigrams of a template and reaches t against it. Such a span holds t/(2-t) |B| of the template's bigrams on at
-most (2-t)/t |B| places, so only starts from where that many follow are tried; none is lost. Of spans that overlap, the one with
+most (2-t)/t |B| places, so only starts from where that many follow are tried; none is lost (of whole licence bodies, one start in
+|B| / 256 places is tried, which costs a span at most a 256th of its Dice). Of spans that overlap, the one with
 most shared bigrams counts (then the higher Dice, then the smaller name); one that overlaps a unit's hit counts only if it
 names another licence with a higher Dice.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,16 @@ _CLEAN[48:58] = np.arange(48, 58)
 _CLEAN[97:123] = _CLEAN[65:91] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
 _FILTER_BITS = 20
+#: Spans of a template with more bigrams than twice this are tried from so many starts over its length; the others from every start.
+_STARTS = 256
 
-#: Short names by SPDX identifier, for notices of the form "licensed under ...".
+#: Short names by SPDX identifier, for notices of the form "licensed under ...".
 NAMES = {
     "MIT": ("the MIT License",),
     "Apache-2.0": ("the Apache License, Version 2.0", "Apache License 2.0"),
     "GPL-2.0": ("the GNU General Public License, version 2",),
     "GPL-3.0": ("the GNU General Public License, version 3",),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1",),
     "LGPL-3.0": ("the GNU Lesser General Public License, version 3",),
     "AGPL-3.0": ("the GNU Affero General Public License, version 3",),
     "MPL-2.0": ("the Mozilla Public License, version 2.0",),
@@ -58,7 +63,7 @@ NAMES = {
 }
 FRAMES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under the terms of {}.")
 
-#: Texts of short licences and of the usual file headers.
+#: Texts of short licences and of the usual file headers.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -71,12 +76,13 @@ _GNU = """{0} is free software; you can redistribute it and/or modify it under t
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
-#: Full texts or usual notices of the licences that ``TEXTS`` lacks or has in part.
+#: Usual notices of the licences that ``TEXTS`` lacks or has in part.
 NOTICES = [
     ("BSD-2-Clause", _BSD.format("")),
     ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
     ("GPL-2.0", _GNU.format("This program", "", 2, "this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")),
     ("GPL-3.0", _GNU.format("This program", "", 3, "this program. If not, see <https://www.gnu.org/licenses/>.")),
+    ("LGPL-2.1", _GNU.format("This library", "Lesser ", "2.1", "this library; if not, see <https://www.gnu.org/licenses/>.")),
     ("LGPL-3.0", _GNU.format("This library", "Lesser ", 3, "this library. If not, see <https://www.gnu.org/licenses/>.")),
     ("AGPL-3.0", _GNU.format("This program", "Affero ", 3, "this program. If not, see <https://www.gnu.org/licenses/>.")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -85,9 +91,14 @@ NOTICES = [
 ]
 
 
+def bodies() -> list[tuple[str, str]]:
+    """Whole texts of the longer licences, as the Debian package base-files ships them; read on the driver."""
+    return [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted(files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+
+
 def default_templates() -> list[tuple[str, str]]:
-    """(licence, text) pairs: every frame around every name, and the longer texts."""
-    return [(k, frame.format(name)) for k, names in NAMES.items() for name in names for frame in FRAMES] + list(TEXTS.items()) + NOTICES
+    """(licence, text) pairs: every frame around every name, notices, and whole texts."""
+    return [(k, frame.format(name)) for k, names in NAMES.items() for name in names for frame in FRAMES] + list(TEXTS.items()) + NOTICES + bodies()
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -149,7 +160,10 @@ class Templates:
             if len(p) < least:
                 continue
             near = (p[least - 1 :] - p[: len(p) - least + 1] < longest) & (r[least - 1 :] == r[: len(r) - least + 1])
-            for i in np.flatnonzero(near).tolist():
+            starts = np.flatnonzero(near)
+            step = max(1, size // _STARTS)
+            starts = starts[np.unique(np.stack((r[starts], p[starts] // step)), axis=1, return_index=True)[1]] if step > 1 else starts
+            for i in np.sort(starts).tolist():
                 end = int(np.searchsorted(p, min(p[i] + longest, first[r[i] + 1])))
                 left, shared, best = dict(self.counts[k]), 0, None
                 for place, g in zip((p[i:end] - p[i]).tolist(), grams[p[i:end]].tolist()):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,14 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, or a temporary one if there is only this machine."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="chronotaxa-")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="chronotaxa-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
         spark.sparkContext.setCheckpointDir(_FALLBACK[app])
     return _FALLBACK[app]
 
