@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.nameparse import parse_name
+from ..plans.staging import dense
 
 
 def triage(rows: DataFrame) -> DataFrame:
-    """Why a row cannot be used, as ``problem``; null if it can. Rows are counted from 1."""
-    at = F.concat(F.lit("row "), (F.col("file_ord") + 1).cast("string"), F.lit(": "))
+    """Why a row cannot be used, as ``problem``; null if it can. Rows, with ``row_no`` from 0, are counted from 1 as they are read."""
+    at = F.concat(F.lit("row "), (F.col("row_no") + 1).cast("string"), F.lit(": "))
     return rows.withColumn("problem", F.when(F.col("error").isNotNull(), F.concat(at, F.col("error"))).when(text.blank_to_null("scientific_name").isNull(), F.concat(at, F.lit("no scientific name"))))
 
 
@@ -71,7 +72,7 @@ class Loaded:
 
 def load(rows: DataFrame, seq: int, existing: DataFrame | None = None) -> Loaded:
     """Names to add, usages with pointers, problem lists and a one-row report. Usage ids follow the file's order."""
-    checked = triage(rows).withColumns({"verbatim": text.full_name("scientific_name", "authorship"), "status": text.status("status_raw")})
+    checked = triage(dense(rows, "file_ord")).withColumns({"verbatim": text.full_name("scientific_name", "authorship"), "status": text.status("status_raw")})
     usable = checked.where("problem is null")
     link_names = [usable.select(text.strip(f"{p}_scientific_name").alias("verbatim")) for p in ("accepted", "parent")]
     verbatims = usable.select("verbatim").union(link_names[0]).union(link_names[1]).where("verbatim is not null and verbatim <> ''")
@@ -85,7 +86,7 @@ def load(rows: DataFrame, seq: int, existing: DataFrame | None = None) -> Loaded
     for p in ("accepted", "parent"):
         u = u.withColumn("v", text.strip(f"{p}_scientific_name")).join(keys.select(F.col("verbatim").alias("v"), F.col("canonical_key").alias(f"{p}_key")), "v", "left").drop("v")
     empty = lambda c: F.when(F.size(c) > 0, F.col(c))
-    u = u.withColumns({"usage_id": F.lit(seq).cast("long") * (1 << 40) + F.col("file_ord"), "name_id": F.xxhash64("norm_key"), "rank": F.coalesce(F.nullif(F.col("rank"), F.lit("")), F.col("parsed_rank"))})
+    u = u.withColumns({"usage_id": F.lit(seq).cast("long") * (1 << 40) + F.col("row_no"), "name_id": F.xxhash64("norm_key"), "rank": F.coalesce(F.nullif(F.col("rank"), F.lit("")), F.col("parsed_rank"))})
     linked = resolve_links(u)
     usages = linked.select("usage_id", "source_taxon_id", "name_id", "status", "accepted_usage_id", "parent_usage_id", "rank", empty("classification").alias("classification"), empty("vernacular").alias("vernacular"), empty("raw").alias("source_data"))
     bad = checked.where("problem is not null").select(F.lit("row").alias("pointer"), "file_ord", "problem")

@@ -11,19 +11,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank_to_null, lookup, split_list
+from ..plans.staging import dense
 
 #: How a list's statuses are spelt in the common vocabulary.
 STATUS_VALUES = {"accepted": "accepted", "not-accepted": "synonym", "misapplied": "misapplied"}
+#: Columns that hold the classification, from the top.
 CLASS_COLUMNS = ("kingdom", "phylum", "class", "order", "family", "genus")
-#: For each rank the deepest classification column that lies strictly above it; below species it is the last.
+#: For each rank the place of the deepest classification column that lies strictly above it; ranks below species have the last.
 ABOVE = {
-    -1: ("superkingdom", "realm", "kingdom"),
-    0: ("subkingdom", "infrakingdom", "superphylum", "phylum"),
-    1: ("subphylum", "infraphylum", "superclass", "megaclass", "class"),
-    2: ("subclass", "infraclass", "superorder", "order"),
-    3: ("suborder", "infraorder", "superfamily", "epifamily", "family"),
-    4: ("subfamily", "tribe", "subtribe", "genus"),
-    5: ("subgenus", "section", "subsection", "series"),
+    "superkingdom": -1,
+    "realm": -1,
+    "kingdom": -1,
+    "subkingdom": 0,
+    "infrakingdom": 0,
+    "superphylum": 0,
+    "phylum": 0,
+    "subphylum": 1,
+    "infraphylum": 1,
+    "superclass": 1,
+    "megaclass": 1,
+    "class": 1,
+    "subclass": 2,
+    "infraclass": 2,
+    "superorder": 2,
+    "order": 2,
+    "suborder": 3,
+    "infraorder": 3,
+    "superfamily": 3,
+    "epifamily": 3,
+    "family": 3,
+    "subfamily": 4,
+    "tribe": 4,
+    "subtribe": 4,
+    "genus": 4,
+    "subgenus": 5,
+    "section": 5,
+    "subsection": 5,
+    "series": 5,
 }
 #: Columns kept as source data.
 RAW_COLUMNS = (
@@ -41,11 +65,19 @@ def cleaned(df: DataFrame) -> DataFrame:
     return df.select("file_ord", *cols).withColumns({"statuses": split_list("usage_status"), "taxa": split_list("taxon_id")})
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.where("name_id is not null and simple_name is not null")
+
+
+def _even(rows: DataFrame) -> DataFrame:
+    return _named(rows).where("size(statuses) > 0 and size(statuses) = size(taxa)")
+
+
 def _placements(rows: DataFrame) -> DataFrame:
-    """One row for each pair that both lists have; a longer list's rest is ignored, as is any row without a name id."""
+    """One row for each pair that both lists have; a longer list's rest is ignored, as is any row without a name id or a name."""
     n = F.least(F.size("statuses"), F.size("taxa"))
     pairs = F.slice(F.arrays_zip(F.col("statuses").alias("status"), F.col("taxa").alias("taxon")), F.lit(1), n)
-    return rows.where("name_id is not null").select("*", F.posexplode(pairs).alias("i", "p")).withColumns({"status": F.col("p.status"), "taxon": F.col("p.taxon"), "ord": F.struct("file_ord", "i")})
+    return _named(rows).select("*", F.posexplode(pairs).alias("i", "p")).withColumns({"status": F.col("p.status"), "taxon": F.col("p.taxon"), "ord": F.struct("file_ord", "i")})
 
 
 def accepted_names(rows: DataFrame) -> DataFrame:
@@ -54,16 +86,16 @@ def accepted_names(rows: DataFrame) -> DataFrame:
 
 
 def addressable_parents(rows: DataFrame) -> DataFrame:
-    """The first accepted name of each (rank, name, kingdom)."""
-    p = _placements(rows).where("status = 'accepted' and simple_name is not null and rank is not null")
-    return p.groupBy(F.lower("rank").alias("parent_rank"), F.col("simple_name").alias("parent_name"), F.coalesce("kingdom", F.lit("")).alias("parent_kingdom")).agg(F.min_by("name_id", "ord").alias("parent_name_id"))
+    """The first name of each (rank, name, kingdom) of a classification column's rank, of names that some row with even lists accepts."""
+    accepted = _even(rows).where("array_contains(statuses, 'accepted')").select("name_id").distinct()
+    p = _named(rows).where(F.lower("rank").isin(*CLASS_COLUMNS)).join(accepted, "name_id", "left_semi")
+    return p.groupBy(F.lower("rank").alias("parent_rank"), F.col("simple_name").alias("parent_name"), F.coalesce("kingdom", F.lit("")).alias("parent_kingdom")).agg(F.min_by("name_id", "file_ord").alias("parent_name_id"))
 
 
 def primary_taxa(rows: DataFrame) -> DataFrame:
     """The taxon that a name is anchored to: the first it is accepted in, else its first; from the name's first row with even lists."""
-    even = rows.where("name_id is not null and size(statuses) > 0 and size(statuses) = size(taxa)")
     own = F.expr("try_element_at(transform(filter(arrays_zip(statuses, taxa), p -> p.statuses = 'accepted'), p -> p.taxa), 1)")
-    return even.groupBy("name_id").agg(F.min_by(F.coalesce(own, F.element_at("taxa", 1)), "file_ord").alias("primary_taxon"))
+    return _even(rows).groupBy("name_id").agg(F.min_by(F.coalesce(own, F.element_at("taxa", 1)), "file_ord").alias("primary_taxon"))
 
 
 def usage_rows(rows: DataFrame) -> DataFrame:
@@ -92,7 +124,7 @@ def anchors(usages: DataFrame, primary: DataFrame) -> DataFrame:
 
 def parent_ids(usages: DataFrame, parents: DataFrame) -> DataFrame:
     """(file_ord, parent_name_id) from the deepest classification entry strictly above the rank that is an accepted name."""
-    start = F.coalesce(lookup(F.lower("rank"), {r: str(k) for k, ranks in ABOVE.items() for r in ranks}).cast("int"), F.lit(len(CLASS_COLUMNS) - 1))
+    start = F.coalesce(lookup(F.lower("rank"), {r: str(k) for r, k in ABOVE.items()}).cast("int"), F.lit(len(CLASS_COLUMNS) - 1))
     entries = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(c).alias("rank"), F.col(f"`{c}`").alias("name")) for k, c in enumerate(CLASS_COLUMNS)))
     rows = usages.select("file_ord", "simple_name", F.coalesce("kingdom", F.lit("")).alias("k"), start.alias("start"), entries.alias("entries")).dropDuplicates(["file_ord"])
     probes = rows.select("file_ord", "k", "simple_name", "start", F.explode("entries").alias("e")).where("e.level <= start and e.name is not null and e.name <> simple_name")
@@ -112,8 +144,8 @@ def source_rows(df: DataFrame) -> DataFrame:
     ok, accepted = F.col("error").isNull(), F.col("status") == "accepted"
     names = F.concat(split_list("common_name_c"), split_list("alternative_name_c"))
     null = F.lit(None).cast("string")
-    return out.select(
-        (F.col("file_ord") * 1024 + F.col("i")).alias("file_ord"),
+    return dense(out, "file_ord", "i").select(
+        F.col("row_no").alias("file_ord"),
         F.col("anchor").alias("source_taxon_id"),
         F.col("simple_name").alias("scientific_name"),
         F.when(ok, F.col("name_author")).alias("authorship"),

@@ -53,8 +53,11 @@ def ranked(names: DataFrame, queries: DataFrame, top: int = 4 * LIMIT) -> DataFr
     total = names.agg(F.count("*").alias("n_all")).crossJoin(words.groupBy("name_id").agg(F.max("len").alias("len")).agg(F.avg("len").alias("avg_len")))
     lowered = unaccented(F.array_join(query_tokens("text"), " "))
     terms = queries.select("query_id", F.posexplode(F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("i", "term"))
-    # Words and terms meet on their first letter; the rest of a term must start the word.
-    hits = words.withColumn("c", F.substring("word", 1, 1)).join(terms.withColumn("c", F.substring("term", 1, 1)), "c").where(F.startswith("word", "term"))
+    # Distinct words meet distinct terms in prefixes as long as some term; names and queries come in afterwards.
+    lengths = terms.select(F.length("term").alias("n")).distinct()
+    prefixes = words.select("word").distinct().join(F.broadcast(lengths), F.length("word") >= F.col("n")).select("word", F.expr("left(word, n)").alias("term"))
+    found = terms.select("term").distinct().join(prefixes, "term")
+    hits = words.join(found, "word").join(terms, "term")
     hits = hits.groupBy("query_id", "i", "name_id", "len").agg(F.sum("tf").alias("tf"))
     n = hits.groupBy("query_id", "i").agg(F.count("*").alias("n_with"))
     scored = hits.join(n, ["query_id", "i"]).crossJoin(F.broadcast(total))
@@ -74,15 +77,17 @@ def fuzzy(names: DataFrame, queries: DataFrame, cutoff: float = 88.0, limit: int
 
 
 def resolve(names: DataFrame, query: str | None, cutoff: float = 88.0, limit: int = LIMIT) -> Resolution:
-    """The first tier that hits. The query is parsed; what cannot be parsed is compared as it is typed."""
+    """The first tier that hits. What the name grammar cannot read resolves to nothing."""
     from ..functions.nameparse import parse
 
     spark = names.sparkSession
     none = Resolution("none", names.withColumn("score", F.lit(None).cast("double")).limit(0))
     if not query or not query.strip():
         return none
-    parsed = parse(query)
-    one = spark.createDataFrame([(parsed.canonical or query, parsed.authorship or "")], "c string, a string").select(norm_key("c", "a").alias("n"), canonical_key("c").alias("k")).first()
+    parsed = parse(query.strip())
+    if parsed.canonical is None:
+        return none
+    one = spark.createDataFrame([(parsed.canonical, parsed.authorship or "")], "c string, a string").select(norm_key("c", "a").alias("n"), canonical_key("c").alias("k")).first()
     score = F.lit(None).cast("double")
     if (rows := exact(names, one["n"])).take(1):
         return Resolution("exact", rows.withColumn("score", score))

@@ -1,37 +1,60 @@
 """Similar names of the removed and the added, and their one-to-one assignment.
 
 Names reach ``cutoff`` only if they share enough pairs of neighbouring letters, so only names that meet in one of
-the first of their pairs, in one order for all, are scored. No pair that reaches the cutoff is lost.
+the first of their pairs, rare ones before frequent ones by their counts, are scored. Of short names, which share too few pairs for that,
+those meet that become equal by as few deletions as the cutoff leaves. No pair that reaches the cutoff is lost.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.similarity import indel
 from ..plans.staging import cut
 
 _SHORT = 8
+#: Short names meet by deletions up to so many; at a cutoff that allows more, all short names of one length meet.
+_DELETIONS = 3
 
 
-def _keyed(df: DataFrame, key: str, cutoff: float) -> DataFrame:
-    """One row for each letter pair of a name's prefix; short names meet in a pair of their own."""
+def _pairs(df: DataFrame) -> DataFrame:
+    """(side, key, token): a name's pairs of neighbouring letters, numbered where they repeat."""
+    pairs = "transform(sequence(1, length(key) - 1), i -> substr(key, i, 2))"
+    numbered = f"if(length(key) < 2, cast(array() as array<string>), transform({pairs}, (g, i) -> concat(g, ':', size(filter(slice({pairs}, 1, i + 1), x -> x = g)))))"
+    return df.select("side", "key", F.explode(F.expr(numbered)).alias("token"))
+
+
+def _rarest(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """The pairs of each name in one of which it must meet any name that is similar enough."""
     c = cutoff / 100
-    pairs = f"transform(sequence(1, length({key}) - 1), i -> substr({key}, i, 2))"
-    numbered = f"if(length({key}) < 2, cast(array() as array<string>), transform({pairs}, (g, i) -> concat(g, ':', size(filter(slice({pairs}, 1, i + 1), x -> x = g)))))"
-    need = f"(length({key}) - 1 - 2 * floor({2 * (1 - c) / c} * length({key}) + 1e-9))"
-    ordered = f"transform(array_sort(transform({numbered}, g -> named_struct('h', xxhash64(g), 'g', g))), s -> s.g)"
-    prefix = f"slice({ordered}, 1, greatest(0, length({key}) - 1 - greatest({need}, 1) + 1))"
-    tokens = F.expr(f"if(length({key}) <= {_SHORT}, concat({prefix}, array('')), {prefix})")
-    return df.withColumn("token", F.explode(tokens))
+    need = f"greatest(1, length(key) - 1 - 2 * floor({2 * (1 - c) / c} * length(key) + 1e-9))"
+    counted = pairs.join(pairs.groupBy("token").agg(F.count("*").alias("n")), "token")
+    place = F.row_number().over(Window.partitionBy("side", "key").orderBy("n", "token"))
+    return counted.withColumn("place", place).where(F.expr(f"place <= length(key) - 1 - {need} + 1")).select("side", "key", "token")
+
+
+def _shortened(df: DataFrame, cutoff: float) -> DataFrame:
+    """Short names without up to as many letters as two of them may differ in."""
+    most = int((1 - cutoff / 100) * 2 * _SHORT + 1e-9)
+    short = df.where(F.length("key") <= _SHORT)
+    if most > _DELETIONS:
+        return short.select("side", "key", F.lit("~").alias("token"))
+    level = "array(key)"
+    levels = [level]
+    for _ in range(most):
+        level = f"array_distinct(flatten(transform({level}, s -> if(s = '', cast(array() as array<string>), transform(sequence(1, length(s)), i -> concat(left(s, i - 1), substr(s, i + 1)))))))"
+        levels.append(level)
+    return short.select("side", "key", F.explode(F.expr(f"array_distinct(concat({', '.join(levels)}))")).alias("token")).withColumn("token", F.concat(F.lit("~"), "token"))
 
 
 def scored_candidates(old: DataFrame, fresh: DataFrame, cutoff: float = 88.0) -> DataFrame:
     """(old_key, new_key, score) of different keys whose similarity reaches the cutoff."""
     c = cutoff / 100
-    a = _keyed(old.select("old_key"), "old_key", cutoff)
-    b = _keyed(fresh.select("new_key").distinct(), "new_key", cutoff)
+    names = old.select(F.lit("old").alias("side"), F.col("old_key").alias("key")).union(fresh.select(F.lit("new"), "new_key")).distinct()
+    tokens = cut(_rarest(_pairs(names), cutoff).union(_shortened(names, cutoff)))
+    a, b = (tokens.where(F.col("side") == side).select("token", F.col("key").alias(f"{side}_key")) for side in ("old", "new"))
     both = F.length("old_key") + F.length("new_key")
     sized = 2 * F.least(F.length("old_key"), F.length("new_key")) >= F.lit(c - 1e-9) * both
     near = a.join(b, "token").where((F.col("old_key") != F.col("new_key")) & sized).select("old_key", "new_key").distinct()

@@ -15,9 +15,23 @@ def detect_format(path: str) -> str:
     return "xlsx" if Path(path).suffix.lower() in (".xlsx", ".xlsm") else "csv"
 
 
+def _spans_lines(spark: SparkSession, path: str, encoding: str, quote: str) -> bool:
+    """Whether a quoted cell may reach over a line's end: only then does a line hold an odd number of quotes."""
+    if not quote:
+        return False
+    if encoding not in ("utf-8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "latin1"):
+        return True
+    lines = spark.read.text(path)
+    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", header: bool = True, quote: str = '"', columns: list[str] | None = None, skip: int = 0) -> DataFrame:
-    """All columns as text, with ``file_ord``. With ``columns``, the file has no header of its own but ``skip`` leading lines."""
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding.lower().removesuffix("-sig")).option("multiLine", True).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
+    """All columns as text, with ``file_ord``. With ``columns``, the file has no header of its own but ``skip`` leading lines.
+
+    A file whose cells stay on their lines is read in splits; one with line breaks in cells by one task.
+    """
+    encoding = encoding.lower().removesuffix("-sig")
+    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", _spans_lines(spark, path, encoding, quote)).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
     reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if columns is not None:
         df = reader.option("header", False).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
