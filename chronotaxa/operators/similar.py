@@ -52,7 +52,8 @@ def _shortened(df: DataFrame, cutoff: float) -> DataFrame:
 def scored_candidates(old: DataFrame, fresh: DataFrame, cutoff: float = 88.0) -> DataFrame:
     """(old_key, new_key, score) of different keys whose similarity reaches the cutoff."""
     c = cutoff / 100
-    names = old.select(F.lit("old").alias("side"), F.col("old_key").alias("key")).union(fresh.select(F.lit("new"), "new_key")).distinct()
+    names = old.select(F.lit("old").alias("side"), F.col("old_key").alias("key")).union(fresh.select(F.lit("new"), "new_key"))
+    names = cut(names.distinct())
     tokens = cut(_rarest(_pairs(names), cutoff).union(_shortened(names, cutoff)))
     a, b = (tokens.where(F.col("side") == side).select("token", F.col("key").alias(f"{side}_key")) for side in ("old", "new"))
     both = F.length("old_key") + F.length("new_key")

@@ -30,7 +30,8 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return match.paired(match.with_pointers(_index(spark, sf_dir, kind)))
+    """Paired winners, staged once: every detector reads them."""
+    return cut(match.paired(match.with_pointers(_index(spark, sf_dir, kind))))
 
 
 def _changes(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, DataFrame]:

@@ -123,10 +123,10 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     uneven = F.col("l_orderkey") % 10 == 9
     rows = rows.select("l_orderkey", F.when(F.col("l_orderkey") % 10 != 8, joined("s")).alias("usage_status"), F.when(uneven, F.concat(joined("t"), F.lit(",t9"))).when(F.col("l_orderkey") % 10 == 8, F.lit(None)).otherwise(joined("t")).alias("taxon_id"))
     name = F.col("l_orderkey") - F.col("l_orderkey") % 4
-    return packed.cleaned(rows.select(F.col("l_orderkey").alias("file_ord"), F.concat(F.lit("n"), name.cast("string")).alias("name_id"), F.concat(F.lit("Name "), name.cast("string")).alias("simple_name"), F.lit("Species").alias("rank"), "usage_status", "taxon_id"))
+    return packed.cleaned(rows.select(F.col("l_orderkey").alias("file_ord"), F.concat(F.lit("n"), name.cast("string")).alias("name_id"), F.when(F.col("l_orderkey") % 13 != 5, F.concat(F.lit("Name "), name.cast("string"))).alias("simple_name"), F.lit("Species").alias("rank"), "usage_status", "taxon_id"))
 
 
-_PACKED = f"""WITH lines AS (SELECT l_orderkey, l_linenumber, {_STATUS} AS s, concat('t', cast(l_partkey % 7 AS VARCHAR)) AS t FROM lineitem),
+_PACKED = f"""WITH lines AS (SELECT l_orderkey, l_linenumber, {_STATUS} AS s, concat('t', cast(l_partkey % 7 AS VARCHAR)) AS t FROM lineitem WHERE l_orderkey % 13 <> 5),
 orders_ AS (SELECT l_orderkey, concat('n', CAST(l_orderkey - l_orderkey % 4 AS VARCHAR)) AS name_id, list(s ORDER BY l_linenumber, s, t) AS ss, list(t ORDER BY l_linenumber, s, t) AS ts FROM lines GROUP BY 1),
 even AS (SELECT *, unnest(range(len(ss))) AS i, unnest(ss) AS status, unnest(ts) AS taxon FROM orders_ WHERE l_orderkey % 10 < 8),
 plain AS (SELECT l_orderkey AS file_ord, name_id, i, status, taxon FROM even UNION ALL SELECT l_orderkey, name_id, 0, NULL, NULL FROM orders_ WHERE l_orderkey % 10 = 8)"""
@@ -163,13 +163,15 @@ def _ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     rank = F.expr("case p_partkey % 4 when 0 then 'Species' when 1 then 'Genus' when 2 then 'Family' else 'Order' end")
     name = F.expr("case p_partkey % 4 when 0 then concat('s', p_partkey) when 1 then p_name when 2 then p_brand else p_type end")
-    return packed.cleaned(part.select(F.col("p_partkey").alias("file_ord"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name_id"), name.alias("simple_name"), rank.alias("rank"), F.lit("accepted").alias("usage_status"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("taxon_id"), F.lit("K").alias("kingdom"), F.col("p_type").alias("order"), F.col("p_brand").alias("family"), F.col("p_name").alias("genus")))
+    key = F.col("p_partkey")
+    status = F.when(key % 9 == 4, "accepted,accepted").when(key % 10 == 7, "not-accepted").otherwise("accepted")
+    return packed.cleaned(part.select(key.alias("file_ord"), F.concat(F.lit("n"), key.cast("string")).alias("name_id"), F.when(key % 11 != 3, name).alias("simple_name"), rank.alias("rank"), status.alias("usage_status"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("taxon_id"), F.lit("K").alias("kingdom"), F.col("p_type").alias("order"), F.col("p_brand").alias("family"), F.col("p_name").alias("genus")))
 
 
 @register(
     "packed_parents",
-    """WITH r AS (SELECT p_partkey AS file_ord, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN concat('s', p_partkey) WHEN 1 THEN p_name WHEN 2 THEN p_brand ELSE p_type END AS own, p_name, p_brand, p_type FROM part),
-first AS (SELECT k, own, min(file_ord) AS hit FROM r WHERE k > 0 GROUP BY k, own)
+    """WITH r AS (SELECT p_partkey AS file_ord, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN concat('s', p_partkey) WHEN 1 THEN p_name WHEN 2 THEN p_brand ELSE p_type END AS own, p_name, p_brand, p_type FROM part WHERE p_partkey % 11 <> 3),
+first AS (SELECT k, own, min(file_ord) AS hit FROM r WHERE k > 0 AND file_ord % 9 <> 4 AND file_ord % 10 <> 7 GROUP BY k, own)
 SELECT file_ord, concat('n', coalesce(g.hit, f.hit, o.hit)) AS parent_name_id FROM r
 LEFT JOIN first g ON g.k = 1 AND g.own = r.p_name AND r.k = 0 LEFT JOIN first f ON f.k = 2 AND f.own = r.p_brand AND r.k < 2 LEFT JOIN first o ON o.k = 3 AND o.own = r.p_type AND r.k < 3
 WHERE coalesce(g.hit, f.hit, o.hit) IS NOT NULL""",
