@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     check = lists.add_parser("check-ids")
     for name in ("code", "before", "after"):
         check.add_argument(name)
+    check.add_argument("--text", action="store_true")
     ingest = sub.add_parser("ingest")
     for name in ("code", "version", "path"):
         ingest.add_argument(name)
@@ -68,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
             d.add_argument("--json", action="store_true")
     trace = sub.add_parser("trace")
     trace.add_argument("name")
+    trace.add_argument("--text", action="store_true")
     serve = sub.add_parser("serve")
     serve.add_argument("--port", type=int, default=8000)
     return p
@@ -101,6 +103,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
             store.set_checklist(args.code, args.id_stability)
             return f"{args.code} is {args.id_stability}"
         case "checklist", "check-ids":
+            if args.text:
+                return history.check_ids_text(store, args.code, args.before, args.after)
             return json.dumps(history.check_ids(store, args.code, args.before, args.after).first().asDict())
         case "ingest", _:
             rows, fmt = read_source(spark, store, args.path, args.format, args.map)
@@ -109,16 +113,17 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
             return json.dumps(loaded.report.first().asDict() | {"problems": problems}, ensure_ascii=False)
         case "batch", _:
             pairs = load_files(store, args.code, [str(p) for p in sorted(Path(args.folder).iterdir())], lambda path: read_packed(spark, path, f"{store.root}/incoming"))
-            return "\n".join(f"{a} -> {b}" for a, b in pairs)
+            return "\n".join(f"{a} -> {b}\n{history.check_ids_text(store, args.code, a, b)}" for a, b in pairs)
         case "diff", "run":
-            return history.report(store.diff(args.code, args.before, args.after, cutoff=args.threshold, force=args.force))
+            return history.compared_text(store.diff(args.code, args.before, args.after, cutoff=args.threshold, force=args.force))
         case "diff", "show":
             rows = history.change_list(store, args.code, args.before, args.after, args.type, args.limit).collect()
             if args.json:
                 return json.dumps([{"type": r["type"], "detail": json.loads(r["detail"]), "confidence": r["confidence"]} for r in rows], ensure_ascii=False)
             return "\n".join(f"{r['type']:<18}{r['line']}" for r in rows)
         case "trace", _:
-            return json.dumps(history.trace(store, args.name, args.threshold), ensure_ascii=False)
+            found = history.trace(store, args.name, args.threshold)
+            return history.trace_text(found) if args.text else json.dumps(found, ensure_ascii=False)
     raise ValueError(args.command)
 
 

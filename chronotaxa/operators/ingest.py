@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.nameparse import parse_name
-from ..plans.staging import dense
+from ..plans.staging import cut, dense
 
 
 def triage(rows: DataFrame) -> DataFrame:
@@ -71,14 +71,17 @@ class Loaded:
 
 
 def load(rows: DataFrame, seq: int, existing: DataFrame | None = None) -> Loaded:
-    """Names to add, usages with pointers, problem lists and a one-row report. Usage ids follow the file's order."""
+    """Names to add, usages with pointers, problem lists and a one-row report. Usage ids follow the file's order.
+
+    Parsed names, new names and linked usages are checkpointed, because several results read each of them.
+    """
     checked = triage(dense(rows, "file_ord")).withColumns({"verbatim": text.full_name("scientific_name", "authorship"), "status": text.status("status_raw")})
     usable = checked.where("problem is null")
     link_names = [usable.select(text.strip(f"{p}_scientific_name").alias("verbatim")) for p in ("accepted", "parent")]
     verbatims = usable.select("verbatim").union(link_names[0]).union(link_names[1]).where("verbatim is not null and verbatim <> ''")
-    parsed = parsed_names(verbatims)
+    parsed = cut(parsed_names(verbatims))
     first_seen = usable.groupBy("verbatim").agg(F.min("file_ord").alias("file_ord"))
-    names = name_rows(parsed, first_seen, existing)
+    names = cut(name_rows(parsed, first_seen, existing))
     keys = parsed.select("verbatim", "norm_key", "canonical_key", F.col("rank").alias("parsed_rank"))
     u = usable.join(keys, "verbatim", "left")
     skipped = u.where("norm_key is null").select(F.lit("skipped").alias("pointer"), "file_ord", F.col("verbatim").alias("problem"))
@@ -87,7 +90,7 @@ def load(rows: DataFrame, seq: int, existing: DataFrame | None = None) -> Loaded
         u = u.withColumn("v", text.strip(f"{p}_scientific_name")).join(keys.select(F.col("verbatim").alias("v"), F.col("canonical_key").alias(f"{p}_key")), "v", "left").drop("v")
     empty = lambda c: F.when(F.size(c) > 0, F.col(c))
     u = u.withColumns({"usage_id": F.lit(seq).cast("long") * (1 << 40) + F.col("row_no"), "name_id": F.xxhash64("norm_key"), "rank": F.coalesce(F.nullif(F.col("rank"), F.lit("")), F.col("parsed_rank"))})
-    linked = resolve_links(u)
+    linked = cut(resolve_links(u))
     usages = linked.select("usage_id", "source_taxon_id", "name_id", "status", "accepted_usage_id", "parent_usage_id", "rank", empty("classification").alias("classification"), empty("vernacular").alias("vernacular"), empty("raw").alias("source_data"))
     bad = checked.where("problem is not null").select(F.lit("row").alias("pointer"), "file_ord", "problem")
     problems = bad.unionByName(skipped).unionByName(unresolved(linked))

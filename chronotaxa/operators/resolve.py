@@ -40,6 +40,18 @@ def canonical(names: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
     return names.where((F.col("canonical_key") == key) & (F.lit(key) != "")).orderBy("name_id").limit(limit)
 
 
+def exact_each(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """P7, T1 for many queries: ``asked`` has query_id and norm_key. Returns (query_id, name_id)."""
+    return asked.join(names.select("norm_key", "name_id"), "norm_key").select("query_id", "name_id")
+
+
+def canonical_each(names: DataFrame, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """P8, O4, T2 for many queries: ``asked`` has query_id and canonical_key. Names are cut to the tier's limit for each key before queries meet them."""
+    place = F.row_number().over(Window.partitionBy("canonical_key").orderBy("name_id"))
+    first = names.where("canonical_key <> ''").select("canonical_key", "name_id").withColumn("place", place).where(F.col("place") <= limit)
+    return asked.join(first, "canonical_key").select("query_id", "name_id")
+
+
 def words_of(names: DataFrame) -> DataFrame:
     """(name_id, word, tf, len): full-text tokens of canonical names."""
     split = F.filter(F.split(unaccented("canonical_name"), r"[^\p{L}\p{N}]+"), lambda x: x != "")

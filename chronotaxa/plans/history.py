@@ -11,7 +11,7 @@ from ..functions.text import describe_page, describe_report, iso_date
 from ..operators import resolve as resolving
 from ..operators import stability, timeline
 from . import model
-from .store import Store, StoreError
+from .store import Compared, Store, StoreError
 
 
 def _detail_columns() -> dict:
@@ -43,10 +43,32 @@ def report(changes: DataFrame) -> str:
     return "\n".join([*(f"{r['type']:<18}{r['n']:>8}" for r in rows), f"{'total':<18}{sum(r['n'] for r in rows):>8}"])
 
 
+def compared_text(found: Compared, shown: int = 5) -> str:
+    """A comparison's counts, how it was anchored, and the first of the anchors that several usages share."""
+    out = [f"anchored by {found.anchor_kind}", report(found.changes)]
+    if n := found.ambiguous.count():
+        out.append(f"{n} ambiguous anchor(s): " + ", ".join(r["anchor"] for r in found.ambiguous.take(shown)))
+    if found.changes.where(F.col("type").isin(*model.ADVISORY)).take(1):
+        out.append(f"{', '.join(model.ADVISORY)}: inferred, to be reviewed")
+    return "\n".join(out)
+
+
+def catalogue_rows(checklists: DataFrame, releases: DataFrame) -> DataFrame:
+    """Checklists by code with their releases by date and version, which may be none."""
+    r = releases.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("released_on", "version", "usage_count", "status"))).alias("releases"))
+    return checklists.select("code", "title", "id_stability").join(r, "code", "left").orderBy("code")
+
+
 def catalogue(store: Store) -> DataFrame:
-    """Checklists by code with their releases, which may be none."""
-    r = store.read("release").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("released_on", "version", "usage_count", "status"))).alias("releases"))
-    return store.read("checklist").select("code", "title", "id_stability").join(r, "code", "left").orderBy("code")
+    return catalogue_rows(store.read("checklist"), store.read("release"))
+
+
+def thread(store: Store, track_id: int) -> DataFrame:
+    """The usages that one track joins, in the order of their releases."""
+    members = store.read("usage_track").where(F.col("track_id") == track_id).select("code", "version", "usage_id")
+    usages = store.read("usage").select("code", "version", "usage_id", "name_id", "status").join(members, ["code", "version", "usage_id"], "left_semi")
+    dated = usages.join(store.read("release").select("code", "version", "seq", "released_on"), ["code", "version"])
+    return dated.join(store.read("name").select("name_id", "scientific_name"), "name_id").orderBy("seq")
 
 
 def traces(store: Store, names: DataFrame) -> DataFrame:
@@ -72,6 +94,44 @@ def check_ids(store: Store, code: str, before: str, after: str) -> DataFrame:
     return stability.id_stability(store.usages_of(code, [before, after]))
 
 
+_ADVICE = {
+    "none": "there are no identifiers to anchor on",
+    "persistent": "identifiers survive as well as names, and tell renames, which names cannot",
+    "unstable": "names survive better than identifiers, some of which are renumbered; compare both ways of anchoring first",
+    "strong": "identifiers are renumbered; anchored on them, a comparison would make changes up",
+}
+
+
+def check_ids_text(store: Store, code: str, before: str, after: str) -> str:
+    """T8 for readers: what survives, which stability that speaks for, and whether the checklist says so."""
+    r = check_ids(store, code, before, after).first()
+    share = lambda p: "-" if r[f"{p}_overlap"] is None else f"{r[f'{p}_overlap']:.1f}%"
+    out = [f"{code}: {before} -> {after}"]
+    for label, p, q in (("identifiers", "ids", "id"), ("names", "names", "name")):
+        out.append(f"  {label:<14}{r[f'{p}_before']} -> {r[f'{p}_after']}, {r[f'{p}_shared']} shared, {share(q)}")
+    out.append(f"  advice        {r['verdict']}: {_ADVICE['strong' if r['strong'] else r['verdict']]}")
+    if (now := store._checklist(code)["id_stability"]) != r["verdict"]:
+        out.append(f"  now           {now}; checklist set {code} --id-stability {r['verdict']} changes it")
+    return "\n".join(out)
+
+
+def trace_text(found: dict) -> str:
+    """K9: a trace as it comes from ``trace``, for readers."""
+    if found["tier"] == "none":
+        return f"no name matches {found['query']}"
+    out = [f"{len(found['traces'])} name(s), {found['tier']}" + (", ambiguous" if found["ambiguous"] else "")]
+    for t in found["traces"]:
+        score = found["scores"].get(str(t["name_id"]))
+        out += ["", t["name"] + (f"  [{score}]" if score is not None else ""), f"  {t['rank'] or '-'}, in {len(t['checklists'] or [])} checklist(s)"]
+        for c in t["checklists"] or []:
+            out.append(f"  {c['checklist_code']}  {c['checklist_title']}  (by {c['anchor_kind'] or '-'})")
+            for a in c["appearances"]:
+                out.append(f"    {a['release_version']:<12}{a['released_on'] or '-':<12}{a['status']}" + (f" of {a['accepted_name']}" if a["accepted_name"] else ""))
+                out += [f"      {'~' if x['advisory'] else '*'} {x['type']}" + (f" [{x['confidence']}]" if x["confidence"] else "") for x in a["changes"]]
+        out += [f"  also: {k['scientific_name']} ({k['reason']})" for k in t["related"] or []]
+    return "\n".join(out)
+
+
 def releases_text(store: Store) -> str:
     out = []
     for row in catalogue(store).collect():
@@ -80,4 +140,4 @@ def releases_text(store: Store) -> str:
     return "\n".join(out)
 
 
-__all__ = ["catalogue", "change_list", "check_ids", "counts", "iso_date", "releases_text", "report", "trace", "traces"]
+__all__ = ["catalogue", "catalogue_rows", "change_list", "check_ids", "check_ids_text", "compared_text", "counts", "iso_date", "releases_text", "report", "thread", "trace", "trace_text", "traces"]

@@ -83,3 +83,9 @@ def require_unique(df: DataFrame, *key: str) -> None:
 def dangling(df: DataFrame, column: str, target: DataFrame, target_column: str) -> DataFrame:
     """C4: rows whose pointer leads nowhere."""
     return df.where(F.col(column).isNotNull()).join(target.select(F.col(target_column).alias(column)).distinct(), column, "left_anti")
+
+
+def require_targets(df: DataFrame, column: str, target: DataFrame, target_column: str | None = None) -> None:
+    """C4: raises if a pointer leads nowhere."""
+    if lost := dangling(df, column, target, target_column or column).select(column).take(1):
+        raise IntegrityError(f"{column} {lost[0][0]} leads nowhere")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.nameparse import parse_name
+from ..operators import detect
 from .pair import authorship_sql, canonical_sql, pair_sql, release_pair
 
 QUERIES: dict = {}
@@ -77,10 +78,10 @@ def full_name(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.when(third == 0, F.concat(F.expr("p_name"), F.lit(" "), F.expr("p_brand"))).otherwise(out).alias("full_name"), (F.lower(out) == F.lower(F.concat_ws(" ", "p_name", F.when(third != 1, F.col("p_brand"))))).alias("ok")).where("ok").drop("ok")
 
 
-@register("clean_text", "SELECT doc_id, nullif(regexp_replace(regexp_replace(concat(chr(8195), ' ', CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END, chr(9), chr(160)), '^[\\s\\x{00a0}\\x{2003}]+', ''), '[\\s\\x{00a0}\\x{2003}]+$', ''), '') IS NULL AS is_blank, length(nullif(trim(CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END, ' ' || chr(9) || chr(10) || chr(13)), '')) AS n FROM documents")
+@register("clean_text", "SELECT doc_id, nullif(regexp_replace(regexp_replace(concat(chr(8195), ' ', text, chr(9), chr(160)), '^[\\s\\x{00a0}\\x{2003}]+', ''), '[\\s\\x{00a0}\\x{2003}]+$', ''), '') IS NULL AS is_blank, length(nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '')) AS n FROM documents")
 def clean_text(spark, sf_dir):
     """Unicode blanks around texts go; nothing else left is null."""
-    padded = F.concat(F.lit("  "), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")), F.lit("\t "))
+    padded = F.concat(F.lit("  "), F.coalesce("text", F.lit("")), F.lit("\t "))
     return _read(spark, sf_dir, "documents").select("doc_id", text.blank_to_null(padded).alias("t")).select("doc_id", F.col("t").isNull().alias("is_blank"), F.length("t").cast("long").alias("n"))
 
 
@@ -92,8 +93,10 @@ def term_suffix(spark, sf_dir):
 
 @register("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
-    """F24."""
-    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """a value goes into a change's detail document and is read from it again."""
+    k, other = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    rows = detect.change(_read(spark, sf_dir, "events"), "id_replaced", F.col("event_id").alias("seq"), None, None, name=F.col("event_type"), from_id=k, to_id=other)
+    return rows.select(F.col("seq").alias("event_id"), F.get_json_object(detect.detail_json(), "$.from_id").cast("long").alias("k"))
 
 
 @register("nomenclatural_code", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'zoological' ELSE 'unknown' END AS code FROM part")

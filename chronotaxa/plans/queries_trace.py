@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import version_of
 from ..operators import resolve, timeline
-from . import queries_diff
+from ..streaming.dropfolder import consecutive
+from . import history, queries_diff
 from .pair import CODE, canonical_sql, index_sql, pair_sql, release_pair
 
 QUERIES: dict = {}
@@ -102,18 +103,14 @@ def name_siblings(spark, sf_dir):
 def resolve_exact(spark, sf_dir):
     """P7, T1 for every usage at once: the query is its own name and author."""
     pair = release_pair(spark, sf_dir)
-    return pair.select("usage_id", "norm_key").join(_names(pair).select("norm_key", "name_id"), "norm_key").select("usage_id", "name_id")
+    return resolve.exact_each(_names(pair), pair.select(F.col("usage_id").alias("query_id"), "norm_key")).withColumnRenamed("query_id", "usage_id")
 
 
 @register("resolve_canonical", f"{_NAMES} SELECT p.usage_id, n.name_id FROM pair p JOIN names n ON n.canonical_key = p.canonical_key AND p.canonical_key <> '' QUALIFY row_number() OVER (PARTITION BY p.usage_id ORDER BY n.name_id) <= 25")
 def resolve_canonical(spark, sf_dir):
     """P8, O4, T2 for every usage; at most 25 names answer a query, which is the tier's limit."""
-    from pyspark.sql.window import Window
-
     pair = release_pair(spark, sf_dir)
-    hits = pair.where("canonical_key <> ''").select("usage_id", "canonical_key").join(_names(pair).select("canonical_key", "name_id"), "canonical_key")
-    place = F.row_number().over(Window.partitionBy("usage_id").orderBy("name_id"))
-    return hits.withColumn("place", place).where(F.col("place") <= resolve.LIMIT).select("usage_id", "name_id")
+    return resolve.canonical_each(_names(pair), pair.select(F.col("usage_id").alias("query_id"), "canonical_key")).withColumnRenamed("query_id", "usage_id")
 
 
 _ASKED = "SELECT usage_id AS query_id, concat(substr(canonical_name, 1, length(canonical_name) - 3), right(canonical_name, 2)) AS text FROM pair WHERE release = 1 AND role = 9"
@@ -147,8 +144,11 @@ def resolve_fuzzy(spark, sf_dir):
 def checklist_catalogue(spark, sf_dir):
     """Lists with their releases, which may be none."""
     region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
-    both = region.join(nation, region.r_regionkey == nation.n_regionkey, "left")
-    return both.groupBy(F.col("r_name").alias("code")).agg(F.count("n_nationkey").alias("n_releases"), F.array_join(F.sort_array(F.collect_list("n_name")), "|").alias("releases")).orderBy("code")
+    lists = region.select(F.col("r_name").alias("code"), F.col("r_name").alias("title"), F.lit("unstable").alias("id_stability"))
+    code = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("code"), "n_name", "n_nationkey")
+    releases = code.select("code", F.lit(None).cast("date").alias("released_on"), F.col("n_name").alias("version"), F.col("n_nationkey").cast("long").alias("usage_count"), F.lit("ready").alias("status"))
+    versions = F.coalesce(F.col("releases.version"), F.array().cast("array<string>"))
+    return history.catalogue_rows(lists, releases).select("code", F.size(versions).cast("long").alias("n_releases"), F.array_join(versions, "|").alias("releases"))
 
 
 @register(
@@ -157,11 +157,7 @@ def checklist_catalogue(spark, sf_dir):
 )
 def release_pairs(spark, sf_dir):
     """Consecutive releases of a list, versions being read from file names."""
-    from pyspark.sql.window import Window
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     files = events.select(F.col("event_type").alias("code"), F.concat(F.lit("names_"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv")).alias("file")).distinct()
     version, day = version_of("file")
-    order = Window.partitionBy("code").orderBy("day", "version")
-    out = files.withColumns({"version": version, "day": day})
-    return out.select("code", F.col("version").alias("before"), F.lead("version").over(order).alias("after")).where("after is not null")
+    return consecutive(files.withColumns({"version": version, "released_on": day})).drop("place")

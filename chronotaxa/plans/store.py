@@ -2,16 +2,19 @@
 
 ``usage`` and ``usage_track`` are partitioned by (code, version), ``change`` by (code, from_version, to_version), so that replacing a release or
 a comparison rewrites its partitions alone. Names are shared by all lists and survive a release that is dropped.
-Manifests (checklists, releases) are tiny tables that are rewritten as a whole.
+Manifests (checklists, releases) are tiny tables that are written aside as a whole and then take the place of the old ones; a swap that broke off
+is finished by the next reader. A release or comparison is computed and checked in full before anything stored is touched.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +45,18 @@ def parse_date(value: str | None) -> dt.date | None:
         raise StoreError(f"{value!r} is no date like 2024-01-31") from e
 
 
+@dataclass(frozen=True)
+class Compared:
+    """A stored comparison: its changes, how usages were paired, and the anchors several usages of a release share (A17), first come first."""
+
+    changes: DataFrame
+    anchor_kind: str
+    ambiguous: DataFrame
+
+
 class Store:
     _PARTS = {"usage": ["code", "version"], "usage_track": ["code", "version"], "change": ["code", "from_version", "to_version"]}
+    _MANIFESTS = ("checklist", "release")
     _SCHEMAS = {"checklist": model.CHECKLIST, "release": model.RELEASE, "name": model.NAME, "usage": model.USAGE, "track": model.TRACK, "usage_track": model.USAGE_TRACK, "change": model.CHANGE, "link": model.LINK}
 
     def __init__(self, spark: SparkSession, root: str):
@@ -54,15 +67,32 @@ class Store:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _files(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _exists(self, name: str) -> bool:
+        fs, p = self._files(name)
+        return fs.exists(p)
+
+    def _settle(self, table: str) -> None:
+        """Moves a manifest that was written aside to its place, if that is free; whoever comes first, writer or reader, does it."""
+        if self._exists(table) or not self._exists(f"{table}.next/_SUCCESS"):
+            return
+        (fs, here), (_, new) = self._files(table), self._files(f"{table}.next")
+        try:
+            fs.rename(new, here)
+        except Py4JJavaError:
+            if not fs.exists(here):
+                raise
 
     def read(self, table: str) -> DataFrame:
         """S19; filters on partition columns prune files."""
         schema = self._SCHEMAS[table]
         for part in self._PARTS.get(table, []):
             schema = type(schema)([*schema.fields]).add(part, "string")
+        if table in self._MANIFESTS:
+            self._settle(table)
         if not self._exists(table):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(table))
@@ -73,12 +103,13 @@ class Store:
         if parts:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self._path(table))
         else:
-            cut(df).write.mode("overwrite").parquet(self._path(table))
+            df.write.mode("overwrite").parquet(self._path(f"{table}.next"))
+            self._drop(table)
+            self._settle(table)
 
     def _drop(self, table: str, **key: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._path(table) + "".join(f"/{k}={v}" for k, v in key.items()))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._files(table + "".join(f"/{k}={v}" for k, v in key.items()))
+        fs.delete(p, True)
 
     # -- checklists
 
@@ -113,7 +144,11 @@ class Store:
     # -- releases
 
     def ingest(self, code: str, version: str, rows: DataFrame, *, released_on: dt.date | None = None, uri: str | None = None, sha256: str | None = None, fmt: str = "csv", replace: bool = False) -> Loaded:
-        """K4, K5: refuses a version that is there unless it is to be replaced; a file without a usable row leaves a failed release (Q12)."""
+        """K4, K5: refuses a version that is there unless it is to be replaced; a file without a usable row leaves a failed release (Q12).
+
+        The new rows are computed and checked (C1, C2, C4) before the release they replace is touched; a replacement without a usable row leaves
+        the old release as it is. Usages are swapped first and the manifest last, so that a load that breaks off in between is mended by loading again.
+        """
         self._checklist(code)
         if fmt not in model.SOURCE_FORMATS:
             raise StoreError(f"{fmt} is none of {', '.join(model.SOURCE_FORMATS)}")
@@ -122,30 +157,39 @@ class Store:
         if old is not None and old["status"] != "failed" and not replace:
             same = sha256 is not None and old["source_sha256"] == sha256
             raise StoreError(f"{code} {version} is loaded already, " + ("from this very file" if same else "from another file; replace it or choose another version"))
-        if old is not None:
-            self.drop_release(code, version)
-            releases = self.read("release")
         seq = (releases.agg(F.max("seq")).first()[0] or 0) + 1
-        loaded = load(cut(rows), seq, self.read("name"))
-        names = cut(loaded.names)
-        usages = cut(loaded.usages)
+        known = self.read("name")
+        loaded = load(cut(rows), seq, known)
+        names = loaded.names
+        usages = cut(model.check_vocabulary(loaded.usages, "status", model.TAXONOMIC_STATUS))
         model.require_unique(usages, "source_taxon_id")
+        model.require_targets(usages, "name_id", names.select("name_id").union(known.select("name_id")))
+        for pointer in ("accepted_usage_id", "parent_usage_id"):
+            model.require_targets(usages, pointer, usages, "usage_id")
         count = usages.count()
         entry = {f.name: None for f in model.RELEASE} | {"code": code, "version": version, "seq": seq, "released_on": released_on, "ingested_at": dt.datetime.now(dt.UTC).replace(tzinfo=None), "source_uri": uri, "source_sha256": sha256, "format": fmt, "usage_count": count, "status": "ready" if count else "failed"}
+        if not count and old is not None and old["status"] != "failed":
+            raise StoreError(f"{code} {version}: the file has no usable row, so the release that is there stays")
         if count:
             names.select([f.name for f in model.NAME]).write.mode("append").parquet(self._path("name"))
             self._replace("usage", usages.withColumns({"code": F.lit(code), "version": F.lit(version)}))
-        self._replace("release", releases.unionByName(self.spark.createDataFrame([entry], model.RELEASE)))
+            self._forget(code, version)
+        others = releases.where(~((F.col("code") == code) & (F.col("version") == version)))
+        self._replace("release", others.unionByName(self.spark.createDataFrame([entry], model.RELEASE)))
         if not count:
             raise StoreError(f"{code} {version}: the file has no usable row")
         return loaded
 
-    def drop_release(self, code: str, version: str) -> None:
-        """Usages, memberships and changes go with the release; names stay."""
-        self._drop("usage", code=code, version=version)
+    def _forget(self, code: str, version: str) -> None:
+        """Drops memberships and changes of a release."""
         self._drop("usage_track", code=code, version=version)
         for row in self.read("change").where((F.col("code") == code) & ((F.col("from_version") == version) | (F.col("to_version") == version))).select("from_version", "to_version").distinct().collect():
             self._drop("change", code=code, from_version=row[0], to_version=row[1])
+
+    def drop_release(self, code: str, version: str) -> None:
+        """Usages, memberships and changes go with the release; names stay."""
+        self._drop("usage", code=code, version=version)
+        self._forget(code, version)
         self._replace("release", self.read("release").where(~((F.col("code") == code) & (F.col("version") == version))))
 
     def ordered_releases(self, code: str) -> DataFrame:
@@ -159,17 +203,18 @@ class Store:
         u = self.read("usage").where((F.col("code") == code) & F.col("version").isin(versions)).withColumn("release", number)
         return match.usage_names(u, self.read("name"))
 
-    def diff(self, code: str, before: str, after: str, *, cutoff: float = 88.0, force: bool = False) -> DataFrame:
-        """K6, K7: compares two releases and stores changes, threads and memberships. Counts rows, so a pair without changes may be run again (Q7)."""
+    def diff(self, code: str, before: str, after: str, *, cutoff: float = 88.0, force: bool = False) -> Compared:
+        """K6, K7: compares two releases and stores changes, threads and memberships. Counts rows, so a pair without changes may be run again (Q7).
+
+        Everything is computed before what is stored gives way to it.
+        """
         if before == after:
             raise StoreError("a release is not compared with itself")
         stability = self._checklist(code)["id_stability"]
         self._release(code, before), self._release(code, after)
         here = (F.col("code") == code) & (F.col("from_version") == before) & (F.col("to_version") == after)
-        if self.read("change").where(here).take(1):
-            if not force:
-                raise StoreError(f"{code} {before} and {after} are compared already")
-            self._drop("change", code=code, from_version=before, to_version=after)
+        if not force and self.read("change").where(here).take(1):
+            raise StoreError(f"{code} {before} and {after} are compared already")
         usages = cut(self.usages_of(code, [before, after]))
         kind = match.choose_anchor(usages, stability)
         index = cut(match.winners(usages, kind))
@@ -177,12 +222,16 @@ class Store:
         changes = detect.with_tracks(detect.union(detect.all_changes(pairs, kind, cutoff)), pairs, code, kind)
         rows = changes.withColumn("detail", detect.detail_json()).select([f.name for f in model.CHANGE])
         rows = cut(rows.withColumns({"code": F.lit(code), "from_version": F.lit(before), "to_version": F.lit(after)}))
+        rows = model.check_vocabulary(rows, "type", model.CHANGE_TYPES)
         fresh = cut(match.tracks(index, code, kind, self.read("track")))
         fresh.write.mode("append").parquet(self._path("track"))
         members = match.memberships(index, code, kind).withColumns({"code": F.lit(code), "version": F.when(F.col("release") == 1, F.lit(before)).otherwise(F.lit(after))}).drop("release")
-        self._drop("usage_track", code=code, version=before)
-        self._drop("usage_track", code=code, version=after)
         self._replace("usage_track", members)
+        filled = {r[0] for r in members.select("version").distinct().collect()}
+        for version in {before, after} - filled:
+            self._drop("usage_track", code=code, version=version)
         if rows.take(1):
             self._replace("change", rows)
-        return rows
+        else:
+            self._drop("change", code=code, from_version=before, to_version=after)
+        return Compared(rows, kind, match.ambiguous(index.orderBy("release", "bucket_ord")))

@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.store import Store, parse_date
@@ -17,15 +19,20 @@ def version_and_date(path: str) -> tuple[str, str] | None:
     return (".".join(found.groups()), "-".join(found.groups())) if found else None
 
 
+def consecutive(releases: DataFrame) -> DataFrame:
+    """(code, before, after) for each release that has a successor; ``releases`` has code, version and released_on."""
+    order = Window.partitionBy("code").orderBy(F.asc_nulls_first("released_on"), "version")
+    return releases.select("code", F.col("version").alias("before"), F.lead("version").over(order).alias("after"), F.row_number().over(order).alias("place")).where("after is not null")
+
+
 def load_files(store: Store, code: str, paths: list[str], read: Callable[[str], DataFrame]) -> list[tuple[str, str]]:
     """Loads new releases in the order of their versions and compares each with the one before. Returns the pairs compared."""
     known = {r["version"] for r in store.ordered_releases(code).collect()}
     todo = sorted((v[0], v[1], p) for p in paths if (v := version_and_date(p)) and v[0] not in known)
     for version, date, path in todo:
         store.ingest(code, version, read(path), released_on=parse_date(date), uri=path)
-    order = [r["version"] for r in store.ordered_releases(code).collect()]
     new = {v for v, _, _ in todo}
-    pairs = [(a, b) for a, b in zip(order, order[1:]) if a in new or b in new]
+    pairs = [(r["before"], r["after"]) for r in consecutive(store.ordered_releases(code)).orderBy("place").collect() if r["before"] in new or r["after"] in new]
     for before, after in pairs:
         store.diff(code, before, after, force=True)
     return pairs

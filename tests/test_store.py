@@ -180,3 +180,58 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(run("ingest", "c", "1", str(tmp_path / "a.csv"), "--map", str(tmp_path / "m.yml")))["usages"] == 16
     assert "C" in run("checklist", "list") and json.loads(run("health"))["names"] == 16
     assert json.loads(run("trace", "Testia xi"))["tier"] == "canonical"
+
+
+def test_failed_replacement_keeps_the_release(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_checklist("d", "D", "persistent")
+    lines = {"1": rows(1), "2": rows(2)}
+    for version, body in lines.items():
+        (tmp_path / f"{version}.csv").write_text(HEADER + "\n" + "\n".join(body) + "\n", encoding="utf-8")
+        store.ingest("d", version, read_mapped(spark, str(tmp_path / f"{version}.csv"), MAP))
+    store.diff("d", "1", "2")
+    held = {t: store.read(t).count() for t in ("usage", "usage_track", "change", "release")}
+    twice = tmp_path / "twice.csv"
+    twice.write_text(HEADER + "\n" + "\n".join([rows(1)[0]] * 2) + "\n", encoding="utf-8")
+    with pytest.raises(model.IntegrityError):
+        store.ingest("d", "1", read_mapped(spark, str(twice), MAP), replace=True)
+    with pytest.raises(StoreError, match="stays"):
+        store.ingest("d", "1", spark.createDataFrame([], model.SOURCE_ROW), replace=True)
+    assert held == {t: store.read(t).count() for t in held}
+    store.ingest("d", "1", read_mapped(spark, str(tmp_path / "1.csv"), MAP), replace=True)
+    assert store.read("change").count() == 0 and store.read("release").count() == 2 and store.read("usage").count() == held["usage"]
+
+
+def test_manifest_swap_that_broke_off(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_checklist("a", "A")
+    (tmp_path / "s" / "checklist").rename(tmp_path / "s" / "checklist.next")  # written aside, old one gone, not yet moved
+    assert [r["code"] for r in store.read("checklist").collect()] == ["a"]
+    store.add_checklist("b", "B")
+    assert {r["code"] for r in store.read("checklist").collect()} == {"a", "b"} and not (tmp_path / "s" / "checklist.next").exists()
+
+
+def test_targets(spark):
+    usages = spark.createDataFrame([(1, None), (2, 1)], "usage_id long, accepted_usage_id long")
+    model.require_targets(usages, "accepted_usage_id", usages, "usage_id")
+    with pytest.raises(model.IntegrityError, match="leads nowhere"):
+        model.require_targets(usages.where("usage_id = 2"), "accepted_usage_id", usages.where("usage_id = 2"), "usage_id")
+
+
+def test_texts_for_readers(spark, tmp_path):
+    run = lambda *a: cli.run(cli.parser().parse_args(["--store", str(tmp_path / "s"), *a]), spark)
+    (tmp_path / "m.yml").write_text("fields: {source_taxon_id: taxonID, scientific_name: scientificName, authorship: author, status: status, accepted_taxon_id: acceptedNameUsageID}\n")
+    run("checklist", "add", "c", "C")
+    for r in (1, 2):  # one name is listed under two identifiers
+        extra = [rows(r)[0].replace("T001", "T999")]
+        (tmp_path / f"{r}.csv").write_text(HEADER + "\n" + "\n".join(rows(r) + extra) + "\n", encoding="utf-8")
+        run("ingest", "c", str(r), str(tmp_path / f"{r}.csv"), "--map", str(tmp_path / "m.yml"))
+    report = run("diff", "run", "c", "1", "2")
+    assert report.startswith("anchored by name") and "2 ambiguous anchor(s): testia alpha, testia alpha" in report and "inferred" in report
+    assert "identifiers" in run("checklist", "check-ids", "c", "1", "2", "--text") and "persistent" in run("checklist", "check-ids", "c", "1", "2", "--text")
+    text = run("trace", "Testia delta", "--text")
+    assert text.startswith("1 name(s), canonical") and "synonym of Testia epsilon" in text and "* status_changed" in text
+    assert run("trace", "Quercus glauca", "--text").startswith("no name matches")
+    store = Store(spark, str(tmp_path / "s"))
+    track = store.read("track").where("anchor_key = 'testia delta'").first()["track_id"]
+    assert [(r["version"], r["status"]) for r in history.thread(store, track).collect()] == [("1", "accepted"), ("2", "synonym")]
