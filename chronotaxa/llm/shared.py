@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,11 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _forget_all() -> None:
+    for spark, table in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # noqa: BLE001  the session may be gone already
+            break
     for spark, path in _STAGED:
         try:
             _forget(spark, path)
@@ -66,6 +72,16 @@ class Stage:
         out._stage_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, by: str, n: int, name: str = "t") -> DataFrame:
+        """As ``write``, in ``n`` buckets of ``by``: what is grouped by that column later is not shuffled again."""
+        self.count += 1
+        path, table = f"{self.root}/{self.count}-{name}", f"{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(table)
+        _TABLES.append((self.spark, table))
+        out = self.spark.table(table)
+        out._stage_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _forget(self.spark, t._stage_path)
