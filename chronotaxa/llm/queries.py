@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, pii, quality, sentencepiece_codec, token_counts, url_filter
+from . import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, periodic_runs, pii, quality, sentencepiece_codec, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trips(table(spark, sf_dir, "documents"), model)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = sentencepiece_codec.read_model(spark, token_counts.ranks_path())
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks)
