@@ -150,10 +150,10 @@ def take_runs(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.repeat(at - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers below 2**32 as bytes: all lowest bytes, then all second ones, and so on, which general compression makes small."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as bytes: all lowest bytes, then all second ones, and so on, which general compression makes small."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def unpacked(x: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)

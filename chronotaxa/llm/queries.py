@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, periodic_runs, pii, quality, sentencepiece_codec, token_counts, url_filter
+from . import byte_bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, periodic_runs, pii, quality, sentencepiece_codec, token_alignment, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (sentencepiece_codec.read_model(spark, sentencepiece_codec.tokenizer_path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.digests(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = sentencepiece_codec.read_model(spark, token_counts.ranks_path())
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks)
