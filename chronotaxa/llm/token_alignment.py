@@ -33,7 +33,7 @@ from .shared import Stage, give_back
 from .textkit import CHUNK
 
 #: Bytes of text that share a dictionary of parts and pairs.
-BLOCK = 1 << 24
+BLOCK = 1 << 22
 #: Links of a group that are written out; larger groups are counted by distinct ids.
 LINKS = 1 << 14
 #: Documents of a block, by the parts they hold, that are counted at once.
@@ -275,6 +275,7 @@ def _made(docs: DataFrame, a: bytes, b: bytes, block: int, whole: bool = False)
                 if size >= block:
                     yield from _block(sides, task + k, ids, texts, whole)
                     ids, texts, size, k = [], [], 0, k + 1
+                    give_back()
         if ids:
             yield from _block(sides, task + k, ids, texts, whole)
         give_back()
