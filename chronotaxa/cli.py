@@ -112,8 +112,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
             problems = [r["problem"] for r in loaded.problems.orderBy("file_ord").limit(10).collect()]
             return json.dumps(loaded.report.first().asDict() | {"problems": problems}, ensure_ascii=False)
         case "batch", _:
-            pairs = load_files(store, args.code, [str(p) for p in sorted(Path(args.folder).iterdir())], lambda path: read_packed(spark, path, f"{store.root}/incoming"))
-            return "\n".join(f"{a} -> {b}\n{history.check_ids_text(store, args.code, a, b)}" for a, b in pairs)
+            said: list[str] = []
+            load_files(store, args.code, [str(p) for p in sorted(Path(args.folder).iterdir())], lambda path: read_packed(spark, path, f"{store.root}/incoming"), said.append)
+            return "\n".join(said)
         case "diff", "run":
             return history.compared_text(store.diff(args.code, args.before, args.after, cutoff=args.threshold, force=args.force))
         case "diff", "show":

@@ -38,9 +38,6 @@ STATUS_MAP = {
     "nomennudum": "bare_name",
 }
 
-#: Characters that a full-text query may not contain.
-QUERY_PUNCTUATION = "\"*():^-"
-
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:

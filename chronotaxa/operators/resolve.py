@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import indel
-from ..functions.text import canonical_key, norm_key, query_tokens, round2, unaccented
+from ..functions.text import canonical_key, norm_key, round2
+from .fulltext import Index, build, ranked
 
 LIMIT = 25
-#: Constants of the ranking function.
-K1, B = 1.2, 0.75
 
 
 @dataclass(frozen=True)
@@ -52,43 +51,20 @@ def canonical_each(names: DataFrame, asked: DataFrame, limit: int = LIMIT) -> Da
     return asked.join(first, "canonical_key").select("query_id", "name_id")
 
 
-def words_of(names: DataFrame) -> DataFrame:
-    """(name_id, word, tf, len): full-text tokens of canonical names."""
-    split = F.filter(F.split(unaccented("canonical_name"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    rows = names.select("name_id", split.alias("words"))
-    return rows.select("name_id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("name_id", "len", "word").agg(F.count("*").alias("tf"))
-
-
-def ranked(names: DataFrame, queries: DataFrame, top: int = 4 * LIMIT) -> DataFrame:
-    """(query_id, name_id, rank_score): names by bm25 over prefix terms joined by OR (O5, W6). ``queries`` has query_id and text."""
-    words = words_of(names)
-    total = names.agg(F.count("*").alias("n_all")).crossJoin(words.groupBy("name_id").agg(F.max("len").alias("len")).agg(F.avg("len").alias("avg_len")))
-    lowered = unaccented(F.array_join(query_tokens("text"), " "))
-    terms = queries.select("query_id", F.posexplode(F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("i", "term"))
-    # Distinct words meet distinct terms in prefixes as long as some term; names and queries come in afterwards.
-    lengths = terms.select(F.length("term").alias("n")).distinct()
-    prefixes = words.select("word").distinct().join(F.broadcast(lengths), F.length("word") >= F.col("n")).select("word", F.expr("left(word, n)").alias("term"))
-    found = terms.select("term").distinct().join(prefixes, "term")
-    hits = words.join(found, "word").join(terms, "term")
-    hits = hits.groupBy("query_id", "i", "name_id", "len").agg(F.sum("tf").alias("tf"))
-    n = hits.groupBy("query_id", "i").agg(F.count("*").alias("n_with"))
-    scored = hits.join(n, ["query_id", "i"]).crossJoin(F.broadcast(total))
-    idf = F.greatest(F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    out = scored.groupBy("query_id", "name_id").agg(F.sum(part).alias("rank_score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("rank_score", 9)), "name_id")
-    return out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).drop("place")
-
-
-def fuzzy(names: DataFrame, queries: DataFrame, cutoff: float = 88.0, limit: int = LIMIT) -> DataFrame:
-    """(query_id, name_id, canonical_name, score) of full-text hits alike enough to the query's canonical key."""
-    found = ranked(names, queries, 4 * limit).join(names.select("name_id", "canonical_name", "canonical_key"), "name_id").join(queries.select("query_id", canonical_key("text").alias("wanted")), "query_id")
+def fuzzy(names: DataFrame, queries: DataFrame, cutoff: float = 88.0, limit: int = LIMIT, index: Index | None = None) -> DataFrame:
+    """(query_id, name_id, canonical_name, score) of full-text hits alike enough to the query's canonical key.
+
+    ``index`` is the names' stored index; without one it is built for this search.
+    """
+    known = names.select("name_id", "canonical_name", "canonical_key")
+    asked = queries.select("query_id", canonical_key("text").alias("wanted"))
+    found = ranked(index or build(names), queries, 4 * limit).join(known, "name_id").join(asked, "query_id")
     found = found.withColumn("score", indel("wanted", "canonical_key")).where(F.col("score") >= cutoff)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "canonical_name", "name_id")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("query_id", "name_id", "canonical_name", round2("score").alias("score"))
 
 
-def resolve(names: DataFrame, query: str | None, cutoff: float = 88.0, limit: int = LIMIT) -> Resolution:
+def resolve(names: DataFrame, query: str | None, cutoff: float = 88.0, limit: int = LIMIT, index: Index | None = None) -> Resolution:
     """The first tier that hits. What the name grammar cannot read resolves to nothing."""
     from ..functions.nameparse import parse
 
@@ -106,5 +82,5 @@ def resolve(names: DataFrame, query: str | None, cutoff: float = 88.0, limit: in
     if (rows := canonical(names, one["k"], limit)).take(1):
         return Resolution("canonical", rows.withColumn("score", score))
     asked = spark.createDataFrame([(1, one["k"])], "query_id long, text string")
-    rows = fuzzy(names, asked, cutoff, limit).select("name_id", "score").join(names, "name_id")
+    rows = fuzzy(names, asked, cutoff, limit, index).select("name_id", "score").join(names, "name_id")
     return Resolution("fuzzy", rows) if rows.take(1) else none

@@ -1,86 +1,142 @@
-"""Similar names of the removed and the added, and their one-to-one assignment.
-
-Names reach ``cutoff`` only if they share enough pairs of neighbouring letters, so only names that meet in one of
-the first of their pairs, rare ones before frequent ones by their counts, are scored. Of short names, which share too few pairs for that,
-those meet that become equal by as few deletions as the cutoff leaves. No pair that reaches the cutoff is lost.
+"""Similar names of the removed and the added, and their one-to-one assignment.
+
+Candidates. Two names of lengths a and b reach the cutoff c if they differ by at most D = (1 - c)(a + b) insertions and deletions, which sets
+bounds to both lengths. A deletion takes at most two pairs of neighbouring letters from a name, an insertion parts one; where that leaves every
+possible partner at least one of the name's pairs, names meet in their pairs, else in their letters, of which as many as c asks for must be
+common. Either way only the rarest items of a name count, one of which any similar name must have among its own rarest; two
+names meet at the first item they share, if what follows it can still be enough. All bounds hold at any cutoff, so no pair that reaches it is lost. A hot item is
+one side of a join that adaptive execution splits.
+
+Assignment. Added names in their order take the best removed name that is left. A name whose best is wanted by no earlier one has it at once; what is
+left falls into components, each of which is settled in one pass by one task. Components are found by pointers that double their reach, so
+the number of jobs grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import indel
+from ..functions.similarity import indel, letters, numbered
 from ..plans.staging import cut
 
-_SHORT = 8
-#: Short names meet by deletions up to so many; at a cutoff that allows more, all short names of one length meet.
-_DELETIONS = 3
+_EPS = 1e-9
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """(side, key, token): a name's pairs of neighbouring letters, numbered where they repeat."""
-    pairs = "transform(sequence(1, length(key) - 1), i -> substr(key, i, 2))"
-    numbered = f"if(length(key) < 2, cast(array() as array<string>), transform({pairs}, (g, i) -> concat(g, ':', size(filter(slice({pairs}, 1, i + 1), x -> x = g)))))"
-    return df.select("side", "key", F.explode(F.expr(numbered)).alias("token"))
+def _bounds(cutoff: float) -> dict[str, str]:
+    """SQL over ``n``, a name's length: the shortest partner, and how many pairs of neighbouring letters any partner leaves."""
+    c = cutoff / 100
+    shortest, longest = f"cast(ceil({c / (2 - c)} * n - {_EPS}) as int)", f"cast(floor({(2 - c) / c} * n + {_EPS}) as int)"
+    differ = f"floor({1 - c} * (n + m) + {_EPS})"
+    left = f"array_min(transform(sequence({shortest}, {longest}), m -> n - 1 - floor((3 * {differ} + n - m) / 2)))"
+    return {"shortest": shortest, "left": left}
 
 
-def _rarest(pairs: DataFrame, cutoff: float) -> DataFrame:
-    """The pairs of each name in one of which it must meet any name that is similar enough."""
-    c = cutoff / 100
-    need = f"greatest(1, length(key) - 1 - 2 * floor({2 * (1 - c) / c} * length(key) + 1e-9))"
-    counted = pairs.join(pairs.groupBy("token").agg(F.count("*").alias("n")), "token")
-    place = F.row_number().over(Window.partitionBy("side", "key").orderBy("n", "token"))
-    return counted.withColumn("place", place).where(F.expr(f"place <= length(key) - 1 - {need} + 1")).select("side", "key", "token")
-
-
-def _shortened(df: DataFrame, cutoff: float) -> DataFrame:
-    """Short names without up to as many letters as two of them may differ in."""
-    most = int((1 - cutoff / 100) * 2 * _SHORT + 1e-9)
-    short = df.where(F.length("key") <= _SHORT)
-    if most > _DELETIONS:
-        return short.select("side", "key", F.lit("~").alias("token"))
-    level = "array(key)"
-    levels = [level]
-    for _ in range(most):
-        level = f"array_distinct(flatten(transform({level}, s -> if(s = '', cast(array() as array<string>), transform(sequence(1, length(s)), i -> concat(left(s, i - 1), substr(s, i + 1)))))))"
-        levels.append(level)
-    return short.select("side", "key", F.explode(F.expr(f"array_distinct(concat({', '.join(levels)}))")).alias("token")).withColumn("token", F.concat(F.lit("~"), "token"))
+def _items(names: DataFrame, cutoff: float) -> DataFrame:
+    """(side, key, n, items, need): what a name may meet others by. Pairs of letters carry their kind, so they meet pairs only."""
+    b = _bounds(cutoff)
+    pairs = numbered("transform(sequence(1, n - 1), i -> substr(key, i, 2))")
+    one = names.where("key <> ''").select("side", "key", F.length("key").alias("n")).withColumn("left", F.expr(b["left"]))
+    # A name whose pairs are not sure to be met offers them all, as a partner's may be.
+    by_pair = one.where("n > 1").select("side", "key", "n", F.expr(f"transform({pairs}, x -> concat('2', x))").alias("items"), F.greatest("left", F.lit(1)).cast("int").alias("need"), F.lit(2).alias("kind"))
+    by_letter = one.where("left < 1").select("side", "key", "n", F.transform(letters("key"), lambda x: F.concat(F.lit("1"), x)).alias("items"), F.expr(b["shortest"]).alias("need"), F.lit(1).alias("kind"))
+    return by_pair.unionByName(by_letter)
+
+
+def _rarest(items: DataFrame) -> DataFrame:
+    """(side, key, n, kind, item, place): the items of each name in one of which any similar name must share, rare ones first."""
+    each = items.select("side", "key", "n", "kind", "need", F.size("items").alias("size"), F.explode("items").alias("item"))
+    counted = each.join(each.groupBy("item").agg(F.count("*").alias("held")), "item")
+    place = F.row_number().over(Window.partitionBy("side", "key", "kind").orderBy("held", "item"))
+    return counted.withColumn("place", place).where("place <= size - greatest(need, 1) + 1").select("side", "key", "n", "kind", "size", "item", "place")
 
 
 def scored_candidates(old: DataFrame, fresh: DataFrame, cutoff: float = 88.0) -> DataFrame:
-    """(old_key, new_key, score) of different keys whose similarity reaches the cutoff."""
+    """(old_key, new_key, score) of different keys whose similarity reaches the cutoff, which is above 0."""
+    if not 0 < cutoff <= 100:
+        raise ValueError(f"a cutoff of {cutoff} is not above 0 and at most 100")
     c = cutoff / 100
     names = old.select(F.lit("old").alias("side"), F.col("old_key").alias("key")).union(fresh.select(F.lit("new"), "new_key"))
-    names = cut(names.distinct())
-    tokens = cut(_rarest(_pairs(names), cutoff).union(_shortened(names, cutoff)))
-    a, b = (tokens.where(F.col("side") == side).select("token", F.col("key").alias(f"{side}_key")) for side in ("old", "new"))
-    both = F.length("old_key") + F.length("new_key")
-    sized = 2 * F.least(F.length("old_key"), F.length("new_key")) >= F.lit(c - 1e-9) * both
-    near = a.join(b, "token").where((F.col("old_key") != F.col("new_key")) & sized).select("old_key", "new_key").distinct()
+    rare = cut(_rarest(_items(names.distinct(), cutoff)))
+    mine = lambda side: rare.where(F.col("side") == side).select("item", "kind", F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("size").alias(f"{side}_size"), F.col("place").alias(f"{side}_place"))
+    differ = F.floor(F.lit(1 - c) * (F.col("old_n") + F.col("new_n")) + _EPS)
+    ends = lambda a, b: F.col(f"{a}_n") - 1 - F.floor((3 * differ + F.col(f"{a}_n") - F.col(f"{b}_n")) / 2)
+    both = F.when(F.col("kind") == 2, F.greatest(ends("old", "new"), ends("new", "old"))).otherwise(F.ceil(F.lit(c / 2) * (F.col("old_n") + F.col("new_n")) - _EPS))
+    follow = 1 + F.least(F.col("old_size") - F.col("old_place"), F.col("new_size") - F.col("new_place"))
+    sized = F.abs(F.col("old_n") - F.col("new_n")) <= differ
+    met = mine("old").join(mine("new"), ["item", "kind"]).where((F.col("old_key") != F.col("new_key")) & sized & (follow >= both))
+    near = met.select("old_key", "new_key").distinct()
     return near.withColumn("score", indel("old_key", "new_key")).where(F.col("score") >= cutoff)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of ``edges`` (a, b): root is the smallest node of the component.
+
+    In each round nodes take the smallest root around them, and then the root of that root until it is its own, so chains shrink by
+    half at least.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    roots = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+    while True:
+        jumped = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", "root", "further")
+        offer = both.join(jumped.select(F.col("node").alias("b"), F.col("further").alias("offer")), "b").groupBy("a").agg(F.min("offer").alias("offer"))
+        # What a node is offered, its root is offered too, so whole trees are hooked and not only their rims.
+        seen = jumped.join(offer.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("further", "offer").alias("best"))
+        hooked = seen.groupBy("root").agg(F.min("best").alias("hook"))
+        moved = cut(seen.join(hooked, "root").select("node", F.least("best", "hook").alias("root"), F.col("root").alias("was")))
+        roots = moved.select("node", "root")
+        if moved.where("root <> was").isEmpty():
+            return roots
+
+
+_TAKEN = pa.schema({"new_ord": pa.int64(), "old_ord": pa.int64()})
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over candidates in the order of added names, best first within each; components may follow one another in a task."""
+    taken: set[int] = set()
+    component, done = None, None
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for c, new, old in zip(*(batch.column(k).to_pylist() for k in ("component", "new_ord", "old_ord"))):
+            if c != component:
+                component, done, taken = c, None, set()
+            if new != done and old not in taken:
+                taken.add(old)
+                out.append((new, old))
+                done = new
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], schema=_TAKEN)
+
+
+def _passed(left: DataFrame) -> DataFrame:
+    """(new_ord, old_ord): components of candidates, each settled in one pass. Added names are odd nodes, removed ones even."""
+    node = lambda c, odd: F.col(c) * 2 + odd
+    of = components(left.select(node("new_ord", 1).alias("a"), node("old_ord", 0).alias("b")))
+    placed = left.join(of.select(((F.col("node") - 1) / 2).cast("long").alias("new_ord"), F.col("root").alias("component"), F.col("node").alias("n")).where("n % 2 <> 0").drop("n"), "new_ord")
+    rows = placed.select("component", "new_ord", "old_ord", (-F.col("score")).alias("worse")).repartition("component")
+    return rows.sortWithinPartitions("component", "new_ord", "worse", "old_ord").drop("worse").mapInArrow(_settled, "new_ord long, old_ord long")
+
+
 def assign(scored: DataFrame, old: DataFrame, fresh: DataFrame) -> DataFrame:
     """Each added name, in order, takes the best removed name that is left; ties go to the earliest.
 
-    Done in rounds without a sequential pass: an added name may take its best remaining partner once no earlier
-    added name is left that could take it. A pool that is empty for an added name ends the process there (Q6):
-    that is the case after as many assignments as there are removed names, or if the only one left is of the same key.
+    Added names that share a place, as those of several keys may, are settled like one name with all their candidates. A pool that
+    is empty for an added name ends the process there (Q6): that is the case after as many assignments as there are removed names, or if the only
+    one left is of the same key.
     """
-    left = cut(scored.join(old, "old_key").join(fresh, "new_key").select("old_key", "old_ord", "old", "new_key", "new_ord", "new", "score"))
-    done = None
-    while True:
-        best = left.groupBy("new_ord").agg(F.max_by("old_key", F.struct("score", -F.col("old_ord"))).alias("old_key"))
-        first = left.groupBy("old_key").agg(F.min("new_ord").alias("new_ord"))
-        taken = cut(left.join(best.join(first, ["new_ord", "old_key"]), ["new_ord", "old_key"]).select(left.columns))
-        if taken.isEmpty():
-            break
-        done = taken if done is None else done.unionByName(taken)
-        left = cut(left.join(taken.select("old_key"), "old_key", "left_anti").join(taken.select("new_ord"), "new_ord", "left_anti"))
-    if done is None:
-        return left
+    all_ = cut(scored.join(old, "old_key").join(fresh, "new_key").select("old_key", "old_ord", "old", "new_key", "new_ord", "new", "score"))
+    best = all_.groupBy("new_ord").agg(F.max_by("old_ord", F.struct("score", -F.col("old_ord"))).alias("old_ord"))
+    first = all_.groupBy("old_ord").agg(F.min("new_ord").alias("new_ord"))
+    at_once = cut(best.join(first, ["new_ord", "old_ord"]).select("new_ord", "old_ord"))
+    left = cut(all_.select("new_ord", "old_ord", "score").join(at_once.select("new_ord"), "new_ord", "left_anti").join(at_once.select("old_ord"), "old_ord", "left_anti"))
+    taken = at_once if left.isEmpty() else cut(at_once.unionByName(_passed(left)))
+    done = cut(all_.join(taken, ["new_ord", "old_ord"]).select(all_.columns))
+    if done.isEmpty():
+        return done
     return _until_empty(done, old, fresh)
 
 

@@ -71,18 +71,35 @@ def thread(store: Store, track_id: int) -> DataFrame:
     return dated.join(store.read("name").select("name_id", "scientific_name"), "name_id").orderBy("seq")
 
 
+#: Ids that a read names to the files it reads, which skip what lies outside; more are joined.
+NAMED = 4096
+
+
+def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is among ``ids``, a table of that one column. Few ids are pushed down to the files."""
+    few = [r[0] for r in ids.where(F.col(column).isNotNull()).distinct().limit(NAMED + 1).collect()]
+    return df.where(F.col(column).isin(few)) if len(few) <= NAMED else df.join(ids.distinct(), column, "left_semi")
+
+
 def traces(store: Store, names: DataFrame) -> DataFrame:
-    """T5 for some names; pointers may lead to any other."""
-    ids = names.select("name_id")
-    usages = store.read("usage")
-    threads = store.read("usage_track").join(store.read("track").select("track_id", "anchor_kind"), "track_id").select("usage_id", "anchor_kind")
-    docs = timeline.documents(store.read("name"), usages, store.read("release"), store.read("checklist"), store.read("change"), threads)
-    return docs.join(ids, "name_id", "left_semi")
+    """T5 for some names. Reads their usages, what the pointers of those lead to, and their siblings; other names' rows are skipped in the files."""
+    every = store.read("name")
+    own = _only(every, "name_id", names.select("name_id"))
+    usages = _only(store.read("usage"), "name_id", own.select("name_id"))
+    ids = usages.select("usage_id")
+    targets = usages.select(F.explode(F.array("accepted_usage_id", "parent_usage_id")).alias("usage_id"))
+    pointed = _only(store.read("usage").select("usage_id", "name_id"), "usage_id", targets)
+    shown = timeline.displayed(_only(every, "name_id", pointed.select("name_id")), pointed)
+    kin = timeline.siblings(_only(every, "canonical_key", own.select("canonical_key")), own)
+    threads = _only(store.read("usage_track"), "usage_id", ids)
+    threads = threads.join(_only(store.read("track").select("track_id", "anchor_kind"), "track_id", threads.select("track_id")), "track_id").select("usage_id", "anchor_kind")
+    changes = _only(store.read("change"), "to_usage_id", ids.withColumnRenamed("usage_id", "to_usage_id"))
+    return timeline.documents(own, usages, store.read("release"), store.read("checklist"), changes, threads, shown, kin)
 
 
 def trace(store: Store, query: str, cutoff: float = 88.0) -> dict:
     """What a name resolves to and its recorded history, as a plain document."""
-    found = resolving.resolve(store.read("name"), query, cutoff)
+    found = resolving.resolve(store.read("name"), query, cutoff, index=store.index())
     scores = {r["name_id"]: r["score"] for r in found.names.select("name_id", "score").collect()}
     docs = timeline.trace_json(traces(store, store.spark.createDataFrame([(k,) for k in scores], "name_id long"))).collect() if scores else []
     return {"query": query, "tier": found.tier, "ambiguous": len(scores) > 1, "scores": {str(k): v for k, v in scores.items() if v is not None}, "traces": [json.loads(r["document"]) for r in docs]}

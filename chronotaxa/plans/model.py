@@ -24,6 +24,7 @@ CLASSIFICATION_RANKS = ("kingdom", "phylum", "class", "order", "family", "genus"
 _TYPES = {
     "string": T.StringType(),
     "long": T.LongType(),
+    "ints": T.ArrayType(T.IntegerType()),
     "int": T.IntegerType(),
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
@@ -58,6 +59,10 @@ USAGE_TRACK = _schema("usage_id long, track_id long")
 CHANGE = _schema("seq long, type string, track_id long, anchor_key string, from_usage_id long, to_usage_id long, detail string, confidence double")
 LINK = _schema("link_id long, from_name_id long, to_name_id long, relation string, method string, confidence double, evidence string, reviewed boolean, reviewed_by string, notes string, created_at timestamp")
 
+#: The names' full-text index; its partition column is ``bucket``.
+POSTING = _schema("word string, name_id long, len int, positions ints, sign int")
+FACT = _schema("n long, tokens long")
+
 
 class IntegrityError(ValueError):
     """A table breaks one of its rules."""
@@ -89,3 +94,12 @@ def require_targets(df: DataFrame, column: str, target: DataFrame, target_column
     """C4: raises if a pointer leads nowhere."""
     if lost := dangling(df, column, target, target_column or column).select(column).take(1):
         raise IntegrityError(f"{column} {lost[0][0]} leads nowhere")
+
+
+def require_distinct_ids(new: DataFrame, known: DataFrame) -> None:
+    """Raises if two identities among new and known names have one ``name_id``: it is a hash of the identity, and two would merge silently."""
+    ids = new.select("name_id", "norm_key")
+    both = ids.unionByName(known.select("name_id", "norm_key").join(ids.select("name_id"), "name_id", "left_semi"))
+    clash = both.groupBy("name_id").agg(F.min("norm_key").alias("a"), F.max("norm_key").alias("b")).where("a <> b").take(1)
+    if clash:
+        raise IntegrityError(f"{clash[0]['a']!r} and {clash[0]['b']!r} have the same name_id")

@@ -113,30 +113,46 @@ def resolve_canonical(spark, sf_dir):
     return resolve.canonical_each(_names(pair), pair.select(F.col("usage_id").alias("query_id"), "canonical_key")).withColumnRenamed("query_id", "usage_id")
 
 
-_ASKED = "SELECT usage_id AS query_id, concat(substr(canonical_name, 1, length(canonical_name) - 3), right(canonical_name, 2)) AS text FROM pair WHERE release = 1 AND role = 9"
+# Every usage of release 1 asks for its name without its last letter but two. One in three joins its first words by a full stop, which
+# makes them a phrase; one in three puts a sign alone before them, which asks for nothing.
+_ASKED = """SELECT usage_id AS query_id, CASE role % 3 WHEN 0 THEN regexp_replace(t, ' ', '.') WHEN 1 THEN concat('× ', t) ELSE t END AS text
+  FROM (SELECT usage_id, role, concat(substr(canonical_name, 1, length(canonical_name) - 3), right(canonical_name, 2)) AS t FROM pair WHERE release = 1)"""
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex(lower(strip_accents({text})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+_LETTERS = "list_transform(range(97, 123), lambda c: length({0}) - length(replace({0}, chr(CAST(c AS INTEGER)), '')))"
 
 
 @register(
     "resolve_fuzzy",
     f"""WITH RECURSIVE {pair_sql()}, names AS (SELECT norm_key, min(usage_id) AS name_id, arg_min(canonical_name, usage_id) AS canonical_name, arg_min(canonical_key, usage_id) AS canonical_key FROM pair GROUP BY norm_key),
-words AS (SELECT name_id, w, count(*) AS tf FROM (SELECT name_id, unnest(string_split_regex(lower(strip_accents(canonical_name)), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM names) WHERE w <> '' GROUP BY ALL),
-lens AS (SELECT name_id, sum(tf) AS len FROM words GROUP BY name_id), facts AS (SELECT (SELECT count(*) FROM names) AS n_all, avg(len) AS avg_len FROM lens),
-asked AS ({_ASKED}), terms AS (SELECT query_id, unnest(range(len(t))) AS i, unnest(t) AS term FROM (SELECT query_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM asked)),
-hits AS (SELECT query_id, i, name_id, sum(tf) AS tf FROM terms JOIN words ON starts_with(w, term) GROUP BY ALL),
-df AS (SELECT query_id, i, count(*) AS n_with FROM hits GROUP BY ALL),
-ranked AS (SELECT query_id, name_id, sum(greatest(ln((n_all - n_with + 0.5) / (n_with + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s FROM hits JOIN df USING (query_id, i) JOIN lens USING (name_id), facts GROUP BY query_id, name_id),
-best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, name_id) <= 100),
-cand AS (SELECT query_id, name_id, canonical_name, canonical_key AS b, {canonical_sql('text')} AS a FROM best JOIN names USING (name_id) JOIN asked USING (query_id)),
+docs AS (SELECT name_id, {_words_sql('canonical_name')} AS ws FROM names), facts AS (SELECT count(*) AS n_all, sum(len(ws)) / count(*) AS avg_len FROM docs),
+words AS (SELECT name_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos, len(ws) AS len FROM docs),
+asked AS ({_ASKED}), tokens AS (SELECT query_id, unnest(range(len(t))) AS i, unnest(t) AS token FROM (SELECT query_id, list_filter(string_split_regex(regexp_replace(text, '["*():^\\-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM asked)),
+phrases AS (SELECT query_id, i, {_words_sql('token')} AS terms FROM tokens), wanted AS (SELECT DISTINCT terms FROM phrases WHERE len(terms) > 0),
+each AS (SELECT terms, len(terms) AS k, unnest(range(len(terms))) AS j, unnest(terms) AS term FROM wanted),
+met AS (SELECT terms, k, j, term, w FROM each JOIN (SELECT DISTINCT w FROM words) d ON CASE WHEN j = k - 1 THEN starts_with(w, term) ELSE w = term END),
+starts AS (SELECT terms, name_id, len, pos - j AS start FROM met JOIN words USING (w) GROUP BY terms, k, name_id, len, pos - j HAVING count(*) = k),
+hits AS (SELECT terms, name_id, len, count(*) AS tf FROM starts GROUP BY ALL), df AS (SELECT terms, count(*) AS n_with FROM hits GROUP BY ALL),
+parts AS (SELECT terms, name_id, greatest(ln((n_all - n_with + 0.5) / (n_with + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM hits JOIN df USING (terms), facts),
+best AS (SELECT query_id, name_id FROM (SELECT query_id, name_id, sum(s) AS s FROM phrases JOIN parts USING (terms) GROUP BY query_id, name_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, name_id) <= 100),
+keys AS (SELECT query_id, {canonical_sql('text')} AS a FROM asked), ka AS (SELECT query_id, a, {_LETTERS.format('a')} AS la FROM keys), kb AS (SELECT name_id, canonical_name, canonical_key AS b, {_LETTERS.format('canonical_key')} AS lb FROM names),
+cand AS (SELECT query_id, name_id, canonical_name, a, b FROM best JOIN ka USING (query_id) JOIN kb USING (name_id)
+  WHERE 2 * (list_sum(list_transform(list_zip(la, lb), lambda z: least(z[1], z[2]))) + least(length(a) - list_sum(la), length(b) - list_sum(lb))) >= 0.88 * (length(a) + length(b)) - 1e-9),
 walk AS (SELECT a, b, 0 AS i, list_transform(range(0, length(a) + 1), lambda z: 0::BIGINT) AS p FROM (SELECT DISTINCT a, b FROM cand)
   UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(a) + 1), lambda j: [CASE WHEN a[j] = b[i + 1] THEN p[j] + 1 ELSE p[j + 1] END]), lambda acc, x: list_append(acc, greatest(acc[len(acc)], x[1])), [0::BIGINT]) FROM walk WHERE i < length(b)),
 scored AS (SELECT query_id, name_id, canonical_name, 200.0 * p[len(p)] / (length(a) + length(b)) AS raw FROM cand JOIN walk USING (a, b) WHERE i = length(b))
 SELECT query_id, name_id, canonical_name, CAST(round_even(raw, 2) AS DOUBLE) AS score FROM scored WHERE raw >= 88 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, canonical_name, name_id) <= 25""",
 )
 def resolve_fuzzy(spark, sf_dir):
-    """Fuzzy resolution of misspelt names: asked for those of release 1 with role 9 (one part in 40), which keeps the recursive SQL cheap; candidates are all names."""
+    """Every usage of release 1 asks for a misspelt name, some in phrases; candidates are all names. Letters that cannot reach the cutoff are left out before the walk in SQL as well."""
     pair = release_pair(spark, sf_dir)
     wrong = F.concat(F.expr("substr(canonical_name, 1, length(canonical_name) - 3)"), F.expr("right(canonical_name, 2)"))
-    asked = pair.where("release = 1 and role = 9").select(F.col("usage_id").alias("query_id"), wrong.alias("text"))
+    text = F.when(F.col("role") % 3 == 0, F.regexp_replace("t", r"^([^ ]*) ", "$1.")).when(F.col("role") % 3 == 1, F.concat(F.lit("× "), F.col("t"))).otherwise(F.col("t"))
+    asked = pair.where("release = 1").select(F.col("usage_id").alias("query_id"), "role", wrong.alias("t")).select("query_id", text.alias("text"))
     return resolve.fuzzy(_names(pair), asked)
 
 

@@ -1,26 +1,28 @@
-"""Parquet layout of checklists and their releases.
+"""Parquet layout of checklists and their releases.
 
-``usage`` and ``usage_track`` are partitioned by (code, version), ``change`` by (code, from_version, to_version), so that replacing a release or
-a comparison rewrites its partitions alone. Names are shared by all lists and survive a release that is dropped.
-Manifests (checklists, releases) are tiny tables that are written aside as a whole and then take the place of the old ones; a swap that broke off
-is finished by the next reader. A release or comparison is computed and checked in full before anything stored is touched.
+Every change writes new folders, which one commit of the store's log (``log``) puts in place of the old ones, for all tables at once. ``usage`` and
+``usage_track`` are partitioned by (code, version), ``change`` by (code, from_version, to_version), so that replacing a release or
+a comparison leaves other folders as they are. Names are shared by all lists and survive a release that is dropped. Rows of names and
+usages are sorted by name over files of disjoint ranges, and usages have filters on their ids, so that reading a few names skips the rest.
+The names' full-text index grows by the rows of each load's new names in the same commit.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import uuid
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect, match
+from ..operators.fulltext import Index, facts, net, postings
 from ..operators.ingest import Loaded, load
 from . import model
+from .log import Folder, Log, Snapshot
 from .staging import cut
 
 
@@ -54,62 +56,99 @@ class Compared:
     ambiguous: DataFrame
 
 
+class Transaction:
+    """What one commit will change, from the snapshot that the work began with."""
+
+    def __init__(self, store: Store, base: Snapshot):
+        self.store, self.base, self.tables, self.written = store, base, dict(base.tables), []
+
+    def _write(self, table: str, df: DataFrame) -> list[Folder]:
+        relative, parts = f"{table}/commit={uuid.uuid4().hex}", Store._PARTS.get(table, [])
+        self.written.append(relative)
+        inner = Store._INNER.get(table, [])
+        if table in Store._ORDER:
+            order = [*parts, *inner, Store._ORDER[table]]
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = df.write.partitionBy(*parts, *inner).option("maxRecordsPerFile", self.store.rows_per_file)
+        for column in Store._LOOKED_UP.get(table, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.store.root}/{relative}")
+        return self.store.log.leaves(relative, parts)
+
+    def append(self, table: str, df: DataFrame) -> None:
+        self.tables[table] = (*self.tables.get(table, ()), *self._write(table, df))
+
+    def remove(self, table: str, **key: str) -> None:
+        self.tables[table] = tuple(f for f in self.tables.get(table, ()) if not f.has(**key))
+
+    def replace(self, table: str, df: DataFrame) -> None:
+        """Puts ``df`` in the place of a whole table, or of the keys that it has."""
+        new = self._write(table, df)
+        kept = [f for f in self.tables.get(table, ()) if Store._PARTS.get(table) and f.key not in {n.key for n in new}]
+        self.tables[table] = (*kept, *new)
+
+    def discard(self) -> None:
+        for relative in self.written:
+            self.store.log.delete(relative)
+
+
 class Store:
     _PARTS = {"usage": ["code", "version"], "usage_track": ["code", "version"], "change": ["code", "from_version", "to_version"]}
-    _MANIFESTS = ("checklist", "release")
-    _SCHEMAS = {"checklist": model.CHECKLIST, "release": model.RELEASE, "name": model.NAME, "usage": model.USAGE, "track": model.TRACK, "usage_track": model.USAGE_TRACK, "change": model.CHANGE, "link": model.LINK}
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    #: Partition columns inside a folder, by which a reader's filters prune.
+    _INNER = {"posting": ["bucket"]}
+    _ORDER = {"name": "name_id", "usage": "name_id", "posting": "word", "usage_track": "usage_id", "change": "to_usage_id"}
+    _LOOKED_UP = {"name": ("norm_key", "canonical_key"), "usage": ("usage_id",)}
+    _SCHEMAS = {"checklist": model.CHECKLIST, "release": model.RELEASE, "name": model.NAME, "usage": model.USAGE, "track": model.TRACK, "usage_track": model.USAGE_TRACK, "change": model.CHANGE, "link": model.LINK, "posting": model.POSTING, "fact": model.FACT}
+    #: How often work is done again because another commit came first.
+    RETRIES = 8
+
+    def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 2_000_000):
+        self.spark, self.root, self.rows_per_file = spark, root.rstrip("/"), rows_per_file
+        self.log = Log(spark, self.root)
+        self._pinned: Snapshot | None = None
 
     # -- tables
 
-    def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def _files(self, name: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _exists(self, name: str) -> bool:
-        fs, p = self._files(name)
-        return fs.exists(p)
-
-    def _settle(self, table: str) -> None:
-        """Moves a manifest that was written aside to its place, if that is free; whoever comes first, writer or reader, does it."""
-        if self._exists(table) or not self._exists(f"{table}.next/_SUCCESS"):
-            return
-        (fs, here), (_, new) = self._files(table), self._files(f"{table}.next")
-        try:
-            fs.rename(new, here)
-        except Py4JJavaError:
-            if not fs.exists(here):
-                raise
-
-    def read(self, table: str) -> DataFrame:
-        """S19; filters on partition columns prune files."""
+    def read(self, table: str, snapshot: Snapshot | None = None) -> DataFrame:
+        """A table as of the latest snapshot, or of the one given; filters on partition columns prune files."""
         schema = self._SCHEMAS[table]
-        for part in self._PARTS.get(table, []):
+        for part in (*self._PARTS.get(table, []), *self._INNER.get(table, [])):
             schema = type(schema)([*schema.fields]).add(part, "string")
-        if table in self._MANIFESTS:
-            self._settle(table)
-        if not self._exists(table):
+        folders = (snapshot or self._pinned or self.log.latest()).folders(table)
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(table))
-
-    def _replace(self, table: str, df: DataFrame) -> None:
-        """Rewrites the partitions that ``df`` has rows for, or a whole manifest."""
-        parts = self._PARTS.get(table)
-        if parts:
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self._path(table))
-        else:
-            df.write.mode("overwrite").parquet(self._path(f"{table}.next"))
-            self._drop(table)
-            self._settle(table)
-
-    def _drop(self, table: str, **key: str) -> None:
-        fs, p = self._files(table + "".join(f"/{k}={v}" for k, v in key.items()))
-        fs.delete(p, True)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*(f"{self.root}/{f.path}" for f in folders)).select(schema.fieldNames())
+
+    def transact(self, work):
+        """Runs ``work(transaction)``, which reads one snapshot, and commits what it wrote; does both again if another commit came first."""
+        for _ in range(self.RETRIES):
+            base = self.log.latest()
+            todo, self._pinned = Transaction(self, base), base
+            try:
+                out = work(todo)
+                if todo.tables == base.tables or self.log.commit(base, todo.tables):
+                    return out
+            except BaseException:
+                todo.discard()
+                raise
+            finally:
+                self._pinned = None
+            todo.discard()
+        raise StoreError("other commits came first again and again")
+
+    def index(self) -> Index:
+        """The names' full-text index."""
+        return Index(self.read("posting"), self.read("fact"))
+
+    def merge_index(self) -> None:
+        """Rewrites the index in as few rows and folders as possible."""
+
+        def work(todo: Transaction) -> None:
+            small = net(self.index())
+            todo.replace("posting", small.postings)
+            todo.replace("fact", small.facts)
+
+        self.transact(work)
 
     # -- checklists
 
@@ -117,17 +156,25 @@ class Store:
         """K10."""
         if id_stability not in model.ID_STABILITY:
             raise StoreError(f"{id_stability} is none of {', '.join(model.ID_STABILITY)}")
-        if self.read("checklist").where(F.col("code") == code).take(1):
-            raise StoreError(f"there is a checklist {code} already")
         row = {f.name: None for f in model.CHECKLIST} | fields | {"code": code, "title": title, "id_stability": id_stability, "created_at": dt.datetime.now(dt.UTC).replace(tzinfo=None)}
-        self._replace("checklist", self.read("checklist").unionByName(self.spark.createDataFrame([row], model.CHECKLIST)))
+
+        def work(todo: Transaction) -> None:
+            if self.read("checklist").where(F.col("code") == code).take(1):
+                raise StoreError(f"there is a checklist {code} already")
+            todo.append("checklist", self.spark.createDataFrame([row], model.CHECKLIST).coalesce(1))
+
+        self.transact(work)
 
     def set_checklist(self, code: str, id_stability: str) -> None:
         if id_stability not in model.ID_STABILITY:
             raise StoreError(f"{id_stability} is none of {', '.join(model.ID_STABILITY)}")
-        self._checklist(code)
         new = F.when(F.col("code") == code, F.lit(id_stability)).otherwise(F.col("id_stability"))
-        self._replace("checklist", self.read("checklist").withColumn("id_stability", new))
+
+        def work(todo: Transaction) -> None:
+            self._checklist(code)
+            todo.replace("checklist", self.read("checklist").withColumn("id_stability", new).coalesce(1))
+
+        self.transact(work)
 
     def _checklist(self, code: str):
         row = self.read("checklist").where(F.col("code") == code).first()
@@ -146,51 +193,65 @@ class Store:
     def ingest(self, code: str, version: str, rows: DataFrame, *, released_on: dt.date | None = None, uri: str | None = None, sha256: str | None = None, fmt: str = "csv", replace: bool = False) -> Loaded:
         """K4, K5: refuses a version that is there unless it is to be replaced; a file without a usable row leaves a failed release (Q12).
 
-        The new rows are computed and checked (C1, C2, C4) before the release they replace is touched; a replacement without a usable row leaves
-        the old release as it is. Usages are swapped first and the manifest last, so that a load that breaks off in between is mended by loading again.
+        The new rows are computed and checked (C1, C2, C4) first; names, their index, usages and the release's entry then change in one commit. A
+        replacement without a usable row leaves the old release as it is.
         """
-        self._checklist(code)
         if fmt not in model.SOURCE_FORMATS:
             raise StoreError(f"{fmt} is none of {', '.join(model.SOURCE_FORMATS)}")
-        releases = self.read("release")
-        old = releases.where((F.col("code") == code) & (F.col("version") == version)).first()
-        if old is not None and old["status"] != "failed" and not replace:
-            same = sha256 is not None and old["source_sha256"] == sha256
-            raise StoreError(f"{code} {version} is loaded already, " + ("from this very file" if same else "from another file; replace it or choose another version"))
-        seq = (releases.agg(F.max("seq")).first()[0] or 0) + 1
-        known = self.read("name")
-        loaded = load(cut(rows), seq, known)
-        names = loaded.names
-        usages = cut(model.check_vocabulary(loaded.usages, "status", model.TAXONOMIC_STATUS))
-        model.require_unique(usages, "source_taxon_id")
-        model.require_targets(usages, "name_id", names.select("name_id").union(known.select("name_id")))
-        for pointer in ("accepted_usage_id", "parent_usage_id"):
-            model.require_targets(usages, pointer, usages, "usage_id")
-        count = usages.count()
-        entry = {f.name: None for f in model.RELEASE} | {"code": code, "version": version, "seq": seq, "released_on": released_on, "ingested_at": dt.datetime.now(dt.UTC).replace(tzinfo=None), "source_uri": uri, "source_sha256": sha256, "format": fmt, "usage_count": count, "status": "ready" if count else "failed"}
-        if not count and old is not None and old["status"] != "failed":
-            raise StoreError(f"{code} {version}: the file has no usable row, so the release that is there stays")
-        if count:
-            names.select([f.name for f in model.NAME]).write.mode("append").parquet(self._path("name"))
-            self._replace("usage", usages.withColumns({"code": F.lit(code), "version": F.lit(version)}))
-            self._forget(code, version)
-        others = releases.where(~((F.col("code") == code) & (F.col("version") == version)))
-        self._replace("release", others.unionByName(self.spark.createDataFrame([entry], model.RELEASE)))
+        rows = cut(rows)
+
+        def work(todo: Transaction) -> tuple[Loaded, int]:
+            self._checklist(code)
+            releases = self.read("release")
+            old = releases.where((F.col("code") == code) & (F.col("version") == version)).first()
+            if old is not None and old["status"] != "failed" and not replace:
+                same = sha256 is not None and old["source_sha256"] == sha256
+                raise StoreError(f"{code} {version} is loaded already, " + ("from this very file" if same else "from another file; replace it or choose another version"))
+            seq = (releases.agg(F.max("seq")).first()[0] or 0) + 1
+            known = self.read("name")
+            loaded = load(rows, seq, known)
+            names = loaded.names
+            model.require_distinct_ids(names, known)
+            usages = cut(model.check_vocabulary(loaded.usages, "status", model.TAXONOMIC_STATUS))
+            model.require_unique(usages, "source_taxon_id")
+            model.require_targets(usages, "name_id", names.select("name_id").union(known.select("name_id")))
+            for pointer in ("accepted_usage_id", "parent_usage_id"):
+                model.require_targets(usages, pointer, usages, "usage_id")
+            count = usages.count()
+            entry = {f.name: None for f in model.RELEASE} | {"code": code, "version": version, "seq": seq, "released_on": released_on, "ingested_at": dt.datetime.now(dt.UTC).replace(tzinfo=None), "source_uri": uri, "source_sha256": sha256, "format": fmt, "usage_count": count, "status": "ready" if count else "failed"}
+            if not count and old is not None and old["status"] != "failed":
+                raise StoreError(f"{code} {version}: the file has no usable row, so the release that is there stays")
+            if count:
+                todo.append("name", names.select([f.name for f in model.NAME]))
+                todo.append("posting", postings(names))
+                todo.append("fact", facts(names))
+                todo.replace("usage", usages.withColumns({"code": F.lit(code), "version": F.lit(version)}))
+                self._forget(todo, code, version)
+            others = releases.where(~((F.col("code") == code) & (F.col("version") == version)))
+            todo.replace("release", others.unionByName(self.spark.createDataFrame([entry], model.RELEASE)).coalesce(1))
+            return loaded, count
+
+        loaded, count = self.transact(work)
         if not count:
             raise StoreError(f"{code} {version}: the file has no usable row")
         return loaded
 
-    def _forget(self, code: str, version: str) -> None:
+    @staticmethod
+    def _forget(todo: Transaction, code: str, version: str) -> None:
         """Drops memberships and changes of a release."""
-        self._drop("usage_track", code=code, version=version)
-        for row in self.read("change").where((F.col("code") == code) & ((F.col("from_version") == version) | (F.col("to_version") == version))).select("from_version", "to_version").distinct().collect():
-            self._drop("change", code=code, from_version=row[0], to_version=row[1])
+        todo.remove("usage_track", code=code, version=version)
+        todo.remove("change", code=code, from_version=version)
+        todo.remove("change", code=code, to_version=version)
 
     def drop_release(self, code: str, version: str) -> None:
         """Usages, memberships and changes go with the release; names stay."""
-        self._drop("usage", code=code, version=version)
-        self._forget(code, version)
-        self._replace("release", self.read("release").where(~((F.col("code") == code) & (F.col("version") == version))))
+
+        def work(todo: Transaction) -> None:
+            todo.remove("usage", code=code, version=version)
+            self._forget(todo, code, version)
+            todo.replace("release", self.read("release").where(~((F.col("code") == code) & (F.col("version") == version))).coalesce(1))
+
+        self.transact(work)
 
     def ordered_releases(self, code: str) -> DataFrame:
         """O3, with the version breaking ties."""
@@ -204,34 +265,30 @@ class Store:
         return match.usage_names(u, self.read("name"))
 
     def diff(self, code: str, before: str, after: str, *, cutoff: float = 88.0, force: bool = False) -> Compared:
-        """K6, K7: compares two releases and stores changes, threads and memberships. Counts rows, so a pair without changes may be run again (Q7).
-
-        Everything is computed before what is stored gives way to it.
-        """
+        """K6, K7: compares two releases and stores changes, threads and memberships in one commit. Counts rows, so a pair without changes may be run again (Q7)."""
         if before == after:
             raise StoreError("a release is not compared with itself")
-        stability = self._checklist(code)["id_stability"]
-        self._release(code, before), self._release(code, after)
-        here = (F.col("code") == code) & (F.col("from_version") == before) & (F.col("to_version") == after)
-        if not force and self.read("change").where(here).take(1):
-            raise StoreError(f"{code} {before} and {after} are compared already")
-        usages = cut(self.usages_of(code, [before, after]))
-        kind = match.choose_anchor(usages, stability)
-        index = cut(match.winners(usages, kind))
-        pairs = cut(match.paired(match.with_pointers(index)))
-        changes = detect.with_tracks(detect.union(detect.all_changes(pairs, kind, cutoff)), pairs, code, kind)
-        rows = changes.withColumn("detail", detect.detail_json()).select([f.name for f in model.CHANGE])
-        rows = cut(rows.withColumns({"code": F.lit(code), "from_version": F.lit(before), "to_version": F.lit(after)}))
-        rows = model.check_vocabulary(rows, "type", model.CHANGE_TYPES)
-        fresh = cut(match.tracks(index, code, kind, self.read("track")))
-        fresh.write.mode("append").parquet(self._path("track"))
-        members = match.memberships(index, code, kind).withColumns({"code": F.lit(code), "version": F.when(F.col("release") == 1, F.lit(before)).otherwise(F.lit(after))}).drop("release")
-        self._replace("usage_track", members)
-        filled = {r[0] for r in members.select("version").distinct().collect()}
-        for version in {before, after} - filled:
-            self._drop("usage_track", code=code, version=version)
-        if rows.take(1):
-            self._replace("change", rows)
-        else:
-            self._drop("change", code=code, from_version=before, to_version=after)
-        return Compared(rows, kind, match.ambiguous(index.orderBy("release", "bucket_ord")))
+
+        def work(todo: Transaction) -> Compared:
+            stability = self._checklist(code)["id_stability"]
+            self._release(code, before), self._release(code, after)
+            here = (F.col("code") == code) & (F.col("from_version") == before) & (F.col("to_version") == after)
+            if not force and self.read("change").where(here).take(1):
+                raise StoreError(f"{code} {before} and {after} are compared already")
+            usages = cut(self.usages_of(code, [before, after]))
+            kind = match.choose_anchor(usages, stability)
+            index = cut(match.winners(usages, kind))
+            pairs = cut(match.paired(match.with_pointers(index)))
+            changes = detect.with_tracks(detect.union(detect.all_changes(pairs, kind, cutoff)), pairs, code, kind)
+            rows = changes.withColumn("detail", detect.detail_json()).select([f.name for f in model.CHANGE])
+            rows = cut(rows.withColumns({"code": F.lit(code), "from_version": F.lit(before), "to_version": F.lit(after)}))
+            rows = model.check_vocabulary(rows, "type", model.CHANGE_TYPES)
+            todo.append("track", cut(match.tracks(index, code, kind, self.read("track"))))
+            for version in (before, after):
+                todo.remove("usage_track", code=code, version=version)
+            todo.replace("usage_track", match.memberships(index, code, kind).withColumns({"code": F.lit(code), "version": F.when(F.col("release") == 1, F.lit(before)).otherwise(F.lit(after))}).drop("release"))
+            todo.remove("change", code=code, from_version=before, to_version=after)
+            todo.replace("change", rows)
+            return Compared(rows, kind, match.ambiguous(index.orderBy("release", "bucket_ord")))
+
+        return self.transact(work)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.history import check_ids_text
 from ..plans.store import Store, parse_date
 
 
@@ -25,8 +26,11 @@ def consecutive(releases: DataFrame) -> DataFrame:
     return releases.select("code", F.col("version").alias("before"), F.lead("version").over(order).alias("after"), F.row_number().over(order).alias("place")).where("after is not null")
 
 
-def load_files(store: Store, code: str, paths: list[str], read: Callable[[str], DataFrame]) -> list[tuple[str, str]]:
-    """Loads new releases in the order of their versions and compares each with the one before. Returns the pairs compared."""
+def load_files(store: Store, code: str, paths: list[str], read: Callable[[str], DataFrame], tell: Callable[[str], None] | None = None) -> list[tuple[str, str]]:
+    """Loads new releases in the order of their versions and compares each with the one before. Returns the pairs compared.
+
+    ``tell`` gets a text for each pair before it is compared: how well its identifiers survive (T8), which decides how to anchor.
+    """
     known = {r["version"] for r in store.ordered_releases(code).collect()}
     todo = sorted((v[0], v[1], p) for p in paths if (v := version_and_date(p)) and v[0] not in known)
     for version, date, path in todo:
@@ -34,6 +38,8 @@ def load_files(store: Store, code: str, paths: list[str], read: Callable[[str],
     new = {v for v, _, _ in todo}
     pairs = [(r["before"], r["after"]) for r in consecutive(store.ordered_releases(code)).orderBy("place").collect() if r["before"] in new or r["after"] in new]
     for before, after in pairs:
+        if tell:
+            tell(check_ids_text(store, code, before, after))
         store.diff(code, before, after, force=True)
     return pairs
 

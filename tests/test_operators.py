@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chronotaxa.functions.similarity import indel_ratio
+from chronotaxa.functions.similarity import indel_ratio, indel_ratios
 from chronotaxa.operators import ingest, match, packed, similar
 from chronotaxa.plans import model
 from chronotaxa.plans.pair import release_pair
@@ -50,6 +50,67 @@ def test_assignment_equals_the_sequential_one(spark, seed):
     assert got == greedy({k: i for i, k in enumerate(old)}, new, 70.0)
 
 
+def _names(spark, old, new):
+    return spark.createDataFrame([(k, i, k) for i, k in enumerate(old)], "old_key string, old_ord long, old string"), spark.createDataFrame([(k, i, k) for i, k in enumerate(new)], "new_key string, new_ord long, new string")
+
+
+@pytest.mark.parametrize("cutoff", [30, 50, 60, 65, 70, 75, 80, 88, 95, 100])
+def test_no_candidate_is_lost_at_any_cutoff(spark, cutoff):
+    """All pairs that reach the cutoff, short, long, alike and unlike; among them pairs without a common pair of letters."""
+    rng = random.Random(cutoff)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    base = [word(rng.randint(0, 20), rng.choice(["ab", "abcde", "abcdefghijklmnopqrstuvwxyzé "])) for _ in range(60)]
+    vary = lambda w: "".join(c for c in w if rng.random() > rng.choice([0.05, 0.3])) + word(rng.randint(0, 2), "abz")
+    old = list(dict.fromkeys([*base, "abcdefghijklm", "", "a", "ab", "x" * 70, "y" * 66 + "abc"]))
+    new = list(dict.fromkeys([*(vary(w) for w in base for _ in range(2)), "acegikm", "acegikmoqs", "", "b", "ba", "x" * 60, "y" * 70]))
+    got = {(r.old_key, r.new_key): r.score for r in similar.scored_candidates(*_names(spark, old, new), float(cutoff)).collect()}
+    want = {(a, b): indel_ratio(a, b) for a, b in itertools.product(old, new) if a != b and indel_ratio(a, b) >= cutoff}
+    assert got == pytest.approx(want) and (want or cutoff == 100)
+    if cutoff <= 60:
+        assert ("abcdefghijklm", "acegikm") in got and ("abcdefghijklm", "acegikmoqs") in got
+
+
+def test_indel_of_many_pairs():
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abé日😀 ") for _ in range(rng.randint(0, most)))
+    a, b = [word(64) for _ in range(300)], [word(90) for _ in range(300)]
+    assert indel_ratios(a, b).tolist() == [indel_ratio(x, y) for x, y in zip(a, b)]
+
+
+def test_long_chain_is_settled_in_few_jobs(spark):
+    """Added name k prefers removed name k and could take k + 1; a first one takes name 0 away, so each decision hangs on the one before."""
+    n = 10_000
+    scored = spark.range(n).select(F.col("id").alias("k"))
+    first = spark.createDataFrame([("o0", "n0", 100.0)], "old_key string, new_key string, score double")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    scored = first.union(scored.select(name("o", F.col("k")), name("n", F.col("k") + 1), F.lit(99.0))).union(scored.select(name("o", F.col("k") + 1), name("n", F.col("k") + 1), F.lit(90.0)))
+    old = spark.range(n + 5).select(name("o", F.col("id")).alias("old_key"), F.col("id").alias("old_ord"), name("o", F.col("id")).alias("old"))
+    fresh = spark.range(n + 5).select(name("n", F.col("id")).alias("new_key"), F.col("id").alias("new_ord"), name("n", F.col("id")).alias("new"))
+    tracker = spark.sparkContext
+    tracker.setJobGroup("chain", "chain")
+    got = {(r.new_ord, r.old_ord) for r in similar.assign(scored, old, fresh).collect()}
+    jobs = len(tracker.statusTracker().getJobIdsForGroup("chain"))
+    assert got == {(k, k) for k in range(n + 1)} and jobs < 400
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 7), (7, 7), (500, 500)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    got = {r.node: r.root for r in similar.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(up)}
+
+
 def test_pointers_reach_winners_only(spark):
     pair = release_pair(spark, SF)
     led = match.with_pointers(match.winners(pair, "name"))

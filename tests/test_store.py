@@ -1,15 +1,20 @@
 """The two-release list under both ways of anchoring, end to end: files, load, comparison, trace."""
 
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronotaxa import api, cli
+from chronotaxa.operators import fulltext
 from chronotaxa.plans import history, model
-from chronotaxa.plans.store import Store, StoreError
+from chronotaxa.plans.log import Log
+from chronotaxa.plans.store import Store, StoreError, Transaction
 from chronotaxa.sources.delimited import read_mapped
 from chronotaxa.sources.fieldmap import FieldMap, FieldMapError
-from chronotaxa.streaming.dropfolder import watch
+from chronotaxa.streaming.dropfolder import load_files, watch
 
 HEADER = "taxonID,scientificName,author,rank,status,acceptedNameUsageID,parentNameUsageID,family,genus,vernacularName"
 MAP = FieldMap(
@@ -202,13 +207,134 @@ def test_failed_replacement_keeps_the_release(spark, tmp_path):
     assert store.read("change").count() == 0 and store.read("release").count() == 2 and store.read("usage").count() == held["usage"]
 
 
-def test_manifest_swap_that_broke_off(spark, tmp_path):
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["name", "posting", "fact", "usage", "release", "commit"])
+def test_a_load_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch, step):
+    """A fault at any write, or at the commit itself, leaves readers on the old snapshot; loading again mends it."""
     store = Store(spark, str(tmp_path / "s"))
-    store.add_checklist("a", "A")
-    (tmp_path / "s" / "checklist").rename(tmp_path / "s" / "checklist.next")  # written aside, old one gone, not yet moved
-    assert [r["code"] for r in store.read("checklist").collect()] == ["a"]
-    store.add_checklist("b", "B")
-    assert {r["code"] for r in store.read("checklist").collect()} == {"a", "b"} and not (tmp_path / "s" / "checklist.next").exists()
+    store.add_checklist("d", "D")
+    lines = spark.createDataFrame([(0, "a", "Testia alpha Smith"), (1, "b", "Testia beta Smith")], "file_ord long, source_taxon_id string, scientific_name string")
+    file = lines.select(*(F.col(f.name) if f.name in lines.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in model.SOURCE_ROW))
+    held = store.log.latest()
+    write, commit = Transaction._write, Log.commit
+
+    def failing(self, table, df):
+        out = write(self, table, df)
+        if table == step:
+            raise Broken(table)
+        return out
+
+    def no_commit(*_):
+        raise Broken("commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(Transaction, "_write", failing)
+        if step == "commit":
+            m.setattr(Log, "commit", no_commit)
+        with pytest.raises(Broken):
+            store.ingest("d", "1", file)
+    assert store.log.latest() == held and store.read("name").count() == store.read("usage").count() == store.read("posting").count() == store.read("release").count() == 0
+    assert not list((tmp_path / "s" / "name").glob("commit=*")) and commit is Log.commit
+    store.ingest("d", "1", file)
+    assert store.read("usage").count() == 2 and store.read("posting").where("word = 'testia'").count() == 2
+
+
+def test_concurrent_loads(spark, tmp_path, monkeypatch):
+    """Of two loads that began with one snapshot the second does its work again; both are there, and shared names only once."""
+    root = str(tmp_path / "s")
+    Store(spark, root).add_checklist("d", "D")
+    paths = []
+    for r in (1, 2):
+        paths.append(tmp_path / f"{r}.csv")
+        paths[-1].write_text(HEADER + "\n" + "\n".join(rows(r)) + "\n", encoding="utf-8")
+    tried, commit, begun = [], Log.commit, threading.Barrier(2)
+
+    def together(self, base, tables):
+        tried.append(base.number)
+        if len(tried) <= 2:
+            begun.wait(timeout=300)
+        return commit(self, base, tables)
+
+    monkeypatch.setattr(Log, "commit", together)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda r: Store(spark, root).ingest("d", str(r), read_mapped(spark, str(paths[r - 1]), MAP)), (1, 2)))
+    store = Store(spark, root)
+    assert tried == [1, 1, 2] and store.log.latest().number == 3
+    assert store.read("release").count() == 2 and store.read("usage").count() == 33 and store.read("name").count() == 20
+    assert {r["seq"] for r in store.read("release").collect()} == {1, 2}
+
+
+def test_readers_keep_their_snapshot_and_old_ones_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_checklist("d", "D")
+    path = tmp_path / "a.csv"
+    path.write_text(HEADER + "\n" + "\n".join(rows(1)) + "\n", encoding="utf-8")
+    store.ingest("d", "1", read_mapped(spark, str(path), MAP))
+    before, old = store.log.latest(), store.read("usage")
+    store.drop_release("d", "1")
+    assert old.count() == store.read("usage", before).count() == 16 and store.read("usage").count() == 0
+    gone = store.log.vacuum(keep=1)
+    assert any(g.startswith("usage/") for g in gone) and store.log.numbers() == [before.number + 1] and store.read("name").count() == 16
+
+
+def test_index_follows_loads(spark, tmp_path):
+    """The stored index equals one built anew, after each load and when merged; a search reads its buckets only."""
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_checklist("d", "D")
+    same = lambda index: sorted(map(str, index.postings.select("word", "name_id", "len", "positions").collect()))
+    for r in (1, 2):
+        path = tmp_path / f"{r}.csv"
+        path.write_text(HEADER + "\n" + "\n".join(rows(r)) + "\n", encoding="utf-8")
+        store.ingest("d", str(r), read_mapped(spark, str(path), MAP))
+        fresh = fulltext.build(store.read("name"))
+        assert same(store.index()) == same(fresh)
+        assert store.index().facts.agg(F.sum("n"), F.sum("tokens")).first() == fresh.facts.first()
+    asked = spark.createDataFrame([(1, "gamma")], "query_id long, text string")
+    plan = fulltext.ranked(store.index(), asked, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    want = sorted(map(tuple, fulltext.ranked(store.index(), asked, 10).collect()))
+    folders = len(store.log.latest().folders("posting"))
+    store.merge_index()
+    assert folders == 2 and len(store.log.latest().folders("posting")) == 1 and same(store.index()) == same(fresh)
+    assert sorted(map(tuple, fulltext.ranked(store.index(), asked, 10).collect())) == want
+
+
+def test_a_trace_skips_other_names(spark, tmp_path):
+    """Rows that scans hand on for one name stay as few when a thousand other names are stored beside it."""
+    store = Store(spark, str(tmp_path / "s"), rows_per_file=20)
+    store.add_checklist("d", "D")
+    cols = "file_ord long, source_taxon_id string, scientific_name string, accepted_taxon_id string, status_raw string"
+    given = {c.split()[0] for c in cols.split(", ")}
+    file = lambda rows_: spark.createDataFrame(rows_, cols).select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in model.SOURCE_ROW))
+    store.ingest("d", "1", file([(0, "a", "Testia alpha Smith", "b", "synonym"), (1, "b", "Testia beta Smith", None, "accepted")]))
+
+    def scanned():
+        wanted = store.read("name").where("canonical_name = 'Testia alpha'").select("name_id")
+        docs = history.traces(store, wanted)
+        assert docs.first()["checklists"][0]["appearances"][0]["accepted_name"] == "Testia beta Smith"
+        df = store.read("usage").where(F.col("name_id").isin([r[0] for r in wanted.collect()]))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return sum(leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size()))
+
+    first = scanned()
+    letters = "abcdefghij"
+    store.ingest("d", "2", file([(k, f"x{k}", "Otheria " + "".join(letters[int(c)] for c in f"{k:03}") + "us Smith", None, "accepted") for k in range(1000)]))
+    assert scanned() <= first + 40
+
+
+def test_release_stability_is_told_before_comparing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_checklist("d", "D", "persistent")
+    for r, day in ((1, "20230101"), (2, "20240101")):
+        (tmp_path / f"list_{day}.csv").write_text(HEADER + "\n" + "\n".join(rows(r)) + "\n", encoding="utf-8")
+    said = []
+    pairs = load_files(store, "d", [str(p) for p in sorted(tmp_path.glob("*.csv"))], lambda p: read_mapped(spark, p, MAP), lambda text: said.append((text, store.read("change").count())))
+    assert pairs == [("2023.01.01", "2024.01.01")] and len(said) == 1 and said[0][1] == 0 and "identifiers" in said[0][0] and store.read("change").count() == 19
 
 
 def test_targets(spark):
