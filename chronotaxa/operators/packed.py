@@ -114,10 +114,12 @@ def anchors(usages: DataFrame, primary: DataFrame) -> DataFrame:
     out = usages.join(primary, "name_id", "left").withColumn("ord", F.struct("file_ord", "i"))
     counted = F.col("error").isNull() & F.col("name_id").isNotNull()
     home = counted & F.coalesce("primary_taxon", "taxon").eqNullSafe(F.col("taxon"))
-    out = out.withColumn("bare", home & (F.row_number().over(Window.partitionBy("name_id", home).orderBy("ord")) == 1))
+    # What is not counted is a partition of its own, so that no partition is larger than a name's or a claim's usages.
+    alone = F.concat(F.lit("\0"), F.col("file_ord").cast("string"), F.lit("#"), F.col("i").cast("string"))
+    out = out.withColumn("bare", home & (F.row_number().over(Window.partitionBy(F.when(home, F.col("name_id")).otherwise(alone)).orderBy("ord")) == 1))
     claim = F.concat(F.col("name_id"), F.lit("#"), F.coalesce("taxon", F.lit("x")))
     out = out.withColumn("claim", F.when(counted & ~F.col("bare"), claim))
-    turn = F.row_number().over(Window.partitionBy("claim").orderBy("ord"))
+    turn = F.row_number().over(Window.partitionBy(F.coalesce("claim", alone)).orderBy("ord"))
     suffixed = F.when(turn > 1, F.concat(F.col("claim"), F.lit("#"), turn.cast("string"))).otherwise(F.col("claim"))
     return out.withColumn("anchor", F.when(F.col("error").isNotNull() | F.col("bare"), F.col("name_id")).when(F.col("name_id").isNotNull(), suffixed)).drop("bare", "claim", "ord")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fieldmap import FieldMap
+from .quoted import SPLITTABLE, read_quoted
 
 
 def detect_format(path: str) -> str:
@@ -15,23 +16,33 @@ def detect_format(path: str) -> str:
     return "xlsx" if Path(path).suffix.lower() in (".xlsx", ".xlsm") else "csv"
 
 
-def _spans_lines(spark: SparkSession, path: str, encoding: str, quote: str) -> bool:
-    """Whether a quoted cell may reach over a line's end: only then does a line hold an odd number of quotes."""
-    if not quote:
-        return False
-    if encoding not in ("utf-8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "latin1"):
-        return True
-    lines = spark.read.text(path)
-    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1).isEmpty()
+def _cells(spark: SparkSession, path: str, delimiter: str, encoding: str, header: bool, quote: str, columns: list[str] | None) -> DataFrame:
+    """The quoted reader's records by column. Of columns with one name the last counts; missing and empty cells are null, surplus ones are dropped (Q21)."""
+    rows = read_quoted(spark, path, delimiter, encoding, quote)
+    first = None if columns is not None else rows.where(F.col("file_ord") < 1 << 33).orderBy("file_ord").first()
+    if first is not None:
+        rows = rows.where(F.col("file_ord") != first["file_ord"]) if header else rows
+        columns = first["cells"] if header else [f"_c{k}" for k in range(len(first["cells"]))]
+    places = {name: k for k, name in enumerate(columns or [])}
+    return rows.select(*(F.nullif(F.get("cells", F.lit(k)), F.lit("")).alias(name) for name, k in places.items()), "file_ord")
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", header: bool = True, quote: str = '"', columns: list[str] | None = None, skip: int = 0) -> DataFrame:
     """All columns as text, with ``file_ord``. With ``columns``, the file has no header of its own but ``skip`` leading lines.
 
-    A file whose cells stay on their lines is read in splits; one with line breaks in cells by one task.
+    Text is read in splits, by Spark's reader where there are no quotes and else by one that follows quoted cells over line breaks (``quoted``). Only
+    encodings whose line breaks cannot be told from other bytes, and folders of quoted files, are read by one task a file.
     """
     encoding = encoding.lower().removesuffix("-sig")
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", _spans_lines(spark, path, encoding, quote)).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
+    several = False
+    if quote:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        splittable = encoding in SPLITTABLE and len(delimiter) == len(quote) == 1
+        several = not splittable or not lines.where(F.contains("value", F.lit(quote))).isEmpty()
+        if several and splittable and len(lines.inputFiles()) == 1:
+            df = _cells(spark, path, delimiter, encoding, header, quote, columns)
+            return df.where(F.col("file_ord") >= skip) if skip else df
+    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", several).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
     reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if columns is not None:
         df = reader.option("header", False).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
