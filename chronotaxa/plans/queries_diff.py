@@ -163,11 +163,11 @@ def _one(spark: SparkSession, sf_dir: str, kind: str, t: str) -> DataFrame:
     return detect.attribute_changes(pairs)[t]
 
 
-def _rename_sql(select: str) -> str:
+def _rename_sql(select: str, cutoff: int = 88) -> str:
     """Letters of both keys are walked by a recursive query: one step for each letter of the added name."""
     return f"""WITH RECURSIVE {index_sql('name')}, {extra_sql('name')},
 cand AS (SELECT g.canonical_key AS old_key, g.canonical_name AS old_name, f.canonical_key AS new_key, f.canonical_name AS new_name, g.usage_id AS old_id, f.usage_id AS new_id, f.ord AS new_ord, g.ord AS old_ord FROM gone g, fresh f
-  WHERE g.canonical_key <> f.canonical_key AND 2 * least(length(g.canonical_key), length(f.canonical_key)) >= 0.88 * (length(g.canonical_key) + length(f.canonical_key))),
+  WHERE g.canonical_key <> f.canonical_key AND 2 * least(length(g.canonical_key), length(f.canonical_key)) >= {cutoff / 100} * (length(g.canonical_key) + length(f.canonical_key))),
 walk AS (SELECT old_key, new_key, 0 AS i, list_transform(range(0, length(old_key) + 1), lambda z: 0::BIGINT) AS p FROM cand
   UNION ALL SELECT old_key, new_key, i + 1, list_reduce(list_transform(range(1, length(old_key) + 1), lambda j: [CASE WHEN old_key[j] = new_key[i + 1] THEN p[j] + 1 ELSE p[j + 1] END]), lambda acc, x: list_append(acc, greatest(acc[len(acc)], x[1])), [0::BIGINT])
   FROM walk WHERE i < length(new_key)),
@@ -175,12 +175,17 @@ scored AS (SELECT c.*, 200.0 * w.p[len(w.p)] / (length(c.old_key) + length(c.new
 {select}"""
 
 
-@register("rename_candidate_scores", _rename_sql("SELECT old_key, new_key, CAST(round_even(raw, 2) AS DOUBLE) AS score FROM scored WHERE raw >= 88"))
-def rename_candidate_scores(spark, sf_dir):
+def _scores(spark: SparkSession, sf_dir: str, cutoff: float) -> DataFrame:
     gone, new = detect.unexplained(_pairs(spark, sf_dir, "name"), None)
     old = gone.select(F.col("b_canonical_key").alias("old_key"))
     fresh = new.select(F.col("a_canonical_key").alias("new_key"))
-    return similar.scored_candidates(old, fresh).withColumn("score", round2("score"))
+    return similar.scored_candidates(old, fresh, cutoff).withColumn("score", round2("score"))
+
+
+for _name, _cutoff in (("rename_candidate_scores", 88), ("rename_candidate_scores_60", 60)):
+    register(_name, _rename_sql(f"SELECT old_key, new_key, CAST(round_even(raw, 2) AS DOUBLE) AS score FROM scored WHERE raw >= {_cutoff}", _cutoff))(
+        lambda spark, sf_dir, cutoff=float(_cutoff): _scores(spark, sf_dir, cutoff)
+    )
 
 
 @register(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -18,6 +19,7 @@ from ..sources.fieldmap import FieldMap
 from ..sources.xlsx import read_sheet
 from . import model
 from .pair import pair_sql, release_pair
+from .staging import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -229,13 +231,15 @@ def _folder() -> Path:
     return Path(tempfile.mkdtemp(prefix="chronotaxa-files-"))
 
 
-@register("delimited_roundtrip")
+@register("delimited_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n FROM documents")
 def delimited_roundtrip(spark, sf_dir):
-    """A mark at the start, quoted breaks and doubled quotes survive."""
-    path = _folder() / "table.csv"
-    rows = _table(spark, sf_dir)
-    path.write_text("﻿id,name,note\n" + "".join(",".join(map(_csv_cell, r)) + "\n" for r in rows), encoding="utf-8")
-    return read_delimited(spark, str(path), encoding="utf-8-sig").select("id", "name", "note")
+    """All documents, with their line breaks and quotes, written as quoted text and read back in splits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    writer = docs.select("doc_id", "lang", "source", "text").write.option("quote", '"').option("escape", '"').option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = read_delimited(spark, path, columns=["id", "lang", "source", "text"])
+    return back.select("id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n"))
 
 
 def write_sheet(path: Path, rows: list, sheet: str = "Names") -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import version_of
-from ..operators import resolve, timeline
+from ..operators import fulltext, resolve, timeline
 from ..streaming.dropfolder import consecutive
 from . import history, queries_diff
 from .pair import CODE, canonical_sql, index_sql, pair_sql, release_pair
@@ -156,6 +158,44 @@ def resolve_fuzzy(spark, sf_dir):
     return resolve.fuzzy(_names(pair), asked)
 
 
+@register("sibling_classes", f"{_NAMES} SELECT canonical_key, count(*) AS n_names, min(name_id) AS first_id FROM names WHERE canonical_key <> '' GROUP BY canonical_key HAVING count(*) > 1")
+def sibling_classes(spark, sf_dir):
+    """Homonyms, a row a class."""
+    return timeline.sibling_classes(_names(release_pair(spark, sf_dir)))
+
+
+_INDEX = f"{_NAMES}, docs AS (SELECT name_id, {_words_sql('scientific_name')} AS ws FROM names), words AS (SELECT name_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS len FROM docs)"
+
+
+@register("fulltext_index", f"{_INDEX} SELECT word, name_id, len, string_agg(pos, ',' ORDER BY pos) AS positions FROM words GROUP BY word, name_id, len")
+def fulltext_index(spark, sf_dir):
+    """The postings of all names; half of them are taken in first and the rest added, and some are taken out and put back."""
+    names = _names(release_pair(spark, sf_dir))
+    half, rest, some = names.where("name_id % 2 = 0"), names.where("name_id % 2 = 1"), names.where("name_id % 3 = 0")
+    parts = [(half, 1), (some, -1), (rest, 1), (some, 1)]
+    index = fulltext.Index(reduce(DataFrame.unionByName, (fulltext.postings(n, sign) for n, sign in parts)), reduce(DataFrame.unionByName, (fulltext.facts(n, sign) for n, sign in parts)))
+    rows = fulltext.net(index).postings
+    return rows.select("word", "name_id", F.col("len").cast("long").alias("len"), F.array_join("positions", ",").alias("positions"))
+
+
+@register(
+    "fulltext_phrases",
+    f"""{_INDEX}, asked AS (SELECT name_id AS query_id, CASE name_id % 2 WHEN 0 THEN [ws[1], ws[2][:3]] ELSE [ws[len(ws) - 1][:2]] END AS terms FROM docs WHERE len(ws) > 1), wanted AS (SELECT DISTINCT terms FROM asked),
+each AS (SELECT terms, len(terms) AS k, unnest(range(len(terms))) AS j, unnest(terms) AS term FROM wanted),
+met AS (SELECT terms, k, j, word FROM each JOIN (SELECT DISTINCT word FROM words) d ON CASE WHEN j = k - 1 THEN starts_with(word, term) ELSE word = term END),
+starts AS (SELECT terms, name_id, len, pos - j AS start FROM met JOIN words USING (word) GROUP BY terms, k, name_id, len, pos - j HAVING count(*) = k)
+SELECT array_to_string(terms, ' ') AS phrase, name_id, count(*) AS tf FROM starts GROUP BY terms, name_id""",
+)
+def fulltext_phrases(spark, sf_dir):
+    """Names that hold the first word of some name followed by a word that begins like its second, or just a word's beginning."""
+    names = _names(release_pair(spark, sf_dir))
+    words = F.split("canonical_name", r"[^\p{L}\p{N}]+")
+    phrase = F.when(F.col("name_id") % 2 == 0, F.concat(words[0], F.lit("."), F.left(words[1], F.lit(3)))).otherwise(F.left(F.element_at(words, -2), F.lit(2)))
+    asked = names.where(F.size(words) > 1).select(F.col("name_id").alias("query_id"), phrase.alias("text"))
+    found = fulltext.hits(fulltext.build(names), fulltext.phrases(asked))
+    return found.select("phrase", "name_id", F.col("tf").cast("long").alias("tf"))
+
+
 @register("checklist_catalogue", "SELECT r_name AS code, count(n_nationkey) AS n_releases, coalesce(string_agg(n_name, '|' ORDER BY n_name), '') AS releases FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def checklist_catalogue(spark, sf_dir):
     """Lists with their releases, which may be none."""

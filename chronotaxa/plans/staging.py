@@ -18,6 +18,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="chronotaxa-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of ``spark.checkpoint.dir`` or its stand-in."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -31,7 +31,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
     """All columns as text, with ``file_ord``. With ``columns``, the file has no header of its own but ``skip`` leading lines.
 
     Text is read in splits, by Spark's reader where there are no quotes and else by one that follows quoted cells over line breaks (``quoted``). Only
-    encodings whose line breaks cannot be told from other bytes, and folders of quoted files, are read by one task a file.
+    encodings whose line breaks cannot be told from other bytes, and folders of quoted files with headers, are read by one task a file.
     """
     encoding = encoding.lower().removesuffix("-sig")
     several = False
@@ -39,7 +39,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
         lines = spark.read.option("lineSep", "\n").text(path)
         splittable = encoding in SPLITTABLE and len(delimiter) == len(quote) == 1
         several = not splittable or not lines.where(F.contains("value", F.lit(quote))).isEmpty()
-        if several and splittable and len(lines.inputFiles()) == 1:
+        if several and splittable and (columns is not None or len(lines.inputFiles()) == 1):
             df = _cells(spark, path, delimiter, encoding, header, quote, columns)
             return df.where(F.col("file_ord") >= skip) if skip else df
     reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", several).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
