@@ -3,10 +3,17 @@
 ``STAGES`` lists (name, function) pairs. A function takes (spark, docs, sf_dir) and returns a DataFrame; each
 result is written as Parquet in the shared folder and read back as the next one's ``docs``. All but the
 last return the columns of ``documents``.
+
+Defined results: a null or empty text is in no language and goes in the first stage; stages that get one keep it. Rows are documents, whatever their
+doc_id: rows without one, or that share one, are told apart by keys of their own while a stage decides. Of near copies the row with the
+smallest doc_id stays, before rows that share an id or have none; equal rows are near copies. Texts of any length are read whole.
+Columns beyond those of documents are kept by all stages but the last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,25 +35,42 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
+def by_row(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``decide`` gets (doc_id, text) with an id for each row and says which ids go; the other rows of ``docs`` come back as they were.
+
+    Ids that are there once are the rows' own. Only rows without one, or that share one, get others, above all that are there, in the order of the rows'
+    contents; those rows are written, so that their ids stay the same.
+    """
+    spark, known = docs.sparkSession, F.col("doc_id").isNotNull()
+    shared = docs.where(known).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    shared = Stage(spark, "shared").write(shared)
+    odd = docs.where(~known).unionByName(docs.join(shared, "doc_id", "left_semi").select(docs.columns))
+    if odd.isEmpty():
+        return without(docs, decide(docs.select("doc_id", "text")))
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    packed = odd.select(F.col("doc_id").alias("given"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("order", F.xxhash64("row"))
+    laid = packed.repartitionByRange("order").sortWithinPartitions("given", "order")
+    laid = Stage(spark, "odd").write(laid.select((F.lit(top) + 1 + F.monotonically_increasing_id()).alias("doc_id"), "text", "row"))
+    plain = docs.where(known).join(shared, "doc_id", "left_anti").select(docs.columns)
+    gone = Stage(spark, "gone").write(decide(plain.select("doc_id", "text").unionByName(laid.select("doc_id", "text"))))
+    kept = without(laid, gone).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return without(plain, gone).unionByName(kept)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without a letter, or in no learned language, go."""
     return language_id.keep_known(docs, LEAST_SUPPORT)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of near copies, the document with the smallest id stays; of rows that repeat an id, one."""
-    classes = jaccard_join.jaccard_classes(docs)
-    out = without(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    """Operator 5: of each group of near copies one document stays."""
+    return by_row(docs, lambda rows: jaccard_join.jaccard_classes(rows).where("doc_id <> component_id").select("doc_id"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that leak a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.leaks(docs, bench).select("doc_id").distinct())
+    return by_row(docs, lambda rows: decontaminate.leaks(rows, bench).select("doc_id").distinct())
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
