@@ -9,8 +9,9 @@ for the language's false positive rate f over n lookups, (c - n f) / (1 - f), de
 
 Every n-gram counts, however many there are: filters are built where the n-grams lie, and only the table's bytes are collected.
 The table has 16 slots for each n-gram of the language that has most, as far as ``room`` bytes allow (a slot takes one byte for each eight
-languages); if more n-grams than that are found, false positives grow and the correction takes them out. Languages are the
-``languages`` labels with the most rows; a parameter, as rows of the table have a bit for each.
+languages); with fewer slots false positives grow and the correction takes them out. Rows of the table have a bit for each language, so all labels
+are learned or none: more than ``languages`` of them, or a table that ``room`` leaves less than half a slot for each n-gram of the fullest
+language, are refused with what they would take.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter (also for every row if
 nothing could be learned); ties, and texts none of whose n-grams are known, go to the language with more
@@ -118,10 +119,12 @@ class Model:
         return np.maximum(0.0, (counts - n[:, None] * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
 
 
-def fit(rows: DataFrame, *, share: float = 0.3, slots: int = 1 << 21, room: int = 1 << 24, languages: int = 4096, flush: int = 1 << 19) -> Model:
+def fit(rows: DataFrame, *, share: float = 0.3, slots: int = 1 << 21, room: int = 1 << 26, languages: int = 1 << 16, flush: int = 1 << 19) -> Model:
     """Learns from all rows of (text, lang); null texts and labels teach nothing."""
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()]
+    if len(names) > languages:
+        raise ValueError(f"there are more than {languages} labels; none is left out silently")
     at = {name: i for i, name in enumerate(names)}
     if not names:
         return Model([], np.zeros((1, 1), np.uint8), np.zeros(0))
@@ -158,6 +161,8 @@ def fit(rows: DataFrame, *, share: float = 0.3, slots: int = 1 << 21, room: int
         slots *= 2
     while slots > 1 << 10 and slots * width > room:
         slots //= 2
+    if 2 * slots < fullest:  # nearly every lookup would be a false positive
+        raise ValueError(f"{fullest} n-grams of one of {len(names)} languages need a table of {fullest * width // 2} bytes at least; room is {room}")
     model = Model(names, np.zeros((slots, width), dtype=np.uint8), np.zeros(len(names)))
 
     def placed(batches):

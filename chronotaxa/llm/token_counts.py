@@ -11,7 +11,8 @@ or from ``file_blocks`` (raw files in storage that all executors mount, read by
 
 Defined results: a null or empty text is a document of 0 tokens; two separators in a row enclose a
 document of 0 tokens; tokens after a file's last separator are a document that is not ``ended``; an empty
-file has no document. Repeated rows are documents of their own. Other columns are ignored.
+file has no document. Repeated rows are documents of their own; a null doc_id is kept. A text is encoded whole, by the library, whatever its
+length. Identifiers that the width cannot hold, and an end-of-document identifier that the vocabulary has, are refused. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def pack(docs: DataFrame, ranks: bytes, eod: int = 50256, dtype: str = "<u2", bl
     Rows (file, block, tokens): the stream cut every ``block_tokens`` identifiers, wherever that is. Rows
     (file, doc_id, ordinal): which document is the stream's n-th.
     """
+    known = {int(line.split()[1]) for line in ranks.splitlines()}
+    if eod in known:
+        raise ValueError(f"{eod} is an identifier of the vocabulary, so it cannot end documents")
+    if max(known | {eod}) > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} is too narrow for identifiers up to {max(known | {eod})}")
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from chronotaxa.llm import language_id as L
 
@@ -66,7 +67,11 @@ def test_no_language_crowds_out_another(spark):
 def test_many_labels_and_a_small_table(spark):
     rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{k}" for k in "abcdef"), f"l{i // 2}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r.lang_pred for r in L.identify(df, languages=64).collect()} <= {f"l{i}" for i in range(300)}
+    with pytest.raises(ValueError, match="more than 64 labels"):
+        L.identify(df, languages=64)
+    wide = spark.createDataFrame([(1, " ".join(a + b + c for a in "abcdefghijklm" for b in "nopqrstuvwxyz" for c in "aeiou"), "l")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="room is 1000"):
+        L.fit(wide, room=1000)
     df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     got = L.identify(df, slots=1 << 10, room=1 << 10).collect()
     assert np.mean([r.lang_pred == corpus()[r.doc_id][2] for r in got]) > 0.9
@@ -74,6 +79,17 @@ def test_many_labels_and_a_small_table(spark):
     assert tuple(L.identify(nameless).select("doc_id", "held_out", "lang_pred").first()) == (None, False, "und")
 
 
+def test_thousands_of_labels_are_all_learned(spark):
+    """More than 4096 labels, each with words of its own, are learned and told apart."""
+    word = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(3))
+    rows = [(k, f"{word(k)}q{word(k)}z {word(k)}", f"l{k:04}") for k in range(4200)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 4200
+    some = rows[::97] + rows[-3:]
+    pred, _, _ = L.judge(model, pa.array([r[1] for r in some]))
+    assert pred == [r[2] for r in some]
+
+
 def brute(train, texts, share=0.3):
     """Exact n-gram sets instead of filters."""
     def grams(text):

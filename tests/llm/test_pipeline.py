@@ -76,3 +76,20 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
             docs = step(spark, docs, str(tmp_path))
             assert docs.columns == none.columns and docs.count() == n
         assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == counts[-1]
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """Rows are documents: different texts of one id stay, copies without an id go, leaks without an id go."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    item, a, b, c, d = (text(30) for _ in range(5))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(7, a, "x"), (7, b, "x"), (None, c, "x"), (None, c, "x"), (3, d, "y"), (None, d, "z"), (None, f"{text(10)} {item} {text(10)}", "w"), (9, "", "e"), (9, None, "n"), (2**40, "x y " * 20_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    one = P.one_of_each_group(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text, r.row) for r in one.collect()]
+    assert one.columns == docs.columns
+    want = [r for k, r in enumerate(rows) if k not in (3, 5)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    left = [tuple(r) for r in P.no_benchmark(spark, one, str(tmp_path)).collect()]
+    assert sorted(map(str, left)) == sorted(str(r) for r in want if r[2] != "w")

@@ -33,3 +33,15 @@ def test_documents(spark):
     got = T.count_documents(df, ranks, block_tokens=64).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
     assert T.count_documents(df.limit(0), ranks).count() == 0
+
+
+def test_identifiers_must_fit(spark):
+    import base64
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    ranks = b"\n".join(base64.b64encode(bytes([b])) + b" " + str(b).encode() for b in range(256)) + b"\n" + base64.b64encode(b"ab") + b" 70000"
+    with pytest.raises(ValueError, match="too narrow"):
+        T.pack(docs, ranks)
+    with pytest.raises(ValueError, match="cannot end"):
+        T.pack(docs, ranks, eod=70000, dtype="<u4")
+    assert T.count_documents(docs, ranks, eod=80000, dtype="<u4").first().n_tokens == 1
