@@ -77,13 +77,12 @@ def parser() -> argparse.ArgumentParser:
 
 def read_source(spark: SparkSession, store: Store, path: str, fmt: str, fmap: str | None):
     """(rows, recorded format)."""
-    folder = f"{store.root}/incoming"
     if fmt == "auto":
         fmt = "dwca" if Path(path).suffix.lower() == ".zip" else "csv"
     if fmt == "dwca":
-        return read_archive(spark, path, folder), "dwca"
+        return read_archive(spark, path), "dwca"
     if fmt == "packed":
-        return read_packed(spark, path, folder), "csv"
+        return read_packed(spark, path), "csv"
     if not fmap:
         raise FieldMapError("a text or spreadsheet file needs --map")
     return read_mapped(spark, path, FieldMap.from_yaml(fmap)), detect_format(path)
@@ -113,7 +112,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
             return json.dumps(loaded.report.first().asDict() | {"problems": problems}, ensure_ascii=False)
         case "batch", _:
             said: list[str] = []
-            load_files(store, args.code, [str(p) for p in sorted(Path(args.folder).iterdir())], lambda path: read_packed(spark, path, f"{store.root}/incoming"), said.append)
+            load_files(store, args.code, [str(p) for p in sorted(Path(args.folder).iterdir())], lambda path: read_packed(spark, path), said.append)
             return "\n".join(said)
         case "diff", "run":
             return history.compared_text(store.diff(args.code, args.before, args.after, cutoff=args.threshold, force=args.force))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from functools import reduce
-from pathlib import Path
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ingest, packed
 from ..sources.archive import read_archive, read_packed, term_rows
+from ..sources.container import StoredSink
 from ..sources.delimited import read_delimited
 from ..sources.fieldmap import FieldMap
 from ..sources.xlsx import read_sheet
@@ -216,19 +217,7 @@ def term_projection(spark, sf_dir):
     return out.select("file_ord", "source_taxon_id", "scientific_name", "rank", F.col("classification")["family"].alias("family"), "error")
 
 
-# -- round trips: files are written to and read from a folder that this process and its executors share (local runs)
-
-
-def _table(spark: SparkSession, sf_dir: str) -> list:
-    return [(str(r[0]), r[1], f'"{r[2]}", {r[2]}\nnext') for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_name", "n_regionkey").collect()]
-
-
-def _csv_cell(v: str) -> str:
-    return '"' + v.replace('"', '""') + '"'
-
-
-def _folder() -> Path:
-    return Path(tempfile.mkdtemp(prefix="chronotaxa-files-"))
+# -- round trips: tables are written as files to the shared folder and read back
 
 
 @register("delimited_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n FROM documents")
@@ -242,36 +231,53 @@ def delimited_roundtrip(spark, sf_dir):
     return back.select("id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n"))
 
 
-def write_sheet(path: Path, rows: list, sheet: str = "Names") -> None:
-    """The smallest workbook that holds some text."""
+def write_sheet(file, rows: Iterable, sheet: str = "Names") -> None:
+    """The smallest workbook that holds some text, written row by row."""
     cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{v.replace("&", "&amp;").replace("<", "&lt;")}</t></is></c>'
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w") as zf:
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as zf:
         zf.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         zf.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-        zf.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows) + "</sheetData></worksheet>")
+        with zf.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+            for r in rows:
+                f.write(("<row>" + "".join(map(cell, r)) + "</row>").encode())
+            f.write(b"</sheetData></worksheet>")
 
 
-@register("xlsx_roundtrip")
+@register("xlsx_roundtrip", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, concat('\"', s_nationkey, '\", ', chr(10), '<&>') AS note FROM supplier")
 def xlsx_roundtrip(spark, sf_dir):
-    """S2."""
-    path = _folder() / "table.xlsx"
-    write_sheet(path, [(" id ", "name", "note"), *_table(spark, sf_dir)])
-    return read_sheet(spark, str(path), "Names").select("id", "name", "note")
+    """All suppliers in a workbook, written as a stream and read back from storage."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string"), "s_name", F.concat(F.lit('"'), "s_nationkey", F.lit('", \n<&>')))
+    path = f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}.xlsx"
+    with StoredSink(spark, path) as out:
+        write_sheet(out, chain([(" id ", "name", "note")], rows.toLocalIterator()))
+    return read_sheet(spark, path, "Names").select("id", "name", "note")
+
+
+def _zipped(spark: SparkSession, members: dict[str, Iterable[str]]) -> str:
+    """The path of a new container whose members are written line by line."""
+    path = f"{shared_folder(spark)}/container-{uuid.uuid4().hex}.zip"
+    with StoredSink(spark, path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for name, lines in members.items():
+            with zf.open(name, "w") as f:
+                for line in lines:
+                    f.write(line.encode())
+    return path
 
 
-@register("archive_roundtrip")
+@register(
+    "archive_roundtrip",
+    """SELECT 'archive' AS source, CAST(c_custkey AS VARCHAR) AS source_taxon_id, concat('"', c_name) AS scientific_name, NULL AS status_raw FROM customer
+UNION ALL SELECT 'packed', CASE i WHEN 0 THEN CAST(c_custkey AS VARCHAR) ELSE concat(c_custkey, '#t0') END, concat(c_name, chr(10), '"x"'), CASE i WHEN 0 THEN 'accepted' ELSE 'misapplied' END FROM customer, (SELECT unnest([0, 1]) AS i)""",
+)
 def archive_roundtrip(spark, sf_dir):
-    """An archive with a descriptor, and a packed export in a zip."""
-    folder = _folder()
-    rows = _table(spark, sf_dir)
+    """All customers as an archive with a descriptor, and as a packed export with line breaks in a zip."""
+    rows = lambda: spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").toLocalIterator()
     meta = '<archive xmlns="http://rs.tdwg.org/dwc/text/"><core fieldsTerminatedBy="\\t" fieldsEnclosedBy="" ignoreHeaderLines="1"><files><location>taxon.txt</location></files><id index="0"/><field index="1" term="http://rs.tdwg.org/dwc/terms/scientificName"/></core></archive>'
-    with zipfile.ZipFile(folder / "a.zip", "w") as zf:
-        zf.writestr("list/meta.xml", meta)
-        zf.writestr("list/taxon.txt", "id\tname\n" + "".join(f'{r[0]}\t"{r[1]}\n' for r in rows))
-    with zipfile.ZipFile(folder / "p.zip", "w") as zf:
-        zf.writestr("names.csv", "name_id,simple_name,usage_status,taxon_id\n" + "".join(f'{r[0]},{r[1]},"accepted,misapplied","t{r[0]},t0"\n' for r in rows))
-    a = read_archive(spark, str(folder / "a.zip"), str(folder / "in")).select(F.lit("archive").alias("source"), "source_taxon_id", "scientific_name", "status_raw")
-    p = read_packed(spark, str(folder / "p.zip"), str(folder / "in")).select(F.lit("packed"), "source_taxon_id", "scientific_name", "status_raw")
+    archive = _zipped(spark, {"list/meta.xml": [meta], "list/taxon.txt": chain(["id\tname\n"], (f'{r[0]}\t"{r[1]}\n' for r in rows()))})
+    export = _zipped(spark, {"names.csv": chain(["name_id,simple_name,usage_status,taxon_id\n"], (f'{r[0]},"{r[1]}\n""x""","accepted,misapplied","t{r[0]},t0"\n' for r in rows()))})
+    a = read_archive(spark, archive).select(F.lit("archive").alias("source"), "source_taxon_id", "scientific_name", "status_raw")
+    p = read_packed(spark, export).select(F.lit("packed"), "source_taxon_id", "scientific_name", "status_raw")
     return reduce(DataFrame.union, [a, p])

@@ -6,7 +6,6 @@ import io
 import zipfile
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null
 from ..operators import packed
 from ..plans.model import CLASSIFICATION_RANKS
-from .delimited import read_delimited
+from . import container
+from .delimited import by_column, read_delimited
+from .quoted import read_lines
 
 #: Darwin Core terms and the fields they fill.
 TERM_FIELDS = {
@@ -87,32 +88,27 @@ def _fallback(zf: zipfile.ZipFile) -> Core:
     raise ArchiveError("there is neither a usable descriptor nor a taxon file")
 
 
-def _opened(path: str) -> zipfile.ZipFile:
-    if not zipfile.is_zipfile(path):
+def _opened(spark: SparkSession, path: str) -> zipfile.ZipFile:
+    zf = container.opened(spark, path)
+    if zf is None:
         raise ArchiveError(f"{path} is no zip file")
-    return zipfile.ZipFile(path)
-
-
-def unpack(path: str, folder: str) -> tuple[str, Core]:
-    """Writes the core file to ``folder`` (mounted on all executors) and tells its layout."""
-    with _opened(path) as zf:
-        try:
-            member = _find(zf, "meta.xml")
-            if member is None:
-                raise ArchiveError("no descriptor")
-            core = parse_descriptor(zf.read(member))
-            member = _find(zf, core.location)
-            if member is None:
-                raise ArchiveError(f"no file {core.location}")
-        except ArchiveError:
-            core = _fallback(zf)
-            member = core.location
-        out = Path(folder) / Path(member).name
-        out.parent.mkdir(parents=True, exist_ok=True)
-        with zf.open(member) as source, out.open("wb") as target:
-            while block := source.read(1 << 20):
-                target.write(block)
-    return str(out), core
+    return zf
+
+
+def layout(zf: zipfile.ZipFile) -> tuple[str, Core]:
+    """The core file's member and its layout, by the descriptor or else by the core file's header."""
+    try:
+        member = _find(zf, "meta.xml")
+        if member is None:
+            raise ArchiveError("no descriptor")
+        core = parse_descriptor(zf.read(member))
+        member = _find(zf, core.location)
+        if member is None:
+            raise ArchiveError(f"no file {core.location}")
+    except ArchiveError:
+        core = _fallback(zf)
+        member = core.location
+    return member, core
 
 
 def term_rows(df: DataFrame, terms: dict[int, str], id_index: int | None = None) -> DataFrame:
@@ -140,24 +136,23 @@ def term_rows(df: DataFrame, terms: dict[int, str], id_index: int | None = None)
     )
 
 
-def read_archive(spark: SparkSession, path: str, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """An archive's core as source rows. Unquoted layouts keep quotes as text (Q22)."""
-    file, core = unpack(path, folder)
+    with _opened(spark, path) as zf:
+        member, core = layout(zf)
     width = max([*core.terms, core.id_index or 0]) + 1
-    df = read_delimited(spark, file, core.delimiter, core.encoding, quote=core.quote, columns=[f"c{k}" for k in range(width)], skip=core.skip)
+    lines = container.member_lines(spark, path, member, core.encoding.lower().removesuffix("-sig"))
+    df = by_column(read_lines(lines, core.delimiter, "utf-8", core.quote), columns=[f"c{k}" for k in range(width)]).where(F.col("file_ord") >= core.skip)
     some = reduce(lambda a, b: a | b, (F.col(f"c{k}").isNotNull() for k in range(width)))
     return term_rows(df.where(some), core.terms, core.id_index)
 
 
-def read_packed(spark: SparkSession, path: str, folder: str) -> DataFrame:
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """A packed name export, as text or as the first text file of a zip."""
-    if Path(path).suffix.lower() == ".zip":
-        with _opened(path) as zf:
-            member = next((n for n in zf.namelist() if n.lower().endswith(".csv")), None)
-            if member is None:
-                raise ArchiveError(f"{path} holds no .csv file")
-            out = Path(folder) / Path(member).name
-            out.parent.mkdir(parents=True, exist_ok=True)
-            out.write_bytes(zf.read(member))
-        path = str(out)
-    return packed.source_rows(read_delimited(spark, path))
+    if not path.lower().endswith(".zip"):
+        return packed.source_rows(read_delimited(spark, path))
+    with _opened(spark, path) as zf:
+        member = next((n for n in zf.namelist() if n.lower().endswith(".csv")), None)
+    if member is None:
+        raise ArchiveError(f"{path} holds no .csv file")
+    return packed.source_rows(by_column(read_lines(container.member_lines(spark, path, member), ",", "utf-8", '"')))

@@ -16,9 +16,8 @@ def detect_format(path: str) -> str:
     return "xlsx" if Path(path).suffix.lower() in (".xlsx", ".xlsm") else "csv"
 
 
-def _cells(spark: SparkSession, path: str, delimiter: str, encoding: str, header: bool, quote: str, columns: list[str] | None) -> DataFrame:
+def by_column(rows: DataFrame, header: bool = True, columns: list[str] | None = None) -> DataFrame:
     """The quoted reader's records by column. Of columns with one name the last counts; missing and empty cells are null, surplus ones are dropped (Q21)."""
-    rows = read_quoted(spark, path, delimiter, encoding, quote)
     first = None if columns is not None else rows.where(F.col("file_ord") < 1 << 33).orderBy("file_ord").first()
     if first is not None:
         rows = rows.where(F.col("file_ord") != first["file_ord"]) if header else rows
@@ -40,7 +39,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
         splittable = encoding in SPLITTABLE and len(delimiter) == len(quote) == 1
         several = not splittable or not lines.where(F.contains("value", F.lit(quote))).isEmpty()
         if several and splittable and (columns is not None or len(lines.inputFiles()) == 1):
-            df = _cells(spark, path, delimiter, encoding, header, quote, columns)
+            df = by_column(read_quoted(spark, path, delimiter, encoding, quote), header, columns)
             return df.where(F.col("file_ord") >= skip) if skip else df
     reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", several).option("quote", quote).option("escape", quote or "\\").option("mode", "PERMISSIVE")
     reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -31,7 +31,7 @@ _RECORD, _HEAD, _TAIL, _MIDDLE = range(4)
 
 def ends_inside(line: str, inside: bool, delimiter: str, quote: str) -> bool:
     """Whether a line that begins inside a quoted cell, or not, ends inside one."""
-    if quote not in line:
+    if not quote or quote not in line:
         return inside
     at = 0
     while True:
@@ -59,12 +59,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[tuple[tuple[str, int], str]]:
-    """((file, split), physical line with its end); single carriage returns end lines too."""
+    """((file, split), physical line with its end); single carriage returns end lines too. A row may hold several lines."""
     for batch in batches:
         for file, block, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "raw"))):
-            line = raw.decode(encoding, "replace") + "\n"
-            for part in io.StringIO(line, newline="") if "\r" in line[:-2] else (line,):
-                yield (file, block), part
+            for one in raw.split(b"\n"):
+                line = one.decode(encoding, "replace") + "\n"
+                for part in io.StringIO(line, newline="") if "\r" in line[:-2] else (line,):
+                    yield (file, block), part
 
 
 def ranges(lines: DataFrame, encoding: str, delimiter: str, quote: str) -> DataFrame:
@@ -101,7 +102,8 @@ def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
 def parsed(lines: list[str], delimiter: str, quote: str) -> Iterator[list[str]]:
     """Records of whole lines; blank lines are none."""
     csv.field_size_limit(2**31 - 1)
-    return (r for r in csv.reader(iter(lines), delimiter=delimiter, quotechar=quote) if r)
+    how = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
+    return (r for r in csv.reader(iter(lines), delimiter=delimiter, **how) if r)
 
 
 def _parse(lines: DataFrame, states: dict[tuple[str, int], tuple[int, bool]], encoding: str, delimiter: str, quote: str) -> DataFrame:
@@ -150,11 +152,15 @@ def _splits(lines: Iterator[tuple[tuple[str, int], str]], states: dict) -> Itera
 
 
 def read_quoted(spark: SparkSession, path: str, delimiter: str, encoding: str, quote: str) -> DataFrame:
-    """(file_ord, cells): all records of delimited text, a header among them. Places rise in the order of the file; they leave gaps.
+    """(file_ord, cells): all records of delimited text, a header among them. Places rise in the order of the file; they leave gaps."""
+    return read_lines(_lines(spark, path), delimiter, encoding, quote)
+
+
+def read_lines(lines: DataFrame, delimiter: str, encoding: str, quote: str) -> DataFrame:
+    """As ``read_quoted``, from lines (file, block, raw) as they lie in their splits. Without a ``quote`` quotes are text.
 
     The driver sees one row for each split.
     """
-    lines = _lines(spark, path)
     order = ranges(lines, encoding, delimiter, quote).orderBy("file", "block").collect()
     parts = cut(_parse(lines, {(r["file"], r["block"]): (k, r["inside"]) for k, r in enumerate(order)}, encoding, delimiter, quote))
     whole = parts.where(F.col("kind") == _RECORD).select("number", "at", "cells")

@@ -1,4 +1,4 @@
-"""Spreadsheets, with the standard library alone, as a Python data source named ``sheet``."""
+"""Spreadsheets, with the standard library alone, from any storage that Spark reads."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from .container import StoredFile
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -37,12 +40,16 @@ def _member(zf: zipfile.ZipFile, sheet: str | None) -> str:
     raise ValueError(f"there is no sheet named {sheet}")
 
 
-def sheet_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
-    """Cached values of a sheet, row by row, as text; empty rows are left out."""
-    with zipfile.ZipFile(io.BytesIO(data)) as zf:
+def sheet_rows(file, sheet: str | None = None) -> Iterator[list[str | None]]:
+    """Cached values of a sheet, row by row, as text; empty rows are left out. ``file`` is open for reading and seeking."""
+    with zipfile.ZipFile(file) as zf:
         shared = [_text(si) for si in ElementTree.fromstring(zf.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in zf.namelist() else []
         with zf.open(_member(zf, sheet)) as f:
-            for _, node in ElementTree.iterparse(f):
+            table = None
+            for event, node in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    table = node if node.tag == f"{_MAIN}sheetData" else table
+                    continue
                 if node.tag != f"{_MAIN}row":
                     continue
                 row: list[str | None] = []
@@ -56,40 +63,35 @@ def sheet_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | Non
                         row[at] = shared[int(value.text)] if kind == "s" else ("TRUE" if value.text == "1" else "FALSE") if kind == "b" else value.text
                 if any(v is not None for v in row):
                     yield row
-                node.clear()
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, sheet: str | None, width: int):
-        self.path, self.sheet, self.width = path, sheet, width
-
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            rows = sheet_rows(f.read(), self.sheet)
-        next(rows, None)
-        for k, row in enumerate(rows):
-            row = (row + [None] * self.width)[: self.width]
-            if any(v is not None for v in row):
-                yield (k, *row)
-
-
-class SheetSource(DataSource):
-    """``spark.read.format("sheet").option("sheet", name).load(path)``; the file must be mounted on the executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
-
-    def schema(self) -> StructType:
-        with open(self.options["path"], "rb") as f:
-            header = next(sheet_rows(f.read(), self.options.get("sheet")), [])
-        return StructType([StructField("file_ord", LongType()), *(StructField((h or f"column {k + 1}").strip(), StringType()) for k, h in enumerate(header))])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("sheet"), len(schema) - 1)
+                table.clear()
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    spark.dataSource.register(SheetSource)
-    reader = spark.read.format("sheet")
-    return (reader.option("sheet", sheet) if sheet else reader).load(path)
+    """A sheet by the names in its first row, with ``file_ord``. One task parses a workbook, of which it holds the compressed bytes, shared texts and a row."""
+    with io.BufferedReader(StoredFile(spark, path), 1 << 16) as f:
+        header = next(sheet_rows(f, sheet), [])
+    names = [(h or f"column {k + 1}").strip() for k, h in enumerate(header)]
+    width = len(names)
+    schema = StructType([StructField("file_ord", LongType()), StructField("cells", ArrayType(StringType()))])
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = sheet_rows(pa.BufferReader(content.as_buffer()), sheet)
+                next(rows, None)
+                held: list[tuple[int, list]] = []
+                for k, row in enumerate(rows):
+                    row = (row + [None] * width)[:width]
+                    if any(v is not None for v in row):
+                        held.append((k, row))
+                    if len(held) == 4096:
+                        yield _batch(held)
+                        held = []
+                yield _batch(held)
+
+    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return cells.select("file_ord", *(F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
+def _batch(rows: list[tuple[int, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.list_(pa.string()))], names=["file_ord", "cells"])

@@ -12,7 +12,7 @@ def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 60
     core = {k for k in queries if not k.startswith("op") and k not in OPTIONAL}
-    assert core - set(sql) == {"xlsx_roundtrip", "archive_roundtrip", "parse_names"}
+    assert core - set(sql) == {"parse_names"}
 
 
 def test_flagship(spark):

@@ -210,15 +210,15 @@ def test_archives(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as zf:
             for f, data in files.items():
                 zf.writestr(f, data)
-        rows = read_archive(spark, str(tmp_path / f"{name}.zip"), str(tmp_path / name)).orderBy("file_ord").collect()
+        rows = read_archive(spark, str(tmp_path / f"{name}.zip")).orderBy("file_ord").collect()
         assert [(r.source_taxon_id, r.scientific_name, r.accepted_taxon_id, r.error is not None) for r in rows] == [("T1", ('"' if name in ("plain", "wrapped") else "") + "Aus bus", None, False), ("T2", None, "T1", True)], name
     (tmp_path / "no.zip").write_text("x")
     with pytest.raises(ArchiveError):
-        read_archive(spark, str(tmp_path / "no.zip"), str(tmp_path))
+        read_archive(spark, str(tmp_path / "no.zip"))
     with zipfile.ZipFile(tmp_path / "empty.zip", "w") as zf:
         zf.writestr("other.txt", "")
     with pytest.raises(ArchiveError):
-        read_archive(spark, str(tmp_path / "empty.zip"), str(tmp_path))
+        read_archive(spark, str(tmp_path / "empty.zip"))
     with pytest.raises(ArchiveError):
         parse_descriptor(b"<archive/>")
 
