@@ -5,8 +5,8 @@ cannot bring a passage nearer to one), without words that more than ``common`` o
 item's ``rarest`` words. A distributed randomised SVD gives the latent space: with A
 the passages of the whole corpus and W random signs, tasks accumulate Y'Y and Y'A for Y = AW; from
 Y = QR follows B = Q'A = R'^-1 Y'A, and B's right singular vectors are A's. Windows of ``window`` words, at half that
-step, are projected, and items within cosine ``cosine`` that share a kept word with it are candidates. So is, whatever
-its cosine, every item of whose kept words a window holds ``least``: an inverted index counts them exactly, for all windows.
+step, are projected, and held against every item's vector: items within cosine ``cosine`` are candidates, whether or not they share a word
+with the window. So is, whatever its cosine, every item of whose kept words a window holds ``least``: an inverted index counts them exactly, for all windows.
 A stretch with a whole item has a window that reaches ``least``, so verbatim leaks do not depend on the sketch; one that
 keeps ``paraphrased`` of an item's kept words has one too. If the words around a window hold at least
 ``paraphrased`` of an item's, they are checked word by word: a
@@ -16,7 +16,8 @@ fifth, three words at least).
 
 Statistics and search cover every passage of every text. There is one vocabulary and one latent space for the whole benchmark, which the driver
 holds; what depends on single items is broadcast for at most ``block`` of them at once, and a larger benchmark takes a search pass for each block, with
-the same results. Partial sums are one row for each word that a task met.
+the same results. Partial sums are one row for each word that a task met. Items of more than ``most_words`` different words are refused, so
+that what is broadcast (rank bytes a word while the space is built, 4 * rank in the search) and what the driver gathers (8 * rank) are bounded.
 
 Defined results: null and empty texts or items leak nothing; repeated rows are searched one by one and reported
 once for each (doc_id, item_id), with the best match; other columns are ignored.
@@ -60,6 +61,7 @@ class Settings:
     answered: float = 0.8
     stretch: float = 1.25
     block: int = 16_384
+    most_words: int = 400_000
     seed: int = 0
 
 
@@ -191,7 +193,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, s: Settings) ->
     Projected so, passages are rows of left singular vectors: every latent direction weighs alike, and common words don't drown the rest.
     """
     width = min(s.rank + s.extra, len(idf))
-    held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.random.default_rng(s.seed).choice([-1.0, 1.0], (len(idf), width)).astype(np.float32)))
+    held = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.random.default_rng(s.seed).choice(np.array([-1, 1], np.int8), (len(idf), width))))
 
     def run(batches):
         items, idf, signs = held.value
@@ -272,6 +274,16 @@ def best_stretch(item: np.ndarray, words: np.ndarray, s: Settings) -> tuple[floa
     return best
 
 
+def nearest(windows: np.ndarray, targets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) of all pairs of unit vectors within ``cosine``: a product of blocks of at most 2**22 numbers."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, (1 << 22) // max(1, len(targets)))
+    for k in range(0, len(windows), step):
+        w, i = np.nonzero(windows[k : k + step] @ targets.T >= cosine)
+        found.append((w + k, i))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def leaks_in(words: np.ndarray, first: np.ndarray, items: Block, idf: np.ndarray, space: np.ndarray, targets: np.ndarray, s: Settings) -> list[tuple[int, int, float, float]]:
     """(row, item number, share, cosine) of the items that rows of a piece of a column leak."""
     at, number = items.hits(words)
@@ -290,16 +302,19 @@ def leaks_in(words: np.ndarray, first: np.ndarray, items: Block, idf: np.ndarray
     both[place[before] - 1] += total[before]
     both /= np.maximum(np.sqrt((both**2).sum(axis=1)), 1e-9)[:, None]
     window, item, times = items.shared(start[row] + (at - first[row]) // half, number)
-    window = np.searchsorted(which, window)
+    held = times >= items.least[item]
+    near_window, near_item = nearest(both, targets, s.cosine)
+    key = np.union1d(np.searchsorted(which, window[held]) * len(items.ids) + item[held], near_window * len(items.ids) + near_item)
+    window, item = key // len(items.ids), key % len(items.ids)
+    # The row of a window; one half-window before a row's first belongs to none.
+    row = np.searchsorted(start, which[window], side="right") - 1
+    inside = (row >= 0) & (row < len(first) - 1)
+    window, item, row = window[inside], item[inside], row[inside]
     cosine = np.empty(len(window), np.float32)
     for k in range(0, len(window), 1 << 16):
         cosine[k : k + (1 << 16)] = np.einsum("ij,ij->i", both[window[k : k + (1 << 16)]], targets[item[k : k + (1 << 16)]])
-    candidate = (times >= items.least[item]) | (cosine >= s.cosine)
-    window, item, cosine = window[candidate], item[candidate], cosine[candidate]
     best: dict[tuple[int, int], tuple[float, float]] = {}
     order = np.argsort(-cosine, kind="stable")
-    row = np.searchsorted(start, which[window], side="right") - 1
-    order = order[(row[order] >= 0) & (row[order] < len(first) - 1)]
     row, item, cosine = row[order], item[order], cosine[order]
     offset, size = (which[window[order]] - start[row]) * half, np.array([len(w) for w in items.words])[item]
     lo = first[row] + np.maximum(0, offset - size)
@@ -324,6 +339,8 @@ def leaks(docs: DataFrame, bench: DataFrame, settings: Settings | None = None) -
     items = Items.of(rows.column("item_id").to_pylist(), rows.column("text"))
     if not len(items.vocabulary):
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, cosine double")
+    if len(items.vocabulary) > s.most_words:
+        raise ValueError(f"the benchmark has {len(items.vocabulary)} different words, more than most_words = {s.most_words}: split it")
     n, df = passage_frequencies(docs, items, s.span)
     fewer = items.without_common(df, n, s)
     idf = np.log((n + 1) / (df[np.isin(items.vocabulary, fewer.vocabulary)] + 1)) + 1e-3

@@ -1,5 +1,8 @@
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from chronotaxa.llm import decontaminate as D
 
@@ -157,3 +160,59 @@ def test_recall_of_reworded_passages(spark):
     got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert len(want) > 200 and got <= want
     assert len(got & want) >= 0.95 * len(want), len(got & want) / len(want)
+
+
+def test_nearest_equals_the_whole_product():
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1)[:, None])(rng.normal(size=(n, 5)).astype(np.float32))
+    w, t = unit(900), unit(9000)
+    assert (np.stack(D.nearest(w, t, 0.7)) == np.stack(np.nonzero(w @ t.T >= 0.7))).all()
+    assert len(D.nearest(w, t[:0], 0.7)[0]) == 0 and len(D.nearest(w[:0], t, 0.7)[0]) == 0
+
+
+def without_word_index(monkeypatch):
+    cut = D.Block.cut.__func__
+
+    def none(cls, *args):
+        block = cut(cls, *args)
+        return replace(block, least=np.full(len(block.ids), 1 << 40))
+
+    monkeypatch.setattr(D.Block, "cut", classmethod(none))
+
+
+def test_cosine_alone_finds_nine_in_ten(spark, monkeypatch):
+    docs, bench, want = corpus()
+    without_word_index(monkeypatch)
+    planted = {(i, 100 + k) for i, k in want.items()}
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(got & planted) >= 0.9 * len(planted)
+
+
+def test_synonyms_that_share_no_kept_word_are_found_by_cosine_only(spark):
+    """Each topic has words R and S that stand together in the corpus; an item has R, its leak has S instead, between the same common words."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrst"
+    glue = [f"glue{a}{b}" for a in letters for b in "xyz"]
+    rare = lambda side, k: [f"{side}{letters[k]}{x}" for x in letters[:9]]
+    mixed = lambda words, extra: [x for a, b in zip([words[i : i + 3] for i in range(0, len(words), 3)], extra) for x in (*a, b)]
+    bench, docs = [], []
+    for k in range(20):
+        order = [str(x) for x in rng.permutation(glue)[:27]]
+        bench += [(k, " ".join(mixed(order, rare("r", k)))), (100 + k, " ".join(rare("s", k)))]
+        docs.append((k, " ".join(mixed(order, rare("s", k)))))
+        for i in range(6):
+            both = [str(x) for x in rng.permutation(rare("r", k) + rare("s", k))[:16]]
+            docs.append((1000 + 10 * k + i, " ".join(both)))
+    docs += [(5000 + i, " ".join(map(str, rng.permutation(glue)))) for i in range(400)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench, "item_id long, text string")
+    pairs = lambda s: {(r.doc_id, r.item_id) for r in D.leaks(d, b, s).collect() if r.item_id < 100}
+    want = {(k, k) for k in range(20)}
+    assert want <= plain_leaks(docs[:140], bench)
+    assert not want & pairs(D.Settings(rank=20, rarest=8, cosine=2.0))
+    assert pairs(D.Settings(rank=20, rarest=8)) & want == want
+
+
+def test_a_benchmark_of_too_many_words_is_refused(spark):
+    docs, bench, _ = corpus()
+    with pytest.raises(ValueError, match="most_words"):
+        D.leaks(spark.createDataFrame(docs[:5], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), D.Settings(most_words=100))
