@@ -26,7 +26,8 @@ most ``BROADCAST_ROWS`` rows (counted), else by a shuffled join.
 
 Defined results: a null text counts as empty (and stays null when sanitised); an empty one has no spans.
 Each row is a document of its own, whether its doc_id repeats or is null. Ties at a threshold count as
-reaching it; an entity that every row holds is given away by no word. Other columns of the input are carried along by ``sanitise`` and ignored by ``detect``.
+reaching it; an entity that every row holds is given away by no word. Texts of any length are read whole: arrays of spans are built in
+blocks and texts cut in pieces, so the work on one text grows with its length and its spans, not with their product. Other columns of the input are carried along by ``sanitise`` and ignored by ``detect``.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 
+#: Entries of an array, or characters of a text, that are handled at once: what is rebuilt or searched for each entry is never longer.
+_BLOCK = 256
+_PIECE = 4096
+
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 _LUHN = (
     f"aggregate(sequence(1, length({_DIGITS})), 0, (s, k) -> s + "
@@ -71,15 +76,63 @@ def _sql_text(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"'") + "'"
 
 
+def _in_blocks(n: str, start: str, inner: str) -> str:
+    """SQL: the flattened results of ``inner`` over blocks of at most ``_BLOCK`` of ``n`` entries, so that no long array is rebuilt once an entry.
+
+    ``inner`` sees the block number ``i`` and ``at``, the state that ``start`` (an SQL array, one entry a block) gives the block.
+    """
+    return f"flatten(zip_with(sequence(0, ({n} - 1) div {_BLOCK}), {start}, (i, at) -> {inner}))"
+
+
+def _part(array: str) -> str:
+    return f"slice({array}, i * {_BLOCK} + 1, {_BLOCK})"
+
+
+def _running(n: str, of_block: str, step: str, first: str) -> str:
+    """SQL: the state before each block, ``step`` joining the state ``a`` with a block's ``b``; the last entry is the state after all."""
+    return f"aggregate(transform(sequence(0, ({n} - 1) div {_BLOCK}), i -> {of_block}), array({first}), (s, b) -> concat(s, array({step.format(a='element_at(s, -1)', b='b')})))"
+
+
 def _fold(gaps: str, found: str, valid: str, kind: str, rank: int | str) -> str:
     """Positions of matches: the pieces between and the matches alternate, so lengths add up to offsets."""
-    return f"""
-    cast(aggregate(
-      zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('g', length(g), 'n', length(m), 'ok', {valid}, 'ord', {rank})),
-      named_struct('at', 0, 'out', cast(array() as {_SPANS})),
+    n = f"size({found})"
+    length = f"aggregate(zip_with({_part(gaps)}, {_part(found)}, (g, m) -> coalesce(if(m is null, 0, length(g) + length(m)), 0)), 0, (x, y) -> x + y)"
+    starts = f"slice({_running(n, length, '{a} + {b}', '0')}, 1, ({n} - 1) div {_BLOCK} + 1)"
+    inner = f"""aggregate(
+      zip_with(slice({gaps}, i * {_BLOCK} + 1, least({_BLOCK}, {n} - i * {_BLOCK})), {_part(found)}, (g, m) -> named_struct('g', length(g), 'n', length(m), 'ok', {valid}, 'ord', {rank})),
+      named_struct('at', at, 'out', cast(array() as {_SPANS})),
       (a, x) -> named_struct('at', a.at + x.g + x.n, 'out',
         if(x.ok, cast(array_append(a.out, named_struct('start', a.at + x.g, 'ord', x.ord, 'end', a.at + x.g + x.n, 'kind', '{kind}')) as {_SPANS}), a.out)),
-      a -> a.out) as {_SPANS})"""
+      a -> a.out)"""
+    return f"if({n} = 0, cast(array() as {_SPANS}), cast({_in_blocks(n, starts, inner)} as {_SPANS}))"
+
+
+def _free(both: str) -> str:
+    """SQL: of sorted base and term spans, the base ones and the terms that overlap none of them.
+
+    Terms do not overlap each other, so a base span that starts inside a term follows it directly; of those that start before it, the furthest end decides.
+    """
+    n = f"size({both})"
+    end = "if(s.ord < 4, s.end, 0)"
+    furthest = f"aggregate({_part(both)}, 0, (m, s) -> greatest(m, {end}))"
+    starts = f"slice({_running(n, furthest, 'greatest({a}, {b})', '0')}, 1, ({n} - 1) div {_BLOCK} + 1)"
+    follows = f"slice({both}, i * {_BLOCK} + 2, {_BLOCK})"
+    inner = f"""aggregate(
+      zip_with({_part(both)}, {follows}, (s, f) -> named_struct('s', s, 'f', f)),
+      named_struct('end', at, 'out', cast(array() as {_SPANS})),
+      (a, x) -> named_struct('end', if(x.s.ord < 4, greatest(a.end, x.s.end), a.end), 'out',
+        if(x.s.ord < 4 or (a.end <= x.s.start and (x.f is null or x.f.ord >= 4 or x.f.start >= x.s.end)), cast(array_append(a.out, x.s) as {_SPANS}), a.out)),
+      a -> a.out)"""
+    return f"if({n} = 0, {both}, cast({_in_blocks(n, starts, inner)} as {_SPANS}))"
+
+
+def _cut(pieces: str, start: str, n: str) -> str:
+    """SQL: ``substr(text, start + 1, n)`` (``start`` not negative) from the text's ``pieces`` of ``_PIECE`` characters, without a walk over what lies before."""
+    return f"substr(array_join(slice({pieces}, ({start}) div {_PIECE} + 1, greatest(0, ({n}) + {_PIECE} - 1) div {_PIECE} + 1), ''), ({start}) % {_PIECE} + 1, {n})"
+
+
+#: SQL: a text in pieces; a position in it is found at once.
+_PIECES = f"regexp_extract_all(text, r'(?s).{{1,{_PIECE}}}+', 0)"
 
 
 def with_spans(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -110,8 +163,8 @@ _NAMES = """case s.kind
 
 def _sides(reach: int) -> str:
     """SQL: the text at most ``reach`` characters before and after a span ``s``, cut at blanks, without numbers and addresses."""
-    before = f"if(s.start > {reach}, regexp_replace(substr(text, s.start - {reach} + 1, {reach}), r'^\\S*', ''), substr(text, 1, s.start))"
-    after = f"if(length(text) > s.end + {reach}, regexp_replace(substr(text, s.end + 1, {reach}), r'\\S*$', ''), substr(text, s.end + 1))"
+    before = f"if(s.start > {reach}, regexp_replace({_cut('pieces', f's.start - {reach}', str(reach))}, r'^\\S*', ''), {_cut('pieces', '0', 's.start')})"
+    after = f"if(n_text > s.end + {reach}, regexp_replace({_cut('pieces', 's.end', str(reach))}, r'\\S*$', ''), {_cut('pieces', 's.end', str(reach))})"
     clean = lambda x: f"regexp_replace(regexp_replace(lower({x}), r'\\S*[@0-9]\\S*', ' '), r'\\s+', ' ')"
     return f"concat({clean(before)}, ' | ', {clean(after)})"
 
@@ -121,10 +174,11 @@ def evidence(rows: DataFrame, stage: Stage, window: int, near: int) -> tuple[Dat
 
     ``rows`` has row, text and pii_base. A row has one context for an entity, however often it holds it.
     """
-    own = "lower(substr(text, s.start + 1, s.end - s.start))"
+    own = f"lower({_cut('pieces', 's.start', 's.end - s.start')})"
     span = f"named_struct('kind', s.kind, 'value', if(s.kind = 'email', {own}, regexp_replace({own}, '[^0-9.]', '')), 'context', xxhash64({_sides(near)}), 'words', array_distinct(regexp_extract_all({_sides(window)}, {_sql_text(_WORD)}, 0)))"
     kinds = ", ".join(f"array(named_struct('entity', 'kind:{k}', 'context', array_min(transform(filter(spans, s -> s.kind = '{k}'), s -> s.context))))" for k in KINDS)
-    found = rows.where("size(pii_base) > 0").select("row", F.expr(f"transform(pii_base, s -> {span})").alias("spans"), F.expr(_words("text")).alias("words"))
+    rows = rows.where("size(pii_base) > 0").withColumn("pieces", F.expr(_PIECES)).withColumn("n_text", F.length("text"))
+    found = rows.select("row", F.expr(f"transform(pii_base, s -> {span})").alias("spans"), F.expr(_words("text")).alias("words"))
     held = F.expr(f"flatten(transform(spans, s -> transform({_NAMES}, e -> named_struct('entity', e, 'context', s.context, 'words', s.words))))")
     found = stage.write(found.select("row", "words", F.expr(f"filter(concat({kinds}), k -> k.context is not null)").alias("kinds"), held.alias("held")), "found")
     once = F.expr("size(array_distinct(held.entity)) = size(held)")
@@ -202,8 +256,8 @@ def annotate(docs: DataFrame, *, window: int = 256, near: int = 64, min_contexts
     df = df.withColumn("pii_g", F.expr(f"if({some}, split({text}, {_sql_text(_WORD)}, -1), cast(array() as array<string>))"))
     valid = "array_contains(removed, lower(m)) or array_contains(general, lower(m))"
     df = df.withColumn("pii_s", F.expr(f"if({some}, {_fold('pii_g', 'pii_m', valid, 'term', 'if(array_contains(removed, lower(m)), 5, 4)')}, cast(array() as {_SPANS}))"))
-    free = "filter(pii_s, s -> not exists(pii_base, b -> b.start < s.end and s.start < b.end))"
-    df = df.withColumn("pii_spans", F.expr(f"if(size(pii_s) > 0, array_sort(concat(pii_base, {free})), pii_base)"))
+    df = df.withColumn("pii_b", F.expr("if(size(pii_s) > 0, array_sort(concat(pii_base, pii_s)), pii_base)"))
+    df = df.withColumn("pii_spans", F.expr(f"if(size(pii_s) > 0, {_free('pii_b')}, pii_base)"))
     return df.select(*columns, "pii_base", "pii_spans")
 
 
@@ -220,13 +274,17 @@ def detect(docs: DataFrame, **options) -> DataFrame:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with base spans replaced by [KIND], generalised words by [TERM], and removed words gone."""
     label = "case s.ord when 0 then '[EMAIL]' when 1 then '[IP]' when 2 then '[CARD]' when 3 then '[PHONE]' when 4 then '[TERM]' else '' end"
-    out = f"""
-    if(text is null or size(pii_spans) = 0, text, aggregate(pii_spans,
-      named_struct('at', 0, 'out', cast(array() as array<string>)),
+    n = "size(pii_spans)"
+    furthest = f"aggregate({_part('pii_spans')}, 0, (m, s) -> greatest(m, s.end))"
+    starts = f"slice({_running(n, furthest, 'greatest({a}, {b})', '0')}, 1, ({n} - 1) div {_BLOCK} + 1)"
+    inner = f"""aggregate({_part('pii_spans')},
+      named_struct('at', at, 'out', cast(array() as array<string>)),
       (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
-        if(s.start < a.at, a.out, cast(concat(a.out, array(substr(text, a.at + 1, s.start - a.at), {label})) as array<string>))),
-      a -> concat(array_join(a.out, ''), substr(text, a.at + 1))))"""
+        if(s.start < a.at, a.out, cast(concat(a.out, array({_cut('pii_pieces', 'a.at', 's.start - a.at')}, {label})) as array<string>))),
+      a -> a.out)"""
+    last = "aggregate(pii_spans, 0, (m, s) -> greatest(m, s.end))"
+    out = f"""if(text is null or {n} = 0, text, concat(array_join({_in_blocks(n, starts, inner)}, ''), {_cut('pii_pieces', last, f'length(text) - {last}')}))"""
     # The other columns travel in one struct, so that their names cannot clash with the working columns.
     packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("pii_row"))
-    done = annotate(packed, **options).withColumn("text", F.expr(out))
+    done = annotate(packed, **options).withColumn("pii_pieces", F.expr(_PIECES)).withColumn("text", F.expr(out))
     return done.select(*(F.col("text") if c == "text" else F.col("pii_row").getField(c).alias(c) for c in docs.columns))
