@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round2
-from .match import track_id
+from .match import join_known, track_id
 from .similar import assign, scored_candidates
 
 TEXT_FIELDS = ("name", "status", "from_name", "to_name", "from_author", "to_author", "from_status", "to_status", "from_accepted", "to_accepted", "from_parent", "to_parent", "from_rank", "to_rank", "from_id", "to_id", "into_name")
@@ -160,7 +160,7 @@ def union(changes: dict[str, DataFrame]) -> DataFrame:
 def with_tracks(changes: DataFrame, pairs: DataFrame, code: str, kind: str) -> DataFrame:
     """The thread by anchor key, else by the later usage, else by the earlier; none for lumps and splits."""
     by_anchor = pairs.select(_c("anchor").alias("anchor_key"), track_id(F.lit(code), F.lit(kind), _c("anchor")).alias("t_anchor"))
-    usage = lambda p: pairs.where(f"{p}_usage_id is not null").select(_c(f"{p}_usage_id").alias(f"u_{p}"), track_id(F.lit(code), F.lit(kind), _c("anchor")).alias(f"t_{p}"))
-    out = changes.join(by_anchor, "anchor_key", "left")
-    out = out.join(usage("a"), _c("to_usage_id") == _c("u_a"), "left").join(usage("b"), _c("from_usage_id") == _c("u_b"), "left")
-    return out.withColumn("track_id", F.coalesce("t_anchor", "t_a", "t_b")).drop("t_anchor", "t_a", "t_b", "u_a", "u_b")
+    usage = lambda p, to: pairs.where(f"{p}_usage_id is not null").select(_c(f"{p}_usage_id").alias(to), track_id(F.lit(code), F.lit(kind), _c("anchor")).alias(f"t_{p}"))
+    out = join_known(changes, by_anchor, "anchor_key", "seq")
+    out = join_known(join_known(out, usage("a", "to_usage_id"), "to_usage_id", "seq"), usage("b", "from_usage_id"), "from_usage_id", "seq")
+    return out.withColumn("track_id", F.coalesce("t_anchor", "t_a", "t_b")).drop("t_anchor", "t_a", "t_b")

@@ -26,17 +26,23 @@ def usage_names(usages: DataFrame, names: DataFrame) -> DataFrame:
     return u.join(n, "name_id")
 
 
-def anchored(usages: DataFrame, kind: str) -> DataFrame:
+def _laid(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows by ``keys`` in ``parts`` partitions, where that number is given. Left alone, partitions are put together by their compressed size, and rows of names
+    grow manifold when they are sorted."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def anchored(usages: DataFrame, kind: str, parts: int | None = None) -> DataFrame:
     """Rows with an anchor (P3, Q2), their place, the number of rows in their bucket and its first usage."""
     bucket = Window.partitionBy("release", "anchor")
-    rows = usages.withColumn("anchor", anchor_of(kind)).where(F.length("anchor") > 0)
+    rows = _laid(usages.withColumn("anchor", anchor_of(kind)).where(F.length("anchor") > 0), parts, "release", "anchor")
     best = bucket.orderBy(F.col("status") != "accepted", "usage_id")
     return rows.withColumns({"place": F.row_number().over(best), "bucket_rows": F.count("*").over(bucket), "bucket_ord": F.min("usage_id").over(bucket)})
 
 
-def winners(usages: DataFrame, kind: str) -> DataFrame:
+def winners(usages: DataFrame, kind: str, parts: int | None = None) -> DataFrame:
     """A1: one usage for each anchor and release: the lowest accepted id, else the lowest id."""
-    return anchored(usages, kind).where("place = 1").drop("place")
+    return anchored(usages, kind, parts).where("place = 1").drop("place")
 
 
 def ambiguous(index: DataFrame) -> DataFrame:
@@ -44,23 +50,32 @@ def ambiguous(index: DataFrame) -> DataFrame:
     return index.where("bucket_rows > 1").select("release", "anchor", "bucket_rows")
 
 
+def join_known(left: DataFrame, right: DataFrame, key: str, spread: str, *also: str, parts: int | None = None) -> DataFrame:
+    """Left join on ``key`` (and the columns ``also``) where many keys are null: those rows meet nothing and are spread by the column
+    ``spread``, of which each row has its own; as nulls they would all lie in one partition."""
+    known, at = F.col(key).isNotNull(), F.coalesce(key, F.col(spread).cast(left.schema[key].dataType))
+    rows = left.withColumns({"_known": known, "_at": at})
+    found = right.withColumns({"_known": F.lit(True), "_at": F.col(key)}).drop(key)
+    return _laid(rows, parts, "_at").join(_laid(found, parts, "_at"), ["_known", "_at", *also], "left").drop("_known", "_at")
+
+
 SIDE = ("usage_id", "source_taxon_id", "canonical_name", "authorship", "status", "rank", "accepted_usage_id", "parent_usage_id", "norm_key", "canonical_key", "bucket_ord")
 
 
-def with_pointers(index: DataFrame) -> DataFrame:
+def with_pointers(index: DataFrame, parts: int | None = None) -> DataFrame:
     """What the accepted and parent pointers of winners lead to, among the winners of the same release."""
     target = index.select("release", F.col("usage_id").alias("t_id"), F.col("canonical_key").alias("t_key"), F.col("canonical_name").alias("t_name"), F.col("status").alias("t_status"))
     out = index
     for name in ("accepted", "parent"):
-        t = target.select(F.col("release").alias("t_release"), *(F.col(c).alias(f"{name}_{c}") for c in ("t_id", "t_key", "t_name", "t_status")))
-        out = out.join(t, (F.col("release") == F.col("t_release")) & (F.col(f"{name}_usage_id") == F.col(f"{name}_t_id")), "left").drop("t_release", f"{name}_t_id")
+        t = target.select("release", F.col("t_id").alias(f"{name}_usage_id"), *(F.col(c).alias(f"{name}_{c}") for c in ("t_key", "t_name", "t_status")))
+        out = join_known(out, t, f"{name}_usage_id", "usage_id", "release", parts=parts)
     return out
 
 
-def paired(index: DataFrame, before: int = 1, after: int = 2) -> DataFrame:
+def paired(index: DataFrame, before: int = 1, after: int = 2, parts: int | None = None) -> DataFrame:
     """The full outer join of both releases' winners on the anchor, columns prefixed b_ and a_."""
     columns = [c for c in index.columns if c not in ("release", "anchor")]
-    side = lambda release, p: index.where(F.col("release") == release).select("anchor", *(F.col(c).alias(f"{p}_{c}") for c in columns))
+    side = lambda release, p: _laid(index.where(F.col("release") == release).select("anchor", *(F.col(c).alias(f"{p}_{c}") for c in columns)), parts, "anchor")
     return side(before, "b").join(side(after, "a"), "anchor", "full_outer").withColumn(
         "side", F.when(F.col("a_usage_id").isNull(), "removed").when(F.col("b_usage_id").isNull(), "added").otherwise("matched")
     )

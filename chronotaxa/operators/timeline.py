@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import iso_date
+from .match import join_known
 
 
 def displayed(names: DataFrame, usages: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def appearances(names: DataFrame, usages: DataFrame, releases: DataFrame, shown:
     shown = displayed(names, usages) if shown is None else shown
     pointer = lambda p: shown.select(F.col("usage_id").alias(f"{p}_usage_id"), F.col("display").alias(f"{p}_name"))
     n = names.select("name_id", "scientific_name", "authorship")
-    out = usages.join(n, "name_id").join(releases.select("code", "version", "released_on"), ["code", "version"])
-    out = out.join(pointer("accepted"), "accepted_usage_id", "left").join(pointer("parent"), "parent_usage_id", "left")
+    out = usages.join(n, "name_id").join(F.broadcast(releases.select("code", "version", "released_on")), ["code", "version"])
+    out = join_known(join_known(out, pointer("accepted"), "accepted_usage_id", "usage_id"), pointer("parent"), "parent_usage_id", "usage_id")
     place = Window.partitionBy("name_id", "code").orderBy(F.asc_nulls_first("released_on"), "version", "usage_id")
     return out.withColumn("place", F.row_number().over(place))
 
@@ -80,7 +81,7 @@ def documents(names: DataFrame, usages: DataFrame, releases: DataFrame, checklis
     step = F.struct("place", F.col("version").alias("release_version"), iso_date("released_on").alias("released_on"), "status", "rank", "scientific_name", "authorship", "accepted_name", "parent_name", "classification", "usage_id", F.coalesce("changes", none).alias("changes"))
     lists = full.groupBy("name_id", "code").agg(F.array_sort(F.collect_list(step), lambda x, y: x.place - y.place).alias("steps"))
     lists = lists.withColumn("appearances", F.transform("steps", lambda s: s.dropFields("place"))).drop("steps")
-    lists = lists.join(first_last(seen, threads).select("name_id", "code", "first_seen", "last_seen", "anchor_kind"), ["name_id", "code"]).join(checklists.select("code", "title", "id_stability"), "code")
+    lists = lists.join(first_last(seen, threads).select("name_id", "code", "first_seen", "last_seen", "anchor_kind"), ["name_id", "code"]).join(F.broadcast(checklists.select("code", "title", "id_stability")), "code")
     entry = F.struct(F.col("code").alias("checklist_code"), F.col("title").alias("checklist_title"), "id_stability", "anchor_kind", "first_seen", "last_seen", "appearances")
     lists = lists.groupBy("name_id").agg(F.array_sort(F.collect_list(entry), lambda x, y: F.when(x.checklist_code < y.checklist_code, -1).when(x.checklist_code > y.checklist_code, 1).otherwise(0)).alias("checklists"))
     kin = (siblings(names) if kin is None else kin).groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct(F.col("sibling_id").alias("name_id"), F.col("sibling_name").alias("scientific_name"), F.col("sibling_authorship").alias("authorship"), "reason"))).alias("related"))

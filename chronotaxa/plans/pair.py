@@ -48,8 +48,18 @@ def absent(release: int) -> int:
     return 11 if release == 1 else 10
 
 
+#: Rows of ``part`` in a task that derives names from them; a file of many rows is small and would be read by one task.
+ROWS = 25_000
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many partitions the pair is worked on in, which grows with its rows."""
+    return max(1, -(-spark.read.parquet(f"{sf_dir}/part.parquet").count() // ROWS))
+
+
 def raw_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_partkey") % 40).alias("role"))
+    part = part.repartition(tasks(spark, sf_dir))
     both = [part.where(F.col("role") != absent(r)).selectExpr(*(f"{sql} as {name}" for name, sql in columns(r).items())) for r in (1, 2)]
     return both[0].unionByName(both[1])
 

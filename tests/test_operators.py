@@ -120,6 +120,26 @@ def test_pointers_reach_winners_only(spark):
     assert match.winners(pair, "source_id").where("role = 17").count() == 0
 
 
+def test_null_keys_are_spread(spark):
+    """Rows that point nowhere are not all sorted by one task, neither by winners' pointers nor by shown names or tracks."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 50 == 0, F.col("id") + 1).alias("k"))
+    to = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = match.join_known(rows, to.union(to.limit(0)), "k", "id")
+    assert {(r.id, r.k, r.v) for r in out.collect()} == {(i, i + 1, 2 * i + 2) if i % 50 == 0 else (i, None, None) for i in range(4000)}
+    names = spark.createDataFrame([("a", None, 1), ("b", "x", 2), (None, "y", 3)], "n string, k string, id long")
+    assert {(r.id, r.v) for r in match.join_known(names, spark.createDataFrame([("x", 7), (None, 8), ("1", 9)], "k string, v int"), "k", "id").collect()} == {(1, None), (2, 7), (3, None)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        led = match.with_pointers(match.winners(release_pair(spark, SF), "name"))
+        sizes = [r["count"] for r in led.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) < sum(sizes) / 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from chronotaxa.plans.queries_diff import QUERIES
 
