@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +50,40 @@ def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(total > 0, 200.0 * (size_a - np.bitwise_count(free)) / np.maximum(total, 1), 100.0)
 
 
+def walked(names: list[str], beside: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Each name of a sorted list with the lengths of its common subsequences with all texts of ``beside``, which are of one length.
+
+    The rows of all texts advance together, by one letter of the name; what a name begins with like the one before it is not walked again.
+    """
+    size = len(beside[0])
+    codes, words = _codes(beside, size), -(-size // _WIDE)
+    full = np.array([2 ** min(_WIDE, size - _WIDE * w) - 1 for w in range(words)], np.uint64)[:, None]
+    masks: dict[str, np.ndarray] = {}
+    rows = [np.broadcast_to(full, (words, len(beside))).copy()]
+    last = ""
+    for name in names:
+        same = next((k for k, (x, y) in enumerate(zip(name, last)) if x != y), min(len(name), len(last)))
+        del rows[same + 1 :]
+        for c in name[same:]:
+            if c not in masks:
+                bits = np.packbits(np.pad(codes == ord(c), ((0, 0), (0, words * _WIDE - size))), axis=1, bitorder="little")
+                masks[c] = np.ascontiguousarray(bits.view("<u8").T)
+            free = rows[-1]
+            hit = free & masks[c]
+            if words == 1:
+                rows.append((free + hit) | (free - hit))
+                continue
+            out, carry = np.empty_like(free), np.zeros(len(beside), np.uint64)
+            for w in range(words):
+                part = free[w] + hit[w]
+                total = part + carry
+                carry = ((part < free[w]) | (total < part)).astype(np.uint64)
+                out[w] = total | (free[w] - hit[w])
+            rows.append(out)
+        last = name
+        yield name, size - np.bitwise_count(rows[-1] & full).sum(axis=0, dtype=np.int64)
+
+
 @F.pandas_udf(DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.full(len(a), np.nan)
@@ -66,10 +102,3 @@ def indel(a: pd.Series, b: pd.Series) -> pd.Series:
 def numbered(tokens: str) -> str:
     """SQL for an array's items with their counts so far, which makes a set of a multiset."""
     return f"transform({tokens}, (g, i) -> concat(g, ':', size(filter(slice({tokens}, 1, i + 1), x -> x = g))))"
-
-
-def letters(c: str) -> Column:
-    """The letters of a text as a set."""
-    one = f"filter(split({c}, ''), x -> x <> '')"
-    return F.expr(numbered(one))
-

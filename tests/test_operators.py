@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chronotaxa.functions.similarity import indel_ratio, indel_ratios
+from chronotaxa.functions.similarity import indel_ratio, indel_ratios, walked
 from chronotaxa.operators import ingest, match, packed, similar
 from chronotaxa.plans import model
 from chronotaxa.plans.pair import release_pair
@@ -77,6 +77,28 @@ def test_indel_of_many_pairs():
     assert indel_ratios(a, b).tolist() == [indel_ratio(x, y) for x, y in zip(a, b)]
 
 
+def test_walked_rows_equal_pairs():
+    """Texts over several machine words, and names that begin alike, against one pair at a time."""
+    rng = random.Random(6)
+    for size in (1, 5, 63, 64, 65, 130):
+        beside = ["".join(rng.choice("abé😀 ") for _ in range(size)) for _ in range(40)]
+        names = sorted({"ab" + "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 80))) for _ in range(30)} | {"a"})
+        for name, common in walked(names, beside):
+            assert [200.0 * k / (len(name) + size) for k in common] == [indel_ratio(name, b) for b in beside]
+
+
+def test_few_unlike_names_meet(spark):
+    """Codes after few common words: of 4,000,000 pairs, names met in far under a hundredth at cutoff 88."""
+    rng = random.Random(7)
+    name = lambda: f"{rng.choice(['red', 'old'])} {rng.choice(['bolt', 'ring'])} " + "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    keys = [(k, s, n) for k, (s, n) in enumerate([(s, name()) for s in ("old", "new") for _ in range(2000)])]
+    names = spark.createDataFrame(keys, "id long, side string, key string").withColumn("n", F.length("key")).withColumn("left", F.expr(similar._bounds(88.0)["left"]))
+    size = similar._set_size(names)
+    rare = similar._rarest(names, size).mapInArrow(similar._sets(size), "met long, id long, n int").join(names.select("id", "side"), "id")
+    side = lambda s: rare.where(F.col("side") == s).select("met", F.col("id").alias(s))
+    assert size > 1 and side("old").join(side("new"), "met").select("old", "new").distinct().count() < 40_000
+
+
 def test_long_chain_is_settled_in_few_jobs(spark):
     """Added name k prefers removed name k and could take k + 1; a first one takes name 0 away, so each decision hangs on the one before."""
     n = 10_000
