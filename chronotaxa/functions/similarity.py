@@ -84,8 +84,8 @@ def walked(names: list[str], beside: list[str]) -> Iterator[tuple[str, np.ndarra
         yield name, size - np.bitwise_count(rows[-1] & full).sum(axis=0, dtype=np.int64)
 
 
-@F.pandas_udf(DoubleType())
-def indel(a: pd.Series, b: pd.Series) -> pd.Series:
+def indel_each(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``indel_ratio`` row by row, null where either is."""
     out = np.full(len(a), np.nan)
     known = (a.notna() & b.notna()).to_numpy()
     turned = np.array([known[k] and len(x) > len(y) for k, (x, y) in enumerate(zip(a, b))], bool)
@@ -99,6 +99,9 @@ def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None)
 
 
+indel = F.pandas_udf(indel_each, DoubleType())
+
+
 def numbered(tokens: str) -> str:
     """SQL for an array's items with their counts so far, which makes a set of a multiset."""
     return f"transform({tokens}, (g, i) -> concat(g, ':', size(filter(slice({tokens}, 1, i + 1), x -> x = g))))"
