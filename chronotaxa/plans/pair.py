@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .staging import cut
 
 CODE = "demo"
 ID_BASE = 1 << 40
@@ -59,7 +60,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> int:
 
 def raw_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_partkey") % 40).alias("role"))
-    part = part.repartition(tasks(spark, sf_dir))
+    # Staged, or filters on what is derived would be worked out below the exchange, by the few tasks that read the file.
+    part = cut(part.repartition(tasks(spark, sf_dir)))
     both = [part.where(F.col("role") != absent(r)).selectExpr(*(f"{sql} as {name}" for name, sql in columns(r).items())) for r in (1, 2)]
     return both[0].unionByName(both[1])
 

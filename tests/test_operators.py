@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronotaxa.functions.similarity import indel_ratio, indel_ratios, walked
 from chronotaxa.operators import ingest, match, packed, similar
-from chronotaxa.plans import model
+from chronotaxa.plans import model, pair
 from chronotaxa.plans.pair import release_pair
 from chronotaxa.plans.queries_ingest import write_sheet
 from chronotaxa.sources.archive import ArchiveError, parse_descriptor, read_archive
@@ -287,3 +287,12 @@ def test_integrity(spark):
     with pytest.raises(Exception, match="vocabulary"):
         model.check_vocabulary(spark.createDataFrame([("odd",)], "s string"), "s", model.TAXONOMIC_STATUS).collect()
     assert model.dangling(spark.createDataFrame([(1,), (9,)], "p long"), "p", spark.createDataFrame([(1,)], "id long"), "id").select(F.col("p")).collect()[0][0] == 9
+
+
+def test_names_are_derived_in_the_pairs_tasks(spark, monkeypatch):
+    """A filter on a derived key is not worked out by the few tasks that read ``part``."""
+    monkeypatch.setattr(pair, "ROWS", 20)
+    keyed = pair.release_pair(spark, SF).where("length(canonical_key) > 0")
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FileScan" not in plan
+    assert keyed.rdd.getNumPartitions() == 2 * pair.tasks(spark, SF) > 2
