@@ -31,8 +31,9 @@ from ..plans.staging import cut
 _EPS = 1e-9
 
 
-#: Pairs of letters in the sets that names meet in, at most, and the most sets that names may have on average.
-SET, SETS = 4, 600
+#: Pairs of letters in the sets that names meet in, at most, and the most sets that names may have on average. Sets grow with the names, unlike
+#: names that meet in them with the names' square, so many sets of more pairs are the lesser work on large lists.
+SET, SETS = 4, 1000
 #: Names in a block of a tile: removed ones, walked one after another, and added ones, scored side by side.
 WALKED, BESIDE = 1024, 4096
 _TILES = 2048

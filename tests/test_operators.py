@@ -296,3 +296,9 @@ def test_names_are_derived_in_the_pairs_tasks(spark, monkeypatch):
     plan = keyed._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "FileScan" not in plan
     assert keyed.rdd.getNumPartitions() == 2 * pair.tasks(spark, SF) > 2
+
+
+def test_names_of_many_pairs_meet_in_large_sets(spark):
+    """Names of two words and twelve letters leave 639 sets of four pairs on average; in sets of three they would meet a fifteenth of all others."""
+    names = similar.cut(release_pair(spark, SF).selectExpr("canonical_key as key", "monotonically_increasing_id() as id", "length(canonical_key) as n").withColumn("left", F.expr(similar._bounds(88.0)["left"])))
+    assert similar._set_size(names.where("n between 20 and 24")) == 4
