@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round2
-from .match import join_known, track_id
+from .match import join_known, laid, track_id
 from .similar import assign, scored_candidates
 
 TEXT_FIELDS = ("name", "status", "from_name", "to_name", "from_author", "to_author", "from_status", "to_status", "from_accepted", "to_accepted", "from_parent", "to_parent", "from_rank", "to_rank", "from_id", "to_id", "into_name")
@@ -76,12 +76,12 @@ def attribute_changes(pairs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def lumps(pairs: DataFrame) -> DataFrame:
-    """Formerly accepted records that now end in one accepted name, at least one of them sunk (Q4, Q5)."""
+def lumps(pairs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Formerly accepted records that now end in one accepted name, at least one of them sunk (Q4, Q5); grouped in ``parts`` partitions, where given."""
     m = pairs.where("side = 'matched' and b_status = 'accepted'")
     now = _c("a_status") == "accepted"
     m = m.select("b_bucket_ord", _c("b_canonical_name").alias("member"), now.alias("stays"), F.when(now, _c("a_canonical_key")).otherwise(_c("a_accepted_t_key")).alias("target"), F.when(now, _c("a_canonical_name")).otherwise(_c("a_accepted_t_name")).alias("target_name"))
-    groups = m.where("target is not null").groupBy("target").agg(
+    groups = laid(m.where("target is not null"), parts, "target").groupBy("target").agg(
         F.min("b_bucket_ord").alias("ord"),
         F.max_by("target_name", "b_bucket_ord").alias("target_name"),
         F.sort_array(F.collect_list("member")).alias("sources"),
@@ -91,13 +91,13 @@ def lumps(pairs: DataFrame) -> DataFrame:
     return change(groups.where("n >= 2 and size(sunk) >= 1"), "lumped", seq("lumped", "ord"), None, None, into_name=_c("target_name"), sources=_c("sources"), sunk=_c("sunk"), count=_c("n"))
 
 
-def splits(pairs: DataFrame) -> DataFrame:
-    """A former circumscription (an accepted record and its synonyms) whose members are now several accepted names."""
+def splits(pairs: DataFrame, parts: int | None = None) -> DataFrame:
+    """A former circumscription (an accepted record and its synonyms) whose members are now several accepted names; ``parts`` as in ``lumps``."""
     m = pairs.where("b_usage_id is not null")
     owner = F.when(_c("b_status") == "accepted", _c("b_usage_id")).otherwise(F.when(_c("b_accepted_t_key").isNotNull(), _c("b_accepted_usage_id")))
     product = (_c("side") == "matched") & (_c("a_status") == "accepted")
     m = m.select(owner.alias("owner"), "b_usage_id", "b_canonical_name", F.when(product, F.struct(_c("a_canonical_key").alias("key"), _c("a_canonical_name").alias("name"))).alias("product"))
-    groups = m.where("owner is not null").groupBy("owner").agg(
+    groups = laid(m.where("owner is not null"), parts, "owner").groupBy("owner").agg(
         F.max(F.when(_c("b_usage_id") == _c("owner"), _c("b_canonical_name"))).alias("from_name"), F.collect_set("product.key").alias("keys"), F.collect_set("product").alias("products"), F.count("*").alias("n")
     )
     groups = groups.where("n >= 2 and size(keys) >= 2")
@@ -138,9 +138,9 @@ def presence(gone: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def all_changes(pairs: DataFrame, kind: str, cutoff: float = 88.0) -> dict[str, DataFrame]:
+def all_changes(pairs: DataFrame, kind: str, cutoff: float = 88.0, parts: int | None = None) -> dict[str, DataFrame]:
     """Every detector's rows by type."""
-    out = attribute_changes(pairs) | {"lumped": lumps(pairs), "split": splits(pairs)}
+    out = attribute_changes(pairs) | {"lumped": lumps(pairs, parts), "split": splits(pairs, parts)}
     replaced = None
     if kind == "source_id":
         out["id_replaced"] = replaced = replaced_ids(pairs)

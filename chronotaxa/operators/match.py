@@ -26,7 +26,7 @@ def usage_names(usages: DataFrame, names: DataFrame) -> DataFrame:
     return u.join(n, "name_id")
 
 
-def _laid(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+def laid(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     """Rows by ``keys`` in ``parts`` partitions, where that number is given. Left alone, partitions are put together by their compressed size, and rows of names
     grow manifold when they are sorted."""
     return df.repartition(parts, *keys) if parts else df
@@ -35,7 +35,7 @@ def _laid(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
 def anchored(usages: DataFrame, kind: str, parts: int | None = None) -> DataFrame:
     """Rows with an anchor (P3, Q2), their place, the number of rows in their bucket and its first usage."""
     bucket = Window.partitionBy("release", "anchor")
-    rows = _laid(usages.withColumn("anchor", anchor_of(kind)).where(F.length("anchor") > 0), parts, "release", "anchor")
+    rows = laid(usages.withColumn("anchor", anchor_of(kind)).where(F.length("anchor") > 0), parts, "release", "anchor")
     best = bucket.orderBy(F.col("status") != "accepted", "usage_id")
     return rows.withColumns({"place": F.row_number().over(best), "bucket_rows": F.count("*").over(bucket), "bucket_ord": F.min("usage_id").over(bucket)})
 
@@ -56,7 +56,7 @@ def join_known(left: DataFrame, right: DataFrame, key: str, spread: str, *also:
     known, at = F.col(key).isNotNull(), F.coalesce(key, F.col(spread).cast(left.schema[key].dataType))
     rows = left.withColumns({"_known": known, "_at": at})
     found = right.withColumns({"_known": F.lit(True), "_at": F.col(key)}).drop(key)
-    return _laid(rows, parts, "_at").join(_laid(found, parts, "_at"), ["_known", "_at", *also], "left").drop("_known", "_at")
+    return laid(rows, parts, "_at").join(laid(found, parts, "_at"), ["_known", "_at", *also], "left").drop("_known", "_at")
 
 
 SIDE = ("usage_id", "source_taxon_id", "canonical_name", "authorship", "status", "rank", "accepted_usage_id", "parent_usage_id", "norm_key", "canonical_key", "bucket_ord")
@@ -75,7 +75,7 @@ def with_pointers(index: DataFrame, parts: int | None = None) -> DataFrame:
 def paired(index: DataFrame, before: int = 1, after: int = 2, parts: int | None = None) -> DataFrame:
     """The full outer join of both releases' winners on the anchor, columns prefixed b_ and a_."""
     columns = [c for c in index.columns if c not in ("release", "anchor")]
-    side = lambda release, p: _laid(index.where(F.col("release") == release).select("anchor", *(F.col(c).alias(f"{p}_{c}") for c in columns)), parts, "anchor")
+    side = lambda release, p: laid(index.where(F.col("release") == release).select("anchor", *(F.col(c).alias(f"{p}_{c}") for c in columns)), parts, "anchor")
     return side(before, "b").join(side(after, "a"), "anchor", "full_outer").withColumn(
         "side", F.when(F.col("a_usage_id").isNull(), "removed").when(F.col("b_usage_id").isNull(), "added").otherwise("matched")
     )

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronotaxa.functions.similarity import indel_ratio, indel_ratios, walked
-from chronotaxa.operators import ingest, match, packed, similar
-from chronotaxa.plans import model, pair
+from chronotaxa.operators import detect, ingest, match, packed, similar
+from chronotaxa.plans import model, pair, queries_diff
 from chronotaxa.plans.pair import release_pair
 from chronotaxa.plans.queries_ingest import write_sheet
 from chronotaxa.sources.archive import ArchiveError, parse_descriptor, read_archive
@@ -298,6 +298,20 @@ def test_names_are_derived_in_the_pairs_tasks(spark, monkeypatch):
     assert keyed.rdd.getNumPartitions() == 2 * pair.tasks(spark, SF) > 2
 
 
+@pytest.mark.parametrize("detector", ["lumps", "splits"])
+def test_sets_are_grouped_in_the_pairs_tasks(spark, monkeypatch, detector):
+    """Lumps and splits gather lists of names; their tasks grow in number with the table, not in size."""
+    monkeypatch.setattr(pair, "ROWS", 20)
+    pairs, parts, find = queries_diff._pairs(spark, SF, "name"), pair.tasks(spark, SF), getattr(detect, detector)
+    got = find(pairs, parts)
+    assert got.rdd.getNumPartitions() == parts == 10
+    assert sorted(map(str, got.collect())) == sorted(map(str, find(pairs).collect())) != []
+    asked = []
+    monkeypatch.setattr(detect, detector, lambda rows, n=None: asked.append(n) or find(rows, n))
+    queries_diff.QUERIES["change_lumped" if detector == "lumps" else "change_split"](spark, SF)
+    assert asked == [parts]
+
+
 def test_names_of_many_pairs_meet_in_large_sets(spark):
     """Names of two words and twelve letters leave 639 sets of four pairs on average; in sets of three they would meet a fifteenth of all others."""
     names = similar.cut(release_pair(spark, SF).selectExpr("canonical_key as key", "monotonically_increasing_id() as id", "length(canonical_key) as n").withColumn("left", F.expr(similar._bounds(88.0)["left"])))
