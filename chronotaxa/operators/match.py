@@ -56,7 +56,9 @@ def join_known(left: DataFrame, right: DataFrame, key: str, spread: str, *also:
     known, at = F.col(key).isNotNull(), F.coalesce(key, F.col(spread).cast(left.schema[key].dataType))
     rows = left.withColumns({"_known": known, "_at": at})
     found = right.withColumns({"_known": F.lit(True), "_at": F.col(key)}).drop(key)
-    return laid(rows, parts, "_at").join(laid(found, parts, "_at"), ["_known", "_at", *also], "left").drop("_known", "_at")
+    rows, found = laid(rows, parts, "_at", *also), laid(found, parts, "_at", *also)
+    # In parts: laid by all keys, or Spark lays them anew in its own number; merged, or a whole side is broadcast, as staged rows are taken to be as small as their file.
+    return rows.join(found.hint("merge") if parts else found, ["_known", "_at", *also], "left").drop("_known", "_at")
 
 
 SIDE = ("usage_id", "source_taxon_id", "canonical_name", "authorship", "status", "rank", "accepted_usage_id", "parent_usage_id", "norm_key", "canonical_key", "bucket_ord")

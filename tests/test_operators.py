@@ -298,6 +298,23 @@ def test_names_are_derived_in_the_pairs_tasks(spark, monkeypatch):
     assert keyed.rdd.getNumPartitions() == 2 * pair.tasks(spark, SF) > 2
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_pointers_meet_in_the_pairs_tasks(spark, monkeypatch, broadcast):
+    """Neither a broadcast of all winners nor another number of tasks than the pair's."""
+    monkeypatch.setattr(pair, "ROWS", 20)
+    parts, index = pair.tasks(spark, SF), queries_diff.cut(queries_diff._index(spark, SF, "name"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        led = match.with_pointers(index, parts)
+        assert led.rdd.getNumPartitions() == parts == 10
+        plan = led._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+        assert sorted(map(str, led.collect())) == sorted(map(str, match.with_pointers(index).select(led.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 @pytest.mark.parametrize("detector", ["lumps", "splits"])
 def test_sets_are_grouped_in_the_pairs_tasks(spark, monkeypatch, detector):
     """Lumps and splits gather lists of names; their tasks grow in number with the table, not in size."""
