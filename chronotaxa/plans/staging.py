@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow, of which Spark broadcasts neither. It takes staged rows, and what is derived from them, to be as small as the file they
+    came from, so it would send tables of any size through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def dense(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``row_no``: each row's place, from 0 and without gaps, in the order of some columns that tell rows apart.
 
